@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..common import epoch_s, norm_id
 from ..plans.sql import CHECKINS, norm
 from ..sources.tables import table
-from . import heavy_hitters, linked_splits, packing, runs, tokens, top_n
+from . import heavy_hitters, languages, linked_splits, packing, runs, tokens, top_n
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,22 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), 2048)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_items, p2_found, p2_splits, p6_found, p6_latest_20, p7_found, p7_collapsed, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.label_errors(docs, languages.fit(docs))
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.document_languages(docs, languages.fit(docs))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.segments(docs, languages.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_items, p2_found, p2_splits, p6_found, p6_latest_20, p7_found, p7_collapsed, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
 
 
 def _latest_sql(n: int, columns: str) -> str:
