@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import epoch_s, norm_id, require_columns
+from ..common import epoch_s, norm_id, require_columns, stored
 
 #: Bits of fine bitmap worked on at once: half a megabyte, so that the shifts stay in a core's cache.
 CHUNK_BITS = 1 << 22
@@ -165,7 +164,7 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap_s: in
         .withColumn("block", F.floor(F.col("t") / F.lit(block_s)).cast("bigint"))
         .repartition("user_id", "block")
     )
-    local = rows.mapInArrow(_block_sessions(gap_s, block_s), _SCHEMA).persist(StorageLevel.DISK_ONLY)
+    local = stored(rows.mapInArrow(_block_sessions(gap_s, block_s), _SCHEMA))
     inner = local.filter("not at_edge").select("user_id", "start_s", "end_s", "n_events")
     line = Window.partitionBy("user_id").orderBy("start_s")
     joined = (
