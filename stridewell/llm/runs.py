@@ -12,11 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import epoch_s, norm_id, require_columns
+from ..common import epoch_s, norm_id, require_columns, stored
 
 _SCHEMA = "user_id string, item string, first_seq bigint, last_seq bigint, start_s bigint, end_s bigint, n bigint, opens boolean, closes boolean"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
@@ -83,7 +82,7 @@ def runs(events: DataFrame, user: str = "user_id", item: str = "item", ts: str =
     rows = events.select(norm_id(user).alias("user_id"), norm_id(item).alias("item"), epoch_s(events, ts).alias("t"), F.col(seq).cast("bigint").alias("seq")).dropna()
     key = ["user_id", "t", "item", "seq"]
     ranges = rows.repartitionByRange(*key).sortWithinPartitions(*key).select("user_id", "item", "t", "seq")
-    local = ranges.mapInArrow(_encode(gap_s, min_rows), _SCHEMA).persist(StorageLevel.DISK_ONLY)
+    local = stored(ranges.mapInArrow(_encode(gap_s, min_rows), _SCHEMA))
     inner = local.filter("not opens and not closes").select(*_NAMES[:7])
     # edge runs come alternately as first and last of a range, or as both at once
     line = Window.partitionBy("user_id").orderBy("start_s", "item", "first_seq")
