@@ -46,13 +46,15 @@ def close_gaps(words: np.ndarray, gap: int) -> None:
 
 def _fine_runs(pos: np.ndarray, n_bits: int, gap: int) -> np.ndarray:
     """Start bits of the runs that the occupied bits `pos` form after closing."""
-    bits = np.zeros(-(-n_bits // 64) * 64, dtype=bool)
-    bits[pos] = True
-    words = np.packbits(bits, bitorder="little").view("<u8")
+    words = np.zeros(-(-n_bits // 64), dtype="<u8")
+    np.bitwise_or.at(words, pos >> 6, np.uint64(1) << (pos & 63).astype(np.uint64))
     close_gaps(words, gap)
     before = words << np.uint64(1)
     before[1:] |= words[:-1] >> np.uint64(63)
-    return np.flatnonzero(np.unpackbits((words & ~before).view(np.uint8), bitorder="little"))
+    edges = words & ~before
+    some = np.flatnonzero(edges)  # few words have the start of a run
+    place = np.flatnonzero(np.unpackbits(edges[some].view(np.uint8), bitorder="little"))
+    return (some[place >> 6] << 6) + (place & 63)
 
 
 def _extremes(ids: np.ndarray, t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
