@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import stored
 from .sampling import race_key, sample_keys, uniform
 
 KEY = ["user_id", "rn"]
@@ -74,7 +75,7 @@ def draw_decoys(decided: DataFrame, line: DataFrame, past: DataFrame | None, n:
         hits = hits.join(past.select("user_id", "item"), ["user_id", "item"], "left_anti")
     hits = hits.groupBy(*KEY, "item").agg(F.min("j").alias("j"))
     nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("j")) - 1  # at most `draws` rows a decision
-    good = hits.withColumn("nth", nth).filter(F.col("nth") < n).select(*KEY, "item", "nth")
+    good = stored(hits.withColumn("nth", nth).filter(F.col("nth") < n).select(*KEY, "item", "nth"))
     full = good.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= n)
     short = d.join(full, KEY, "left_anti")
     rest = race(pool_of_stretch(short, line, past), n, seed, F.col("w"))
@@ -97,6 +98,7 @@ def race(pool: DataFrame, n: int, seed: int, weight: Column) -> DataFrame:
 
 def shuffled(decided: DataFrame, decoys: DataFrame, n: int = 4, seed: int = 0) -> DataFrame:
     """KEY, idx (0-based place in a seeded order), item, is_true: the options of the decisions that have all n decoys."""
+    decoys = stored(decoys)
     full = decoys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == n).drop("_c")
     both = decided.select(*KEY, "item", F.lit(True).alias("is_true")).unionByName(decoys.select(*KEY, "item", F.lit(False).alias("is_true"))).join(full, KEY, "left_semi")
     mix = F.md5(F.concat_ws("|", F.lit(str(seed)), *KEY, F.lit("shuffle"), "item"))

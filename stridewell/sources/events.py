@@ -48,7 +48,7 @@ def options(decided: DataFrame) -> DataFrame:
         decided.filter("user_id is not null")
         .select("decision_id", "user_id", "answer_idx", F.posexplode("candidates").alias("idx", "item"))
         .filter("item is not null")
-        .select("decision_id", "user_id", "idx", "item", (F.col("idx") == F.col("answer_idx")).alias("is_true"))
+        .select("decision_id", "user_id", "idx", "item", F.coalesce(F.col("idx") == F.col("answer_idx"), F.lit(False)).alias("is_true"))
     )
 
 
