@@ -130,7 +130,8 @@ def ask_curve(recs: DataFrame, rates=tuple(k / 10 for k in range(11)), seed: int
 def poisson_bootstrap(rows: DataFrame, unit: str, top: Column, below: Column, draws: int = 1000, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Draws of sum(top) / sum(below) with each unit weighted by a Poisson(1) number fixed by seed, draw and unit.
 
-    No resampled table is built or joined: a unit's weights are computed where its row is.
+    No resampled table is built or joined: a unit's weights are computed where its row is. A draw in which every weight is
+    0 has a null value.
     """
     import math
 
@@ -142,7 +143,7 @@ def poisson_bootstrap(rows: DataFrame, unit: str, top: Column, below: Column, dr
         total += math.exp(-1) / math.factorial(k)
         w = w + (v >= total).cast("int")
     x = x.withColumn("_w", w)
-    return x.groupBy(*by, "draw").agg((F.sum(F.col("_w") * F.col("_a")) / F.sum(F.col("_w") * F.col("_b"))).alias("value"))
+    return x.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_a")), F.sum(F.col("_w") * F.col("_b"))).alias("value"))
 
 
 def interval(draws: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

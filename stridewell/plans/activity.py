@@ -72,8 +72,8 @@ pairs as (
 near_pairs as (select * from pairs where km <= 0.080)"""
 
 _SESSIONS = f"""{CHECKINS},
-marked as (select user_id, t, coalesce(cast(t - lag(t) over (partition by user_id order by t) > 14400 as int), 1) fresh from checkin_rows where user_id is not null and t is not null),
-counted as (select user_id, t, sum(fresh) over (partition by user_id order by t rows unbounded preceding) k from marked),
+marked as (select user_id, t, seq, coalesce(cast(t - lag(t) over (partition by user_id order by t, seq) > 14400 as int), 1) fresh from checkin_rows where user_id is not null and t is not null),
+counted as (select user_id, t, sum(fresh) over (partition by user_id order by t, seq rows unbounded preceding) k from marked),
 sessions as (select user_id, min(t) start_s, max(t) end_s, max(t) - min(t) duration_s, count(*) n_events from counted group by user_id, k)"""
 
 _VISITS = f"{CHECKINS}, visits as (select user_id, cat, t, item, count(*) n from checkin_rows where user_id is not null and cat is not null and t is not null and item is not null group by all)"

@@ -314,7 +314,7 @@ _WEIGHT = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(j) for j in rang
 
 def _boot(unit_sql: str, sf: str) -> str:
     return f"""units as ({unit_sql}), weighted as (select draw, a, b, {_WEIGHT} w from (select *, {uniform("'0'", 'cast(draw as varchar)', 'user_id')} u from units cross join (select unnest(generate_series(0, 999)) draw))),
-    draws as (select draw, sum(w * a) / sum(w * b) as value from weighted group by draw)
+    draws as (select draw, sum(w * a) / nullif(sum(w * b), 0) as value from weighted group by draw)
     select {sf}, round(quantile_cont(value, 0.025), 9) lo, round(quantile_cont(value, 0.975), 9) hi from draws"""
 
 
@@ -331,7 +331,7 @@ def bootstrap_ci_pooled(spark, d):
     """The same over decisions: a ratio of sums, resampled by user."""
     u = stored(_deltas(spark, d))
     ci = ranking.interval(ranking.poisson_bootstrap(u, "user_id", F.col("net"), F.col("n")))
-    return u.agg(F.round(F.sum("net") / F.sum("n"), 9).alias("mean")).crossJoin(ci)
+    return u.agg(F.round(F.try_divide(F.sum("net"), F.sum("n")), 9).alias("mean")).crossJoin(ci)
 
 
 @query(f"with {_DELTA} select count_if(delta > 0) n_up, count_if(delta < 0) n_down, count_if(delta = 0) n_same, case when count_if(delta > 0) > count_if(delta < 0) then 'up' when count_if(delta > 0) < count_if(delta < 0) then 'down' else 'even' end verdict from delta")
