@@ -128,7 +128,7 @@ def sentences(text: str) -> list[tuple[int, str]]:
     parts.append(text[at:])
     for k, part in enumerate(parts):
         part = _KEY.sub("", part)
-        if "(" in part and part.count("(") > 1 and "," in part or _OPTION.match(part):
+        if part.count("(") > 1 and (part.rstrip().endswith(")") or part.count("), ") > 1) or _OPTION.match(part):
             continue  # a list of places
         if _CODE.search(part):
             part = _MARKUP.sub(" ", part)
