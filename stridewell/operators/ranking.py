@@ -114,17 +114,20 @@ def ask_curve(recs: DataFrame, rates=tuple(k / 10 for k in range(11)), seed: int
 
     Sorted in ranges over all arms; the places within an arm follow from where the arm begins.
     """
-    base = recs.select("arm", "prediction_id", (F.col("top") == F.col("answer_idx")).cast("int").alias("plain"), (F.col("pick_ask") == F.col("answer_idx")).cast("int").alias("asked"), F.round(-F.col("gain"), 9).alias("k_value"), F.round("maxp", 9).alias("k_confidence"), hash32(seed, "arm", "prediction_id").alias("k_random"))
-    grid = recs.sparkSession.createDataFrame([(r,) for r in rates], "rate double")
-    out = None
-    for name in ("value", "confidence", "random"):
-        ranked = global_rank(base.select("arm", "prediction_id", "plain", "asked", F.col(f"k_{name}").alias("k")), ["arm", "k", "prediction_id"])
-        first = ranked.groupBy("arm").agg(F.min("rank").alias("first"), n_rows().alias("n"))
-        x = ranked.join(F.broadcast(first), "arm").crossJoin(F.broadcast(grid))  # one row an arm; the rates
-        hit = F.when(F.col("rank") - F.col("first") < F.bround(F.col("rate") * F.col("n")), F.col("asked")).otherwise(F.col("plain"))
-        one = x.groupBy("arm", "rate").agg(F.round(F.avg(hit.cast("double")), 9).alias("accuracy")).withColumn("trigger", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    triggers = F.array(
+        F.struct(F.lit("value").alias("trigger"), F.round(-F.col("gain"), 9).alias("k")),
+        F.struct(F.lit("confidence").alias("trigger"), F.round("maxp", 9).alias("k")),
+        F.struct(F.lit("random").alias("trigger"), hash32(seed, "arm", "prediction_id").cast("double").alias("k")),
+    )
+    plain, asked = ((F.col(c) == F.col("answer_idx")).cast("int") for c in ("top", "pick_ask"))
+    each = recs.select("arm", "prediction_id", plain.alias("plain"), asked.alias("asked"), F.inline(triggers))
+    ranked = global_rank(each, ["arm", "trigger", "k", "prediction_id"])
+    first = ranked.groupBy("arm", "trigger").agg(F.min("rank").alias("first"), n_rows().alias("n"))
+    at = F.col("rank") - F.col("first")
+    x = ranked.join(F.broadcast(first), ["arm", "trigger"])  # three rows an arm
+    sums = x.groupBy("arm", "trigger").agg(*(F.avg(F.when(at < F.bround(F.lit(r) * F.col("n")), F.col("asked")).otherwise(F.col("plain")).cast("double")).alias(f"a{k}") for k, r in enumerate(rates)))
+    rows = F.array(*(F.struct(F.lit(float(r)).alias("rate"), F.round(f"a{k}", 9).alias("accuracy")) for k, r in enumerate(rates)))
+    return sums.select("arm", "trigger", F.inline(rows)).select("arm", "rate", "accuracy", "trigger")
 
 
 def poisson_bootstrap(rows: DataFrame, unit: str, top: Column, below: Column, draws: int = 1000, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:

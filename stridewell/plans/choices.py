@@ -29,9 +29,10 @@ class Base:
 
     def __init__(self, spark: SparkSession, d: str):
         self.events = events(spark, d)
-        self.parts = timeline.split(timeline.ordered(self.events))
+        # four branches start from here: the sorted timelines are kept, as narrow rows
+        self.parts = stored(timeline.split(timeline.ordered(self.events.select("seq", "user_id", "t", "item"))).select("user_id", "rn", "t", "item", "held"))
         self.past = timeline.seen_before(self.parts)
-        self.bands = items.bands(timeline.popularity(self.parts), self.events)
+        self.bands = stored(items.bands(timeline.popularity(self.parts), self.events))
         self.novel = timeline.held_out(self.parts).filter("is_novel").select("user_id", "rn", "t", "item")
         self.cohort = stored(questions.cohort(self.novel, N_USERS, SEED))
         users = self.cohort.select("user_id").distinct()

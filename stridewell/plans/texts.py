@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import stored
 from ..functions import text
 from ..operators import items, retrieval
 from ..operators.features import type_dictionary
@@ -62,21 +63,22 @@ hits as (select t.decision_id, t.pos, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5
 scored as (select s.decision_id, s.pos, round(coalesce(h.score, 0), 9) score from sized s left join hits h on h.decision_id = s.decision_id and h.pos = s.pos)"""
 
 
-def history_labels(spark: SparkSession, d: str) -> DataFrame:
+def history_labels(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
     """decision_id, pos (1 is the oldest), label, cat of the history's places."""
     h = src.decisions(spark, d).filter("user_id is not null").select("decision_id", F.posexplode("history").alias("pos", "item")).filter("item is not null")
-    j = h.join(labels(spark, d), "item", "left")
+    j = h.join(labels(spark, d) if known is None else known, "item", "left")
     return j.select("decision_id", (F.col("pos") + 1).alias("pos"), F.coalesce("label", F.lit("Unknown")).alias("label"), F.coalesce("cat", F.lit("?")).alias("cat"))
 
 
-def option_labels(spark: SparkSession, d: str) -> DataFrame:
-    o = src.options(src.decisions(spark, d)).join(labels(spark, d), "item", "left")
+def option_labels(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
+    o = src.options(src.decisions(spark, d)).join(labels(spark, d) if known is None else known, "item", "left")
     return o.select("decision_id", "idx", F.coalesce("label", F.lit("Unknown")).alias("label"))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = history_labels(spark, d).select("decision_id", "pos", text.tokens(F.col("label")).alias("words"))
-    queries = option_labels(spark, d).select("decision_id", text.tokens(F.col("label")).alias("words"))
+    known = stored(labels(spark, d))
+    docs = stored(history_labels(spark, d, known).select("decision_id", "pos", text.tokens(F.col("label")).alias("words")))
+    queries = option_labels(spark, d, known).select("decision_id", text.tokens(F.col("label")).alias("words"))
     return retrieval.bm25(docs, queries)
 
 
@@ -101,12 +103,13 @@ prompts as (select o.decision_id, o.n, concat_ws(chr(10), '{text.HISTORY_HEAD.re
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """decision_id, n_options, prompt, history, cands (arrays of labels) of each decision with options."""
-    h = history_labels(spark, d)
+    known = stored(labels(spark, d))
+    h = stored(history_labels(spark, d, known))
     per = h.groupBy("decision_id", "cat").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p"))
     # a history has at most a dozen places
     top = per.groupBy("decision_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "cat"))), lambda x: x["cat"]), 1, 6).alias("top"))
     hist = h.groupBy("decision_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("history"))
-    opts = option_labels(spark, d).groupBy("decision_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"]), 1, 5).alias("cands"))
+    opts = option_labels(spark, d, known).groupBy("decision_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"]), 1, 5).alias("cands"))
     none = F.array().cast("array<string>")
     j = opts.join(hist, "decision_id", "left").join(top, "decision_id", "left").select("decision_id", "cands", F.coalesce("history", none).alias("history"), F.coalesce("top", none).alias("top"))
     return j.select("decision_id", F.size("cands").alias("n_options"), text.render_prompt(F.col("history"), F.col("top"), F.col("cands")).alias("prompt"), "history", "cands")
