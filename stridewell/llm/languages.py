@@ -250,12 +250,9 @@ def fit_sentences(texts: list[str], labels: np.ndarray, rounds: int = 2, epochs:
                 z = np.add.reduceat(model.weights[b], ends, axis=0) / size[block][:, None]
                 y = target[block]
                 pull = (y / (1 + np.exp(np.clip(z * y, -30, 30)))) / size[block][:, None] / len(block)
-                order = np.argsort(b, kind="stable")
-                edge = np.flatnonzero(np.concatenate(([True], np.diff(b[order]) != 0)))
-                step = np.add.reduceat(pull[mine[order]], edge, axis=0).astype(np.float32)
-                which = b[order][edge]
-                squares[which] += (step * step).sum(1)
-                model.weights[which] += 0.1 * step / np.sqrt(squares[which])[:, None]
+                step = np.stack([np.bincount(b, pull[mine, c], BINS) for c in range(code.shape[1])], axis=1).astype(np.float32)
+                squares += (step * step).sum(1)
+                model.weights += 0.1 * step / np.sqrt(squares)[:, None]
         right = np.clip((model.margins(texts) * target > 0).mean(0), 0.55, 0.999)
         model.bit_weight = np.log(right / (1 - right)).astype(np.float32)
         labels = model.decode(texts)[0]
