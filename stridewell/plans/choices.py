@@ -183,7 +183,7 @@ def genericness_bins(spark, d):
 _TEXTMATCHED = f"""{_WIDTH}, {_GENERIC},
 pool as (select w.user_id, w.rn, x.item, x.pop, abs(gx.g - gt.g) apart from widths w join bands x on abs(x.band - w.band) <= w.width and x.item <> w.item
   join bins gx on gx.item = x.item join bins gt on gt.item = w.item where not exists (select 1 from old o where o.user_id = w.user_id and o.item = x.item)),
-g_widths as (select user_id, rn, case when count_if(apart <= 0) >= 4 then 0 when count_if(apart <= 1) >= 4 then 1 when count_if(apart <= 2) >= 4 then 2 when count_if(apart <= 3) >= 4 then 3 else 4 end g_width from pool group by 1, 2),
+g_widths as (select user_id, rn, case when count(*) filter (where apart <= 0) >= 4 then 0 when count(*) filter (where apart <= 1) >= 4 then 1 when count(*) filter (where apart <= 2) >= 4 then 2 when count(*) filter (where apart <= 3) >= 4 then 3 else 4 end g_width from pool group by 1, 2),
 keyed as (select p.user_id, p.rn, p.item, g_width, -ln({uniform(f"'{SEED}'", 'p.user_id', 'cast(p.rn as varchar)', 'p.item')}) / (pop + 1) as key from pool p join g_widths g on g.user_id = p.user_id and g.rn = p.rn where apart <= g_width),
 decoys as (select * from (select user_id, rn, item, row_number() over (partition by user_id, rn order by key, item) - 1 nth from keyed) where nth < 4), {_SHUFFLED}"""
 
@@ -233,10 +233,10 @@ def popmatched_period_options(spark, d):
     f"""with {_PERIOD}, {_GENERIC},
     g_pool as (select w.user_id, w.rn, abs(gx.g - gt.g) apart from widths w join bands x on abs(x.band - w.band) <= w.width and x.item <> w.item
       join bins gx on gx.item = x.item join bins gt on gt.item = w.item where not exists (select 1 from old o where o.user_id = w.user_id and o.item = x.item)),
-    g_short as (select user_id, rn from g_pool group by 1, 2 having count_if(apart <= 0) < 4)
-    select 'popmatched' as condition, (select count(*) from cohort) n_rows, (select count_if(width > 0) from widths) n_fallback, (select count_if(width is null) from widths) n_dropped
-    union all select 'textmatched', (select count(*) from cohort), (select count(*) from g_short), (select count_if(width is null) from widths)
-    union all select 'popmatched_period', (select count(*) from cohort), (select count_if(p_width > 0) from p_widths), (select count(*) from cohort) - (select count(*) from p_widths)"""
+    g_short as (select user_id, rn from g_pool group by 1, 2 having count(*) filter (where apart <= 0) < 4)
+    select 'popmatched' as condition, (select count(*) from cohort) n_rows, (select count(*) filter (where width > 0) from widths) n_fallback, (select count(*) filter (where width is null) from widths) n_dropped
+    union all select 'textmatched', (select count(*) from cohort), (select count(*) from g_short), (select count(*) filter (where width is null) from widths)
+    union all select 'popmatched_period', (select count(*) from cohort), (select count(*) filter (where p_width > 0) from p_widths), (select count(*) from cohort) - (select count(*) from p_widths)"""
 )
 def fallback_stats(spark, d):
     """How many decisions had to widen their pool, and how many were dropped for want of decoys."""

@@ -128,13 +128,13 @@ def unit_of_resampling(spark, d):
 _SPOTS = "spots as (select item, arg_min(lat, seq) lat, arg_min(lon, seq) lon, arg_min(coalesce(cat, ''), seq) cat from ev where lat is not null and lon is not null group by item)"
 
 
-@query(f"with {EVENTS}, {_SPOTS} select round(round(lat / 0.0045) * 0.0045, 6) lat, round(round(lon / 0.006) * 0.006, 6) lon, item, (row_number() over (partition by round(lat / 0.0045), round(lon / 0.006) order by item) - 1 - (count(*) over (partition by round(lat / 0.0045), round(lon / 0.006)) - 1) / 2) * 20 as shift from spots")
+@query(f"with {EVENTS}, {_SPOTS} select round(round(lat / 0.0045) * 0.0045, 6) + 0.0 lat, round(round(lon / 0.006) * 0.006, 6) + 0.0 lon, item, (row_number() over (partition by round(lat / 0.0045), round(lon / 0.006) order by item) - 1 - (count(*) over (partition by round(lat / 0.0045), round(lon / 0.006)) - 1) / 2) * 20 as shift from spots")
 def marker_offsets(spark, d):
     """Markers that fall on one map cell, fanned out side by side."""
     s = items.coordinates(src.events(spark, d)).withColumn("y", F.round(F.col("lat") / 0.0045)).withColumn("x", F.round(F.col("lon") / 0.006))
     n = s.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("y", "x").orderBy("item")
-    return s.withColumn("i", F.row_number().over(w) - 1).join(n, ["y", "x"]).select(F.round(F.col("y") * 0.0045, 6).alias("lat"), F.round(F.col("x") * 0.006, 6).alias("lon"), "item", ((F.col("i") - (F.col("n") - 1) / 2) * 20).alias("shift"))
+    return s.withColumn("i", F.row_number().over(w) - 1).join(n, ["y", "x"]).select((F.round(F.col("y") * 0.0045, 6) + 0.0).alias("lat"), (F.round(F.col("x") * 0.006, 6) + 0.0).alias("lon"), "item", ((F.col("i") - (F.col("n") - 1) / 2) * 20).alias("shift"))
 
 
 @query(
@@ -151,7 +151,7 @@ def fit_boxes(spark, d):
     return b.select("user_id", r(y["low"]).alias("south"), r(y["high"]).alias("north"), r(x["low"]).alias("west"), r(x["high"]).alias("east"), F.round(planar.planar_km(F.col("s"), F.col("w"), F.col("n"), F.col("e")), 5).alias("span_km"))
 
 
-@query(f"with {EVENTS} select round(lat, 3) lat, round(lon, 3) lon, count(*) n, string_agg(distinct cat, '|' order by cat) kinds from ev where lat is not null and lon is not null and cat is not null group by 1, 2")
+@query(f"with {EVENTS} select round(lat, 3) + 0.0 lat, round(lon, 3) + 0.0 lon, count(*) n, string_agg(distinct cat, '|' order by cat) kinds from ev where lat is not null and lon is not null and cat is not null group by 1, 2")
 def visits_by_point(spark, d):
     """Visits of each point with the set of kinds of place."""
     e = src.events(spark, d).filter("lat is not null and lon is not null and cat is not null")

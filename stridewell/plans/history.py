@@ -33,7 +33,7 @@ def eligible_users(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
 
 
-@query(f"with {LINES} select user_id, min(n) n, count_if(not held) n_pre, count_if(held) n_held from parts group by user_id")
+@query(f"with {LINES} select user_id, min(n) n, count(*) filter (where not held) n_pre, count(*) filter (where held) n_held from parts group by user_id")
 def temporal_split(spark, d):
     return _parts(spark, d).groupBy("user_id").agg(F.min("n").alias("n"), F.count_if(~F.col("held")).alias("n_pre"), F.count_if("held").alias("n_held"))
 
@@ -63,7 +63,7 @@ def novel_decisions(spark, d):
     return timeline.ordered(novel.select("user_id", "t", "item", "seq", F.col("rn").alias("at"))).select("user_id", F.col("at").alias("rn"), "t", "item", F.col("rn").alias("decision_no"))
 
 
-@query(f"with {LINES} select user_id, count(*) n_pooled, count_if(is_novel) n_novel, count_if(not is_novel) n_revisit from held group by user_id")
+@query(f"with {LINES} select user_id, count(*) n_pooled, count(*) filter (where is_novel) n_novel, count(*) filter (where not is_novel) n_revisit from held group by user_id")
 def revisit_partition(spark, d):
     return timeline.held_out(_parts(spark, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_pooled"), F.count_if("is_novel").alias("n_novel"), F.count_if(~F.col("is_novel")).alias("n_revisit"))
 
@@ -200,7 +200,7 @@ def duplicates(spark, d):
 
 @query(
     f"""with {LINES}, x as (select item, t, lag(item) over o p, lag(t) over o pt from line window o as (partition by user_id order by t, item, seq))
-    select count(p) n_pairs, count_if(item = p) n_same_item, count_if(t - pt < 60) n_under_minute, count_if(item = p and t - pt < 60) n_both from x"""
+    select count(p) n_pairs, count(*) filter (where item = p) n_same_item, count(*) filter (where t - pt < 60) n_under_minute, count(*) filter (where item = p and t - pt < 60) n_both from x"""
 )
 def consecutive_gaps(spark, d):
     line = timeline.ordered(events(spark, d)).filter("prev is not null")
@@ -211,7 +211,7 @@ def consecutive_gaps(spark, d):
 @query(
     f"""with {LINES}, u as (select user_id, count(*) n, row_number() over (order by count(*) desc, user_id) r, count(*) over () n_users from ev group by user_id)
     select (select count(*) from ev) n_events, (select count(*) from u) n_users, (select count(distinct user_id) from parts) n_eligible, (select count(*) from parts) n_eligible_events,
-    (select count(*) from held) n_held, (select count_if(is_novel) from held) n_novel,
+    (select count(*) from held) n_held, (select count(*) filter (where is_novel) from held) n_novel,
     (select round(sum(n) / (select count(*) from ev), 9) from u where r <= floor(n_users / 10)) top_decile_share"""
 )
 def funnel(spark, d):
@@ -262,7 +262,7 @@ def items_of_two_users(spark, d):
 
 @query(
     f"""with {EVENTS}, b as (select *, lat between -35 and 65 and lon between -120 and 150 inside from ev where lat is not null and lon is not null)
-    select count(*) n_located, count_if(not inside) n_outside, round(count_if(not inside) / count(*), 9) share_outside, count(distinct item) filter (not inside) items_outside from b"""
+    select count(*) n_located, count(*) filter (where not inside) n_outside, round(count(*) filter (where not inside) / count(*), 9) share_outside, count(distinct item) filter (not inside) items_outside from b"""
 )
 def outside_box(spark, d):
     """Events with coordinates outside a box, and their items."""
@@ -272,7 +272,7 @@ def outside_box(spark, d):
 
 @query(
     f"""with {EVENTS}, p as (select {norm('cat')} cat, is_private from categories)
-    select coalesce(cast(is_private as varchar), 'unknown') private, count(*) n_events, count_if(name is null) n_unnamed, count_if(lat is null) n_unlocated from ev left join p on ev.cat = p.cat group by 1"""
+    select coalesce(cast(is_private as varchar), 'unknown') private, count(*) n_events, count(*) filter (where name is null) n_unnamed, count(*) filter (where lat is null) n_unlocated from ev left join p on ev.cat = p.cat group by 1"""
 )
 def private_and_unnamed(spark, d):
     private = table(spark, d, "categories").select(norm_id("cat").alias("cat"), "is_private")
@@ -280,7 +280,7 @@ def private_and_unnamed(spark, d):
     return e.groupBy(F.coalesce(F.col("is_private").cast("string"), F.lit("unknown")).alias("private")).agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("name").isNull()).alias("n_unnamed"), F.count_if(F.col("lat").isNull()).alias("n_unlocated"))
 
 
-@query(f"with {EVENTS} select round(round(lat / 0.0045) * 0.0045, 6) lat, round(round(lon / 0.006) * 0.006, 6) lon, count(*) n, count(distinct cat) n_cats from ev where lat is not null and lon is not null group by 1, 2")
+@query(f"with {EVENTS} select round(round(lat / 0.0045) * 0.0045, 6) + 0.0 lat, round(round(lon / 0.006) * 0.006, 6) + 0.0 lon, count(*) n, count(distinct cat) n_cats from ev where lat is not null and lon is not null group by 1, 2")
 def grid_snapping(spark, d):
     """Visits per cell of a grid of about 500 m."""
     snap = lambda c, s: F.round(F.round(F.col(c) / s) * s, 6)

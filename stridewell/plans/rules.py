@@ -192,8 +192,8 @@ def period_rule_expected_accuracy(spark, d):
 
 
 @query(
-    f"""with {_ACTIVE}, r as (select decision_id, period, count(*) n_slots, count_if(not active) n_off from slots group by 1, 2)
-    select coalesce(period, 'all') period, count(*) n_rows, count_if(n_off > 0) n_rows_off, cast(sum(n_slots) as bigint) n_slots, cast(sum(n_off) as bigint) n_off, round(sum(n_off) / sum(n_slots), 9) share_off from r group by rollup (period)"""
+    f"""with {_ACTIVE}, r as (select decision_id, period, count(*) n_slots, count(*) filter (where not active) n_off from slots group by 1, 2)
+    select coalesce(period, 'all') period, count(*) n_rows, count(*) filter (where n_off > 0) n_rows_off, cast(sum(n_slots) as bigint) n_slots, cast(sum(n_off) as bigint) n_off, round(sum(n_off) / sum(n_slots), 9) share_off from r group by rollup (period)"""
 )
 def off_period_rollup(spark, d):
     """Options not active in the decision's period, by period and in all."""
@@ -202,8 +202,8 @@ def off_period_rollup(spark, d):
 
 
 @query(
-    f"""with {DECISIONS} select count(*) n, count_if(user_id is null) no_user, count_if(len(coalesce(candidates, [])) <> k) wrong_number, count_if(len(list_distinct(list_filter(candidates, lambda c: c is not null))) < len(list_filter(candidates, lambda c: c is not null))) repeated,
-    count_if(len(list_filter(candidates, lambda c: c is null)) > 0) with_missing, count_if(answer_idx is null) no_answer, count_if(candidates[answer_idx + 1] <> true_item) wrong_answer, count_if(list_contains(history, true_item)) true_in_history from dec"""
+    f"""with {DECISIONS} select count(*) n, count(*) filter (where user_id is null) no_user, count(*) filter (where len(coalesce(candidates, [])) <> k) wrong_number, count(*) filter (where len(list_distinct(list_filter(candidates, lambda c: c is not null))) < len(list_filter(candidates, lambda c: c is not null))) repeated,
+    count(*) filter (where len(list_filter(candidates, lambda c: c is null)) > 0) with_missing, count(*) filter (where answer_idx is null) no_answer, count(*) filter (where candidates[answer_idx + 1] <> true_item) wrong_answer, count(*) filter (where list_contains(history, true_item)) true_in_history from dec"""
 )
 def label_quality(spark, d):
     """Counts of malformed decisions."""
@@ -418,7 +418,7 @@ def nearest_rank_quantiles(spark, d):
 
 @query(
     f"""with {LINES}, {DECISIONS}, {PREDICTIONS} select 'cut after start' as check_name, count(*) n_violations from parts where held and rn <= cut union all
-    select 'novel and revisits sum up', count(*) from (select user_id from held group by 1 having count_if(is_novel) + count_if(not is_novel) <> count(*)) union all
+    select 'novel and revisits sum up', count(*) from (select user_id from held group by 1 having count(*) filter (where is_novel) + count(*) filter (where not is_novel) <> count(*)) union all
     select 'prediction without decision', count(*) from predictions p where not exists (select 1 from decisions d where d.decision_id = p.decision_id) union all
     select 'answers differ', count(*) from pred p join dec d on p.decision_id = d.decision_id where p.answer_idx <> d.answer_idx union all
     select 'probabilities not five', count(*) from pred where len(logprobs) <> 5"""

@@ -49,7 +49,7 @@ def per_user_accuracy(spark, d):
 
 
 @query(
-    f"""with {PREDICTIONS}, u as (select arm, user_id, count(*) n, sum(coalesce(pick = answer_idx, false)::int) hits, count_if(pick is null) unparsed from pred group by 1, 2)
+    f"""with {PREDICTIONS}, u as (select arm, user_id, count(*) n, sum(coalesce(pick = answer_idx, false)::int) hits, count(*) filter (where pick is null) unparsed from pred group by 1, 2)
     select arm, cast(sum(n) as bigint) n, round(sum(hits) / sum(n), 9) micro, round(avg(hits / n), 9) macro, round(sum(unparsed) / sum(n), 9) unparsed from u group by arm"""
 )
 def micro_macro_accuracy(spark, d):
@@ -87,7 +87,7 @@ def ece(spark, d):
 
 
 @query(
-    f"""with {_P}, w as (select arm, level, count(*) n, count_if(top <> answer_idx and c >= level) n_wrong from probs cross join (select unnest([0.5, 0.6, 0.7, 0.8])::double as level) group by 1, 2)
+    f"""with {_P}, w as (select arm, level, count(*) n, count(*) filter (where top <> answer_idx and c >= level) n_wrong from probs cross join (select unnest([0.5, 0.6, 0.7, 0.8])::double as level) group by 1, 2)
     select arm, level, n_wrong, round(n_wrong / n, 9) as share from w"""
 )
 def confidently_wrong(spark, d):
@@ -129,7 +129,7 @@ cats as (select decision_id, list(cat order by idx) cats from slots group by 1)"
 _MENU = f"""{_CATS}, {_P},
 rec as (select p.*, c.cats from probs p join cats c on p.decision_id = c.decision_id where len(p.logprobs) = 5),
 cells as (select prediction_id, i idx, p[i + 1] p, cats[i + 1] cat, maxp from (select prediction_id, p, cats, maxp, unnest(generate_series(0, 4)) i from rec)),
-asked as (select c.prediction_id, q.cat, sum(case when c.cat is not distinct from q.cat then c.p else 0 end) py, count_if(c.cat is not distinct from q.cat) n_yes,
+asked as (select c.prediction_id, q.cat, sum(case when c.cat is not distinct from q.cat then c.p else 0 end) py, count(*) filter (where c.cat is not distinct from q.cat) n_yes,
     max(case when c.cat is not distinct from q.cat then c.p else 0 end) + max(case when c.cat is not distinct from q.cat then 0 else c.p end) - max(c.maxp) evpi
   from cells c join (select distinct prediction_id, cat from cells where cat is not null) q on c.prediction_id = q.prediction_id group by 1, 2),
 menu as (select *, -(py * ln(py) + (1 - py) * ln(1 - py)) ig from asked where py > 0 and py < 1 and n_yes < 5)"""
@@ -241,7 +241,7 @@ def arm_selection(spark, d):
     f"""with {_REC}, t as (select arm, median(gain) tau from records group by arm),
     plays as (select r.prediction_id, r.arm, policy, (case policy when 'never' then false when 'always' then true else gain >= tau end) and q_cat is not null asks, top, pick_ask, answer_idx
       from records r join t on r.arm = t.arm cross join (select unnest(['never', 'unsure', 'always']) policy))
-    select arm, policy, count(*) n, count_if(asks) n_asked, round(avg(((case when asks then pick_ask else top end) = answer_idx)::int), 9) accuracy from plays group by 1, 2"""
+    select arm, policy, count(*) n, count(*) filter (where asks) n_asked, round(avg(((case when asks then pick_ask else top end) = answer_idx)::int), 9) accuracy from plays group by 1, 2"""
 )
 def replay_policies(spark, d):
     """Every decision replayed under three policies: never ask, ask from the median gain on, always ask."""
@@ -291,7 +291,7 @@ def flip_table(spark, d):
     return _paired(spark, d).groupBy("ok_a", "ok_b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_PAIR} select count(*) n, count_if(pick_a <> pick_b) n_changed, round(avg((pick_a = pick_b)::int), 9) agreement, round(avg((pick_a = 0)::int), 9) first_letter_a, round(avg((pick_b = 0)::int), 9) first_letter_b from pair")
+@query(f"with {_PAIR} select count(*) n, count(*) filter (where pick_a <> pick_b) n_changed, round(avg((pick_a = pick_b)::int), 9) agreement, round(avg((pick_a = 0)::int), 9) first_letter_a, round(avg((pick_b = 0)::int), 9) first_letter_b from pair")
 def pick_agreement(spark, d):
     return _paired(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pick_a") != F.col("pick_b")).alias("n_changed"), ranking.share(F.col("pick_a") == F.col("pick_b")).alias("agreement"), ranking.share(F.col("pick_a") == 0).alias("first_letter_a"), ranking.share(F.col("pick_b") == 0).alias("first_letter_b"))
 
@@ -334,7 +334,7 @@ def bootstrap_ci_pooled(spark, d):
     return u.agg(F.round(F.try_divide(F.sum("net"), F.sum("n")), 9).alias("mean")).crossJoin(ci)
 
 
-@query(f"with {_DELTA} select count_if(delta > 0) n_up, count_if(delta < 0) n_down, count_if(delta = 0) n_same, case when count_if(delta > 0) > count_if(delta < 0) then 'up' when count_if(delta > 0) < count_if(delta < 0) then 'down' else 'even' end verdict from delta")
+@query(f"with {_DELTA} select count(*) filter (where delta > 0) n_up, count(*) filter (where delta < 0) n_down, count(*) filter (where delta = 0) n_same, case when count(*) filter (where delta > 0) > count(*) filter (where delta < 0) then 'up' when count(*) filter (where delta > 0) < count(*) filter (where delta < 0) then 'down' else 'even' end verdict from delta")
 def sign_counts(spark, d):
     """Users that gained and lost; ranking.sign_test gives the exact p of the two counts."""
     up, down = F.count_if(F.col("delta") > 0), F.count_if(F.col("delta") < 0)

@@ -47,7 +47,7 @@ def counter_deltas(spark, d):
 
 
 @query(
-    f"""with {_REQ}, s as (select t // 600 * 600 t, count(*) n, count_if(failed) errors from req group by 1), w as (select *, coalesce(sum(n) over (order by t desc rows between unbounded preceding and 1 preceding), 0) newer, max(t) over () ending from s)
+    f"""with {_REQ}, s as (select t // 600 * 600 t, count(*) n, count(*) filter (where failed) errors from req group by 1), w as (select *, coalesce(sum(n) over (order by t desc rows between unbounded preceding and 1 preceding), 0) newer, max(t) over () ending from s)
     select count(*) n_scrapes, cast(sum(n) as bigint) n, cast(sum(errors) as bigint) errors, round(sum(errors) / sum(n), 9) share, case when sum(n) < 10 then 'FEW' when sum(errors) / sum(n) > 0.3 then 'ALERT' else 'OK' end state from w where newer < 500 and ending - t <= 86400"""
 )
 def sliding_error_share(spark, d):
@@ -59,7 +59,7 @@ def sliding_error_share(spark, d):
 
 
 @query(
-    f"""with {_REQ}, edges as (select unnest([10, 25, 50, 100, 200, 'infinity'::double])::double le), b as (select event_type, le, count_if(value <= le)::double c from req cross join edges where value is not null group by 1, 2),
+    f"""with {_REQ}, edges as (select unnest([10, 25, 50, 100, 200, 'infinity'::double])::double le), b as (select event_type, le, count(*) filter (where value <= le)::double c from req cross join edges where value is not null group by 1, 2),
     x as (select *, coalesce(lag(le) over o, 0) le0, coalesce(lag(c) over o, 0) c0, 0.95::double * max(c) over (partition by event_type) goal from b window o as (partition by event_type order by le)),
     y as (select *, case when goal > 0 then case when isinf(le) then le0 else le0 + (le - le0) * (goal - c0) / greatest(c - c0, 1e-9) end end v, row_number() over (partition by event_type order by le) r from x where c >= goal)
     select event_type, round(v, 6) quantile from y where r = 1"""
@@ -91,7 +91,7 @@ def tally_once(spark, d):
     return r.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_REQ} select event_type, t // 3600 * 3600 t, count(*) n, count_if(failed) errors, round(sum(value), 6) total from req group by 1, 2")
+@query(f"with {_REQ} select event_type, t // 3600 * 3600 t, count(*) n, count(*) filter (where failed) errors, round(sum(value), 6) total from req group by 1, 2")
 def hourly_counts(spark, d):
     r = requests(spark, d).groupBy("event_type", (F.expr("t div 3600") * 3600).alias("t"))
     return r.agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("errors"), F.round(F.sum("value"), 6).alias("total"))
