@@ -33,9 +33,11 @@ def epoch_s(df: DataFrame, name: str) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; choose one only where none is configured (tests, a laptop)."""
+    """Use the cluster's shared checkpoint folder; choose one only on a single machine where none is configured."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "stridewell-checkpoints"))
 
 

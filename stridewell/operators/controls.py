@@ -64,7 +64,7 @@ def _length_pairs(mine: DataFrame, length: DataFrame) -> DataFrame:
     own = mine.select("len").distinct()
     r = F.abs(F.log(F.col("len2") / F.col("len")))
     band = F.coalesce(*(F.when(r <= math.log(b) + 1e-12, F.lit(k)) for k, b in enumerate(RATIOS[:-1])), F.lit(len(RATIOS) - 1))
-    # different lengths against different lengths: at most sqrt(2 n) of them each
-    grid = own.join(sizes.withColumnRenamed("len", "len2"), F.lit(True)).withColumn("band", band).withColumn("others", F.col("c") - (F.col("len") == F.col("len2")).cast("int")).filter("others > 0")
+    # the query users' lengths, at most one each of the stated query set, beside all different lengths: at most sqrt(2 n)
+    grid = sizes.withColumnRenamed("len", "len2").crossJoin(F.broadcast(own)).withColumn("band", band).withColumn("others", F.col("c") - (F.col("len") == F.col("len2")).cast("int")).filter("others > 0")
     narrow = grid.withColumn("b", F.min("band").over(Window.partitionBy("len"))).filter("band = b").select("len", "len2")
     return mine.join(narrow, "len").join(length.select(F.col("user_id").alias("donor"), F.col("len").alias("len2")), "len2").filter("user_id <> donor")

@@ -78,14 +78,17 @@ def draw_decoys(decided: DataFrame, line: DataFrame, past: DataFrame | None, n:
     good = stored(hits.withColumn("nth", nth).filter(F.col("nth") < n).select(*KEY, "item", "nth"))
     full = good.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= n)
     short = d.join(full, KEY, "left_anti")
-    rest = race(pool_of_stretch(short, line, past), n, seed, F.col("w"))
+    rest = race(pool_of_stretch(short, line, past, width), n, seed, F.col("w"))
     return good.join(full, KEY, "left_semi").unionByName(rest)
 
 
-def pool_of_stretch(decided: DataFrame, line: DataFrame, past: DataFrame | None) -> DataFrame:
-    """Every possible decoy of the (few) decisions given: KEY, item, w."""
-    span = line.select("item", "w_from", "w")
-    pool = decided.join(span, (F.col("w_from") < F.col("hi")) & (F.col("w_from") >= F.col("lo")) & (F.col("item") != F.col("_true"))).select(*KEY, "item", "w")
+def pool_of_stretch(decided: DataFrame, line: DataFrame, past: DataFrame | None, width: int) -> DataFrame:
+    """Every possible decoy of the (few) decisions given: KEY, item, w. An equi-join on the buckets of the line, each item
+    in the one where it begins.
+    """
+    spread = decided.withColumn("_b", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")))
+    span = line.select("item", "w_from", "w", F.expr(f"w_from div {width}").alias("_b"))
+    pool = spread.join(span, "_b").filter("w_from >= lo and w_from < hi and item <> _true").select(*KEY, "item", "w")
     return pool.join(past.select("user_id", "item"), ["user_id", "item"], "left_anti").select(*KEY, "item", "w") if past is not None else pool
 
 

@@ -76,11 +76,10 @@ def confidently_wrong(preds: DataFrame, levels=(0.5, 0.6, 0.7, 0.8)) -> DataFram
 
 def temperature_nll(preds: DataFrame, *by: str, low: float = 0.25, high: float = 50.0, steps: int = 200) -> DataFrame:
     """Mean negative log-likelihood of the answers at each temperature of a log-spaced grid; summed before the shuffle."""
-    grid = preds.sparkSession.range(steps).select(F.col("id").cast("int").alias("step"), (F.lit(low) * F.pow(F.lit(high / low), F.col("id") / F.lit(steps - 1))).alias("temperature"))
     lp = F.col("logprobs")
     # shift so that the largest is 0: the answer's part and the sum are then exponentials of numbers at most 0
     shifted = preds.select(*by, F.transform(lp, lambda x: x - F.array_max(lp)).alias("z"), "answer_idx")
-    x = shifted.crossJoin(F.broadcast(grid))  # as many rows as the grid has steps
+    x = shifted.withColumn("step", F.explode(F.expr(f"sequence(0, {steps - 1})"))).withColumn("temperature", F.lit(low) * F.pow(F.lit(high / low), F.col("step") / F.lit(steps - 1)))
     nll = F.log(F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v / F.col("temperature")))) - F.get("z", "answer_idx") / F.col("temperature")
     return x.groupBy(*by, "step", "temperature").agg(F.avg(F.least(nll, F.lit(690.7755278982137))).alias("nll"))
 
