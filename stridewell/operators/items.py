@@ -15,7 +15,7 @@ def metadata(events: DataFrame) -> DataFrame:
 
 def coordinates(events: DataFrame) -> DataFrame:
     """item, lat, lon of the first event (by seq) that has both."""
-    return events.filter("lat is not null and lon is not null").groupBy("item").agg(F.min_by(F.struct("lat", "lon"), "seq").alias("p")).select("item", "p.lat", "p.lon")
+    return events.filter("lat is not null and lon is not null").groupBy("item").agg(F.min_by("lat", "seq").alias("lat"), F.min_by("lon", "seq").alias("lon"))
 
 
 def global_rank(df: DataFrame, order: list[str], rank: str = "rank", add_up: str | None = None) -> DataFrame:

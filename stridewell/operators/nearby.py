@@ -35,11 +35,10 @@ def first_places(events: DataFrame, item: str = "item", lat: str = "lat", lon: s
     require_columns(events, item, lat, lon, seq)
     return (
         events.filter(is_located(F.col(lat), F.col(lon)))
-        .select(norm_id(item).alias("item"), F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon")).alias("p"), F.col(seq).alias("seq"))
+        .select(norm_id(item).alias("item"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), F.col(seq).alias("seq"))
         .filter("item is not null and seq is not null")
         .groupBy("item")
-        .agg(F.min_by("p", "seq").alias("p"))
-        .select("item", "p.lat", "p.lon")
+        .agg(F.min_by("lat", "seq").alias("lat"), F.min_by("lon", "seq").alias("lon"))  # of the same row; numbers aggregate by hash, a struct would be sorted
     )
 
 
