@@ -15,7 +15,7 @@ def norm_id(c: Column | str) -> Column:
     """Canonical id: spaces and tabs cut at both ends, lower case; null when nothing but blanks is left."""
     c = F.col(c) if isinstance(c, str) else c
     cut = F.lower(F.btrim(c, F.lit(BLANKS)))
-    return F.when(F.btrim(cut, F.lit(" \t\r\n\f ")) != "", cut)
+    return F.when(F.btrim(cut, F.lit(" \t\r\n\f\u00a0")) != "", cut)
 
 
 def epoch_s(df: DataFrame, name: str) -> Column:

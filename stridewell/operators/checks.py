@@ -29,6 +29,16 @@ def misaligned(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -
     return x.join(y, key, "full").filter(bad).drop("_a", "_b")
 
 
+def value_differences(a: DataFrame, b: DataFrame, key: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Rows (key, value as text) of two tables of paths that only one has, or whose values differ: numbers by more than
+    `tolerance`, other texts at all.
+    """
+    x, y = a.select(*key, F.col("value").alias("a_value"), F.lit(True).alias("_a")), b.select(*key, F.col("value").alias("b_value"), F.lit(True).alias("_b"))
+    m, n = F.expr("try_cast(a_value as double)"), F.expr("try_cast(b_value as double)")
+    same = F.when(m.isNotNull() & n.isNotNull(), F.abs(m - n) <= tolerance).otherwise(F.col("a_value").eqNullSafe(F.col("b_value")))
+    return x.join(y, key, "full").filter(F.col("_a").isNull() | F.col("_b").isNull() | ~same).drop("_a", "_b")
+
+
 def shared(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that two sets which must be disjoint have in common."""
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")

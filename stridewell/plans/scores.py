@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..common import norm_id, stored
 from ..functions import scoring as s
+from ..functions import text
 from ..operators import items, nearby, ranking, sampling
 from ..sources import events as src
 from .sql import DECISIONS, EVENTS, PREDICTIONS, Y2017, hash32, uniform
@@ -169,6 +170,29 @@ def evpi_question(spark, d):
     return _best(spark, d, "evpi")
 
 
+@query(
+    f"""with {_MENU}, firsts as (select prediction_id, cat, min(idx) pos from cells where cat is not null group by 1, 2),
+    ranked as (select m.prediction_id, m.cat, m.evpi, f.pos, row_number() over (partition by m.prediction_id order by -round(m.evpi, 12), f.pos) k from menu m join firsts f on f.prediction_id = m.prediction_id and f.cat = m.cat)
+    select prediction_id, cat, cast(pos as int) pos, round(evpi, 7) evpi from ranked where k = 1"""
+)
+def menu_question(spark, d):
+    """The question of the largest gain when the menu is in the options' order, and the first of equals is taken."""
+    r = _records(spark, d)
+    placed = F.transform("menu", lambda q: F.struct((-F.round(q["evpi"], 12)).alias("s"), (F.array_position("cats", q["cat"]) - 1).cast("int").alias("pos"), q["cat"].alias("cat"), q["evpi"].alias("evpi")))
+    return r.withColumn("b", F.array_min(placed)).filter("b is not null").select("prediction_id", "b.cat", "b.pos", F.round("b.evpi", 7).alias("evpi"))
+
+
+@query(f"with {PREDICTIONS} select prediction_id, cast(i - 1 as int) idx, case when logprobs[i] > -30 then logprobs[i] else -30.0::double end lp from (select prediction_id, logprobs, unnest(generate_series(1, 5)) i from pred where len(logprobs) = 5)")
+def letter_logprobs(spark, d):
+    """Log-probabilities read back from token lists in which letters come with blanks, twice, and among other tokens."""
+    p = src.predictions(spark, d).filter("size(logprobs) = 5")
+    letter = lambda i: F.substring(F.lit(text.LETTERS), i + 1, F.lit(1))
+    own = F.transform("logprobs", lambda x, i: F.struct(F.concat(F.when(i % 2 == 0, " ").otherwise(""), letter(i)).alias("token"), x.alias("logprob")))
+    worse = F.transform("logprobs", lambda x, i: F.struct(letter(i).alias("token"), (x - 1).alias("logprob")))
+    other = F.array(F.struct(F.lit("The").alias("token"), F.lit(-0.01).alias("logprob")))
+    return p.select("prediction_id", F.posexplode(text.letter_logprobs(F.concat(other, worse, own))).alias("idx", "lp"))
+
+
 _REC = f"""{_MENU},
 quest as (select * from (select *, row_number() over (partition by prediction_id order by -round(ig, 12), cat) k from menu) where k = 1),
 full_rec as (select r.*, q.cat q_cat, q.py, greatest(0, coalesce(q.evpi, 0)) gain, coalesce(r.cats[answer_idx + 1] = q.cat, false) truth from rec r left join quest q on r.prediction_id = q.prediction_id),

@@ -174,3 +174,6 @@ def test_checks_find_what_is_wrong(spark):
     assert sorted(r.k for r in checks.misaligned(b, c, ["k"], ["v"]).collect()) == [2, 3]
     assert [r.k for r in checks.shared(a, spark.createDataFrame([(4,), (9,)], "k int"), "k").collect()] == [4]
     assert checks.differences(a, a, ["k"]).isEmpty()
+    x = spark.createDataFrame([("a.b", "0.5"), ("a.c", "yes"), ("d", "1"), ("e", None)], "path string, value string")
+    y = spark.createDataFrame([("a.b", "0.50000000001"), ("a.c", "no"), ("f", "1"), ("e", None)], "path string, value string")
+    assert sorted(r.path for r in checks.value_differences(x, y, ["path"]).collect()) == ["a.c", "d", "f"]
