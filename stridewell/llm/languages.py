@@ -59,10 +59,10 @@ def label_language(label: Column) -> Column:
 
 # --- sentences -----------------------------------------------------------------------------------------------------
 
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _DAMAGED = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]+")
 _SPLIT = re.compile(
-    r"\\r|\\n|\\t|[\r\n\t\v\f  ]+"  # lines, also as they are escaped in JSON
+    r"\\r|\\n|\\t|[\r\n\t\v\f\u2028\u2029]+"  # lines, also as they are escaped in JSON
     r"|(?<=[.!?…])[\"'”’»)\]]*\s+"
     r"|(?<=[.!?…])(?=[¿¡])"
     r"|\s[/|•·]\s"

@@ -58,7 +58,7 @@ def test_holds_out(model):
 
 def test_tidy_and_sentences():
     assert L.tidy("CafÃ© &amp; Co") == "Café & Co"
-    assert L.tidy("Ðąx") and L.tidy("a​b\xa0c") == "ab c"
+    assert L.tidy("Ðąx") and L.tidy("a\u200bb\xa0c") == "ab c"
     text = 'Wir waren heute bei Bel No. 9 und es war gut. The bus was very late / Il treno era in ritardo oggi!\n  A. Haus Tor (Bäckerei)\n  B. Tor (Bar), Zu (Bar), Ho (Bar)\n```\nx_total{path="/a"} 4\n```\nnon voglio andare via con te'
     assert [w.split()[0] for _, w in L.sentences(text)] == ["wir", "the", "il", "non"]
     row = '{"user":"u1","prompt":"Lugares por \\u00faltimo, o mais recente:\\nResponda com uma letra por favor."}'

@@ -17,7 +17,7 @@ def oracle():
 
 def samples():
     rng = random.Random(0)
-    alphabet = list("abcdefgh ETAOIN  \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 　​'’.,;:-_0123½²٣éşığüÃ©﻿🙂👩🏽‍🍳漢字かなконькиß")
+    alphabet = list("abcdefgh ETAOIN  \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000\u200b'’.,;:-_0123½²٣éşığüÃ©\ufeff🙂👩🏽\u200d🍳漢字かなконькиß")
     yield from ("", " ", "  ", "a", "\n\n x", "don't we'll I'M", "<|endoftext|>", "e" * 5000, " " * 3000 + "x", "漢" * 700, "0" * 2001, "ab" * 1500, "🙂" * 300, "Ω≈ç√∫˜µ")
     for _ in range(400):
         yield "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
