@@ -35,15 +35,20 @@ def p4_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions(table(spark, d, "checkins"), gap_s=GAP_S)
 
 
+def event_types(spark: SparkSession, d: str) -> list[str]:
+    """The listed categories and any others that check-ins have, so that none of them ends up among (other)."""
+    return features.type_dictionary(table(spark, d, "categories").select("cat").unionByName(table(spark, d, "checkins").select("cat")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    types = features.type_dictionary(table(spark, d, "categories"))
+    types = event_types(spark, d)
     vectors = features.sparse_vectors(table(spark, d, "checkins"), types, distinct_by=("item",), between=HALF_YEAR)
     return features.entries(vectors, types).filter("n >= 3").select("user_id", "cat")
 
 
 def p5_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Over all time, in long form: different check-ins, rows delivered, last time."""
-    types = features.type_dictionary(table(spark, d, "categories"))
+    types = event_types(spark, d)
     vectors = features.sparse_vectors(table(spark, d, "checkins"), types, distinct_by=("item",))
     return features.entries(vectors, types)
 
@@ -84,6 +89,5 @@ SQL = {
     "p4_found": f"with {_SESSIONS} select user_id, start_s, end_s from sessions",
     "p4_sessions": f"with {_SESSIONS} select * from sessions",
     "p5_found": f"with {_VISITS} select user_id, cat from visits where t >= {HALF_YEAR[0]} and t < {HALF_YEAR[1]} group by user_id, cat having count(*) >= 3",
-    "p5_vectors": f"""with {_VISITS} select user_id, case when cat in (select {norm('cat')} from categories) then cat else '(other)' end as cat,
-        count(*) n, cast(sum(n) as double) total, max(t) last_s from visits group by 1, 2""",
+    "p5_vectors": f"""with {_VISITS} select user_id, cat, count(*) n, cast(sum(n) as double) total, max(t) last_s from visits group by 1, 2""",
 }
