@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..common import stored
 from ..operators import items, questions, sampling, timeline
 from ..sources.events import events
-from .sql import BANDS, LINES, Y2017, hash32, uniform
+from .sql import BANDS, LINES, Y2017, uniform
 
 QUERIES, SQL = {}, {}
 N_USERS, SEED, K = 300, 0, 5

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import planar, text
-from ..operators import controls, items, privacy, ranking, recommend, sampling, timeline
+from ..operators import controls, items, ranking, recommend, sampling, timeline
 from ..sources import events as src
 from .choices import Base
 from .scores import _PAIR, _paired

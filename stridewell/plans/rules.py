@@ -11,7 +11,7 @@ from ..operators.checks import run_checks
 from ..operators import controls, items, nearby, privacy, sampling, timeline
 from ..sources import events as src
 from ..sources.tables import table
-from .sql import DECISIONS, EVENTS, LINES, PREDICTIONS, Y2017, hash32, norm, uniform
+from .sql import DECISIONS, EVENTS, LINES, PREDICTIONS, Y2017, hash32, norm
 
 QUERIES, SQL = {}, {}
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import norm_id, stored
+from ..common import stored
 from ..functions import scoring as s
 from ..functions import text
-from ..operators import items, nearby, ranking, sampling
+from ..operators import items, ranking
 from ..sources import events as src
-from .sql import DECISIONS, EVENTS, PREDICTIONS, Y2017, hash32, uniform
+from .sql import DECISIONS, EVENTS, PREDICTIONS, hash32, uniform
 
 QUERIES, SQL = {}, {}
 
