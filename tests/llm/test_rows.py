@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stridewell.llm import heavy_hitters as hh
 from stridewell.llm import linked_splits as ls
