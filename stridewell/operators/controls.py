@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import stored
 from .items import global_rank
 from .sampling import hash32
 
@@ -33,6 +34,7 @@ def cosines(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
     A stated query set against all users: the small side's vectors go to every task only if Spark finds them small.
     """
+    vectors = stored(vectors)
     norm = vectors.groupBy("user_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
     q = vectors.join(queries.select("user_id"), "user_id", "left_semi").select("user_id", "cat", F.col("n").alias("m"))
     dot = q.join(vectors.select(F.col("user_id").alias("donor"), "cat", "n"), "cat").filter("user_id <> donor").groupBy("user_id", "donor").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
@@ -44,7 +46,8 @@ def matched_donors(events: DataFrame, queries: DataFrame) -> DataFrame:
     """user_id, donor, band, cosine, ratio: of the users in the narrowest non-empty band of history lengths, the one with
     the most similar categories; ties by ratio, then id. A user with no category in common counts as cosine 0.
     """
-    length = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("len"))
+    queries = stored(queries.select("user_id").distinct())
+    length = stored(events.groupBy("user_id").agg(F.count(F.lit(1)).alias("len")))
     mine = length.join(queries.select("user_id"), "user_id", "left_semi")
     near = _length_pairs(mine, length)
     r = F.abs(F.log(F.col("len2") / F.col("len")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import stored
 from .sampling import hash32, sample_keys
 
 
@@ -35,10 +36,11 @@ def support(sets: DataFrame, pairs: DataFrame, value: str, k: int) -> DataFrame:
 
 def unicity(pairs: DataFrame, value: str, ks=(1, 2, 3, 4), draws: int = 20, n_users: int = 300, seed: int = 0) -> DataFrame:
     """k, n_sets, unique_share, median_support over random sets of k values of a sample of users."""
-    users = sample_keys(pairs, "user_id", n_users, seed)
+    pairs = stored(pairs.select("user_id", value).distinct())
+    users = stored(sample_keys(pairs, "user_id", n_users, seed))
     out = None
     for k in ks:
-        s = support(random_subsets(pairs, users, value, k, draws, seed), pairs, value, k)
+        s = support(stored(random_subsets(pairs, users, value, k, draws, seed)), pairs, value, k)
         one = s.agg(F.count(F.lit(1)).alias("n_sets"), F.round(F.avg((F.col("n_users") == 1).cast("double")), 9).alias("unique_share"), F.percentile("n_users", F.lit(0.5)).alias("median_support")).select(F.lit(k).alias("k"), "n_sets", "unique_share", "median_support")
         out = one if out is None else out.unionByName(one)
     return out

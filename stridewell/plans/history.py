@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..common import norm_id
+from ..common import norm_id, stored
 from ..operators import items, profile, timeline
 from ..sources.events import events
 from ..sources.tables import table
@@ -28,6 +28,11 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
     return timeline.split(timeline.ordered(events(spark, d)))
 
 
+def _kept_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same as narrow rows and kept, for queries that use them twice."""
+    return stored(_parts(spark, d).select("seq", "user_id", "t", "item", "rn", "held"))
+
+
 @query(f"with {LINES} select user_id, count(*) n from line group by user_id having count(*) >= 20")
 def eligible_users(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
@@ -59,13 +64,13 @@ def pre_cut_popularity(spark, d):
 
 @query(f"with {LINES} select user_id, rn, t, item, row_number() over (partition by user_id order by rn) decision_no from held where is_novel")
 def novel_decisions(spark, d):
-    novel = timeline.held_out(_parts(spark, d)).filter("is_novel")
+    novel = stored(timeline.held_out(_kept_parts(spark, d)).filter("is_novel"))
     return timeline.ordered(novel.select("user_id", "t", "item", "seq", F.col("rn").alias("at"))).select("user_id", F.col("at").alias("rn"), "t", "item", F.col("rn").alias("decision_no"))
 
 
 @query(f"with {LINES} select user_id, count(*) n_pooled, count(*) filter (where is_novel) n_novel, count(*) filter (where not is_novel) n_revisit from held group by user_id")
 def revisit_partition(spark, d):
-    return timeline.held_out(_parts(spark, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_pooled"), F.count_if("is_novel").alias("n_novel"), F.count_if(~F.col("is_novel")).alias("n_revisit"))
+    return timeline.held_out(_kept_parts(spark, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_pooled"), F.count_if("is_novel").alias("n_novel"), F.count_if(~F.col("is_novel")).alias("n_revisit"))
 
 
 def _bands(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +225,7 @@ def funnel(spark, d):
     per_user = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     ranked = items.global_rank(per_user.withColumn("neg", -F.col("n")), ["neg", "user_id"])
     users = ranked.agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_users"), F.count_if(F.col("n") >= 20).alias("n_eligible"), F.sum(F.when(F.col("n") >= 20, F.col("n"))).alias("n_eligible_events"), F.sum(F.when(F.col("rank") < F.floor(F.col("rows") / 10), F.col("n"))).alias("top"))
-    held = timeline.held_out(_parts(spark, d)).agg(F.count(F.lit(1)).alias("n_held"), F.count_if("is_novel").alias("n_novel"))
+    held = timeline.held_out(_kept_parts(spark, d)).agg(F.count(F.lit(1)).alias("n_held"), F.count_if("is_novel").alias("n_novel"))
     return users.crossJoin(F.broadcast(held)).select("n_events", "n_users", "n_eligible", "n_eligible_events", "n_held", "n_novel", F.round(F.col("top") / F.col("n_events"), 9).alias("top_decile_share"))
 
 
