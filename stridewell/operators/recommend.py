@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import stored
 from .sampling import hash32
 
 
@@ -21,9 +22,13 @@ def masked_labels(n_prompt: Column, completion: Column, ignore: int = -100) -> C
 
 
 def training_pool(users: DataFrame, keep: DataFrame, budget: int, seed: int = 0) -> DataFrame:
-    """user_id, kept: all of `keep`, and others in a seeded order until `budget` users are reached."""
-    mine = users.select("user_id").distinct().join(keep.select("user_id").distinct().withColumn("kept", F.lit(True)), "user_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    return mine.orderBy((~F.col("kept")).cast("int"), hash32(seed, "user_id"), "user_id").limit(budget)
+    """user_id, kept: all of `keep` that are among the users, whatever their number, and others in a seeded order until
+    `budget` users are reached.
+    """
+    mine = stored(users.select("user_id").distinct().join(keep.select("user_id").distinct().withColumn("kept", F.lit(True)), "user_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False))))
+    kept = mine.filter("kept")
+    others = mine.filter("not kept").orderBy(hash32(seed, "user_id"), "user_id").limit(max(0, budget - kept.count()))
+    return kept.unionByName(others)
 
 
 def fit_factors(events: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 0):

@@ -25,6 +25,15 @@ def test_training_pool(spark):
     assert len(got) == 6 and {"u3", "u5"} <= {r.user_id for r in got} and sum(r.kept for r in got) == 2
 
 
+def test_training_pool_keeps_all_beyond_the_budget(spark):
+    users = spark.createDataFrame([(f"u{k}",) for k in range(20)], "user_id string")
+    keep = users.filter("user_id < 'u15'").unionByName(spark.createDataFrame([("unknown",)], "user_id string"))
+    mine = {f"u{k}" for k in range(20) if f"u{k}" < "u15"}
+    for budget in (0, 3, len(mine), len(mine) + 2):
+        got = recommend.training_pool(users, keep, budget).collect()
+        assert {r.user_id for r in got if r.kept} == mine and len(got) == len({r.user_id for r in got}) == max(budget, len(mine))
+
+
 def test_markers(spark):
     x = "HEAD\nown places\nTOP rest"
     r = spark.range(1).select(text.spliced(F.lit(x), F.lit("HEAD\ntheirs\nTOP z"), "HEAD\n", "\nTOP"), text.split_marker(F.lit("HEAD\nHEAD\n a\nTOP"), "HEAD\n", "\nTOP"), text.split_marker(F.lit("nothing"), "HEAD\n", "\nTOP")).first()
