@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import stored
+from .items import global_rank
 from .sampling import race_key, sample_keys, uniform
 
 KEY = ["user_id", "rn"]
@@ -62,34 +63,140 @@ def stretch_of_bands(decided: DataFrame, bands: DataFrame, n_bands: int = 20) ->
 def draw_decoys(decided: DataFrame, line: DataFrame, past: DataFrame | None, n: int = 4, seed: int = 0, draws: int = DRAWS) -> DataFrame:
     """KEY columns, item (decoy), nth (0-based): up to n different decoys a decision, in the order drawn.
 
-    `decided` has KEY, item (true), lo, hi; `line` has item, w_from and w (whole numbers, end to end from 0).
+    `decided` has KEY, item (true), and lo, hi or else `spans`, an array of stretches (lo, hi); `line` has item, w_from and
+    w (whole numbers, end to end from 0). Where the line also has label, the decoys have different labels, none of them
+    the decision's `own`.
     """
     size = line.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
     width = max(1, -(-(size.w or 1) * 16 // max(1, size.n)))  # about 16 items a bucket of the line
-    d = decided.select(*KEY, F.col("item").alias("_true"), "lo", "hi").filter("hi > lo")
-    points = d.withColumn("j", F.explode(F.expr(f"sequence(0, {draws - 1})"))).withColumn("pos", F.col("lo") + F.floor(uniform(seed, *KEY, "j") * (F.col("hi") - F.col("lo"))))
-    points = points.withColumn("_b", F.expr(f"pos div {width}"))
-    cells = line.select("item", "w_from", "w", F.explode(F.expr(f"sequence(w_from div {width}, (w_from + w - 1) div {width})")).alias("_b"))
-    hits = points.join(cells, "_b").filter("pos >= w_from and pos < w_from + w and item <> _true").select(*KEY, "item", "j", "lo", "hi", "_true")
-    if past is not None:
-        hits = hits.join(past.select("user_id", "item"), ["user_id", "item"], "left_anti")
-    hits = hits.groupBy(*KEY, "item").agg(F.min("j").alias("j"))
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("j")) - 1  # at most `draws` rows a decision
-    good = stored(hits.withColumn("nth", nth).filter(F.col("nth") < n).select(*KEY, "item", "nth"))
-    full = good.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= n)
-    short = d.join(full, KEY, "left_anti")
-    rest = race(pool_of_stretch(short, line, past, width), n, seed, F.col("w"))
-    return good.join(full, KEY, "left_semi").unionByName(rest)
+    many, labels = "spans" in decided.columns, ["label"] if "label" in line.columns else []
+    ends = ["spans"] if many else ["lo", "hi"]
+    d = stored(decided.select(*KEY, F.col("item").alias("_true"), *ends, *(["own"] if labels else [])).filter("size(spans) > 0" if many else "hi > lo"))
+    cells = line.select("item", "w_from", "w", *labels, F.explode(F.expr(f"sequence(w_from div {width}, (w_from + w - 1) div {width})")).alias("_b"))
+    length = F.expr("aggregate(spans, 0L, (a, s) -> a + s.hi - s.lo)") if many else F.col("hi") - F.col("lo")
+    # the offset is walked off along the stretches
+    place = F.expr("aggregate(spans, struct(_off as o, -1L as p), (a, s) -> case when a.p >= 0 then a when a.o < s.hi - s.lo then struct(a.o as o, s.lo + a.o as p) else struct(a.o - (s.hi - s.lo) as o, -1L as p) end).p") if many else F.col("lo") + F.col("_off")
+
+    def tried(d: DataFrame, upto: int) -> DataFrame:
+        points = d.withColumn("j", F.explode(F.expr(f"sequence(0, {upto - 1})"))).withColumn("_off", F.floor(uniform(seed, *KEY, "j") * length)).withColumn("pos", place).drop(*ends, "_off")
+        points = points.withColumn("_b", F.expr(f"pos div {width}"))
+        hits = points.join(cells, "_b").filter("pos >= w_from and pos < w_from + w and item <> _true").filter("label <> own" if labels else "true").select(*KEY, "item", "j", *labels)
+        if past is not None:
+            hits = hits.join(past.select("user_id", "item"), ["user_id", "item"], "left_anti")
+        if labels:
+            hits = hits.groupBy(*KEY, "label").agg(F.min(F.struct("j", "item")).alias("b")).select(*KEY, "b.item", "b.j")
+        else:
+            hits = hits.groupBy(*KEY, "item").agg(F.min("j").alias("j"))
+        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("j")) - 1  # at most `draws` rows a decision
+        return stored(hits.withColumn("nth", nth).filter(F.col("nth") < n).select(*KEY, "item", "nth"))
+
+    def settled(good: DataFrame) -> DataFrame:
+        return good.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= n)
+
+    # most decisions are settled by the first few draws; the others repeat these and go on
+    first = min(2 * n, draws)
+    good = tried(d, first)
+    full = settled(good)
+    out, short = good.join(full, KEY, "left_semi"), d.join(full, KEY, "left_anti")
+    if draws > first:
+        good = tried(short, draws)
+        full = settled(good)
+        out, short = out.unionByName(good.join(full, KEY, "left_semi")), short.join(full, KEY, "left_anti")
+    if many:
+        short = short.withColumn("s", F.explode("spans")).select(*KEY, "_true", *(["own"] if labels else []), "s.lo", "s.hi")
+    pool = pool_of_stretch(short, line, past, width)
+    return out.unionByName((race_by_label if labels else race)(pool, n, seed, F.col("w")))
 
 
 def pool_of_stretch(decided: DataFrame, line: DataFrame, past: DataFrame | None, width: int) -> DataFrame:
-    """Every possible decoy of the (few) decisions given: KEY, item, w. An equi-join on the buckets of the line, each item
-    in the one where it begins.
+    """Every possible decoy of the (few) decisions given: KEY, item, w and, where the line has it, label. An equi-join on
+    the buckets of the line, each item in the one where it begins.
     """
+    labels = ["label"] if "label" in line.columns else []
     spread = decided.withColumn("_b", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")))
-    span = line.select("item", "w_from", "w", F.expr(f"w_from div {width}").alias("_b"))
-    pool = spread.join(span, "_b").filter("w_from >= lo and w_from < hi and item <> _true").select(*KEY, "item", "w")
-    return pool.join(past.select("user_id", "item"), ["user_id", "item"], "left_anti").select(*KEY, "item", "w") if past is not None else pool
+    span = line.select("item", "w_from", "w", *labels, F.expr(f"w_from div {width}").alias("_b"))
+    pool = spread.join(span, "_b").filter("w_from >= lo and w_from < hi and item <> _true").filter("label <> own" if labels else "true").select(*KEY, "item", "w", *labels)
+    return pool.join(past.select("user_id", "item"), ["user_id", "item"], "left_anti").select(*KEY, "item", "w", *labels) if past is not None else pool
+
+
+def weight_line(side: DataFrame, order: list[str]) -> DataFrame:
+    """`side` (item, pop, ...) with w = pop + 1 and w_from: the weights end to end in the given order."""
+    return stored(global_rank(side.withColumn("w", F.col("pop") + 1), [*order, "item"], add_up="w").withColumnRenamed("before", "w_from").drop("rank", "rows", "total"))
+
+
+def _cells(line: DataFrame, cell: Column) -> DataFrame:
+    """One row with _cells, a map of cell to (lo, hi, n_items) of its stretch. Cells are few: bands times bins or classes."""
+    t = line.groupBy(cell.alias("_k")).agg(F.min("w_from").alias("lo"), F.max(F.col("w_from") + F.col("w")).alias("hi"), F.count(F.lit(1)).alias("n"))
+    return t.agg(F.map_from_entries(F.collect_list(F.struct("_k", F.struct("lo", "hi", "n")))).alias("_cells"))
+
+
+def generic_spans(decided: DataFrame, past: DataFrame, line: DataFrame, least: int = 4, n_bands: int = 20, n_bins: int = 5) -> DataFrame:
+    """Add g_width and spans of the pools of `generic_pool`, without building them.
+
+    `decided` has band and width; `line` is a weight line in the order (g, band) with these columns. The counts of free
+    items come from the sizes of the cells (g, band) and the history's counts in them.
+    """
+    cell = F.col("g") * n_bands + F.col("band")
+    taken = past.select("user_id", "item").join(line.select("item", cell.alias("_k")), "item").groupBy("user_id", "_k").agg(F.count(F.lit(1)).alias("c")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "c"))).alias("_taken"))
+    d = decided.join(line.select("item", F.col("g").alias("_g")), "item").join(taken, "user_id", "left").crossJoin(F.broadcast(_cells(line, cell)))
+    d = d.join(past.select("user_id", "item", F.lit(True).alias("_old")), ["user_id", "item"], "left")
+    near = f"sequence(greatest(0, band - width), least({n_bands - 1}, band + width))"
+    free = f"""transform(sequence(0, {n_bins - 1}), g -> aggregate({near}, 0L, (a, j) -> a + coalesce(_cells[g * {n_bands} + j].n, 0L) - coalesce(_taken[g * {n_bands} + j], 0L)) - (case when g = _g and _old is null then 1L else 0L end))"""
+    d = d.withColumn("_free", F.expr(free))
+    reach = f"transform(sequence(0, {n_bins - 2}), p -> aggregate(slice(_free, greatest(1, _g - p + 1), least({n_bins - 1}, _g + p) - greatest(0, _g - p) + 1), 0L, (a, x) -> a + x) >= {least})"
+    at = F.expr(f"array_position({reach}, true)").cast("int")
+    d = d.withColumn("g_width", F.when(at > 0, at - 1).otherwise(F.lit(n_bins - 1)))
+    own = f"transform(sequence(greatest(0, _g - g_width), least({n_bins - 1}, _g + g_width)), g -> transform({near}, j -> _cells[g * {n_bands} + j]))"
+    spans = f"filter(transform({own}, x -> struct(array_min(transform(x, y -> y.lo)) as lo, array_max(transform(x, y -> y.hi)) as hi)), s -> s.lo is not null)"
+    return d.withColumn("spans", F.expr(spans)).drop("_taken", "_cells", "_free", "_old", "_g")
+
+
+def period_line(bands: DataFrame, profile: DataFrame, labels: DataFrame) -> DataFrame:
+    """The weight line of (class, band), an item being in one class for each period in which it is active.
+
+    The class is the item's profile before the cut and the period: those that a decision may draw from are one class.
+    """
+    side = bands.select("item", "pop", "band").join(profile, "item").join(labels, "item")
+    acts = F.filter(F.array(F.when(F.col("act0"), 0), F.when(F.col("act1"), 1)), lambda x: x.isNotNull())
+    return weight_line(side.withColumn("_per", F.explode(acts)).select("item", "pop", "band", "label", _class(F.col("_per")).alias("cls")), ["cls", "band"])
+
+
+def _class(per: Column) -> Column:
+    return F.col("pre0").cast("int") * 4 + F.col("pre1").cast("int") * 2 + per
+
+
+def period_spans(decided: DataFrame, past: DataFrame, bands: DataFrame, profile: DataFrame, labels: DataFrame, line: DataFrame, k: int = 5, n_bands: int = 20) -> DataFrame:
+    """`decided` (KEY, item, per) with own (label), p_width, n_labels (within it) and spans of the pools of `period_pool`.
+
+    p_width is null where all bands together have too few labels. Closed form: labels by their least distance in bands,
+    corrected for the labels of which the user's history has some items, by the distance of what is left of them.
+    """
+    by_label = stored(line.groupBy("cls", "label", "band").agg(F.count(F.lit(1)).alias("n")))
+    every = by_label.groupBy("cls", "label").agg(F.collect_list("band").alias("_all"))
+    near = lambda bands, b: F.array_min(F.transform(bands, lambda x: F.abs(x - b)))
+    b0 = F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))).alias("_b")
+    sizes = every.select("cls", "_all", b0).groupBy("cls", "_b", near("_all", F.col("_b")).alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("cls", "_b").agg(F.map_from_entries(F.collect_list(F.struct("m", "c"))).alias("_n"))
+    mine = bands.select("item", F.col("band").alias("_b")).join(profile, "item").join(labels, "item")
+    d = decided.select(*KEY, "item", "per").join(mine, "item").select(*KEY, "item", "_b", F.col("label").alias("own"), _class(F.col("per")).cast("int").alias("cls"))
+    d = stored(d)
+    taken = past.select("user_id", "item").join(line.select("item", "cls", "label", "band"), "item").groupBy("user_id", "cls", "label", "band").agg(F.count(F.lit(1)).alias("c"))
+    met = taken.select("user_id", "cls", "label").distinct().join(by_label, ["cls", "label"]).join(taken, ["user_id", "cls", "label", "band"], "left")
+    met = stored(met.groupBy("user_id", "cls", "label").agg(F.collect_list("band").alias("_all"), F.collect_list(F.when(F.col("n") > F.coalesce("c", F.lit(0)), F.col("band"))).alias("_left")))
+    change = F.explode(F.array(F.struct(near("_all", F.col("_b")).alias("m"), F.lit(-1).alias("v")), F.struct(near("_left", F.col("_b")).alias("m"), F.lit(1).alias("v"))))
+    less = d.select("user_id", "cls", "_b").distinct().join(met, ["user_id", "cls"]).select("user_id", "cls", "_b", change.alias("x")).filter("x.m is not null").groupBy("user_id", "cls", "_b", "x.m").agg(F.sum("x.v").alias("v"))
+    less = less.groupBy("user_id", "cls", "_b").agg(F.map_from_entries(F.collect_list(F.struct("m", "v"))).alias("_d"))
+    x = d.join(sizes, ["cls", "_b"]).join(less, ["user_id", "cls", "_b"], "left")
+    x = x.join(every.withColumnRenamed("label", "own"), ["cls", "own"], "left").join(met.select("user_id", "cls", F.col("label").alias("own"), "_left", F.lit(True).alias("_met")), ["user_id", "cls", "own"], "left")
+    x = x.withColumn("_m", near(F.when(F.col("_met"), F.col("_left")).otherwise(F.col("_all")), F.col("_b")))
+    free = f"transform(sequence(0, {n_bands - 1}), w -> aggregate(sequence(0, w), 0L, (a, m) -> a + coalesce(_n[m], 0L) + coalesce(_d[m], 0L)) - (case when _m <= w then 1L else 0L end))"
+    x = x.withColumn("_free", F.expr(free))
+    at = F.expr(f"array_position(transform(_free, n -> n >= {k - 1}), true)").cast("int")
+    x = x.withColumn("p_width", F.when(at > 0, at - 1)).withColumn("n_labels", F.expr("case when p_width is not null then _free[p_width] end"))
+    x = x.crossJoin(F.broadcast(_cells(line, F.col("cls") * n_bands + F.col("band"))))
+    own = f"transform(sequence(greatest(0, _b - p_width), least({n_bands - 1}, _b + p_width)), j -> _cells[cls * {n_bands} + j])"
+    spans = F.expr(f"case when p_width is not null then array(struct(array_min(transform({own}, y -> y.lo)) as lo, array_max(transform({own}, y -> y.hi)) as hi)) end")
+    return x.withColumn("spans", spans).select(*KEY, "item", "own", "p_width", "n_labels", "spans")
 
 
 def race(pool: DataFrame, n: int, seed: int, weight: Column) -> DataFrame:

@@ -25,15 +25,22 @@ def query(sql: str | None = None):
 
 
 class Base:
-    """The shared inputs of the conditions: timeline parts, history, bands, and the cohort's novel decisions."""
+    """The shared inputs of the conditions: timeline parts, history, bands, and the cohort's novel decisions.
 
-    def __init__(self, spark: SparkSession, d: str):
+    With `whole`, the cohort is every held-out decision, new places and revisits, of all users with enough events.
+    """
+
+    def __init__(self, spark: SparkSession, d: str, whole: bool = False):
         self.events = events(spark, d)
         # four branches start from here: the sorted timelines are kept, as narrow rows
         self.parts = stored(timeline.split(timeline.ordered(self.events.select("seq", "user_id", "t", "item"))).select("user_id", "rn", "t", "item", "held"))
         self.past = timeline.seen_before(self.parts)
         self.bands = stored(items.bands(timeline.popularity(self.parts), self.events))
         self.novel = timeline.held_out(self.parts).filter("is_novel").select("user_id", "rn", "t", "item")
+        if whole:
+            self.cohort = stored(self.parts.filter("held").select("user_id", "rn", "t", "item"))
+            self.cohort_past = stored(self.past)
+            return
         self.cohort = stored(questions.cohort(self.novel, N_USERS, SEED))
         users = self.cohort.select("user_id").distinct()
         self.cohort_past = stored(self.past.join(users, "user_id", "left_semi"))
@@ -251,3 +258,103 @@ def fallback_stats(spark, d):
         .unionByName(one("textmatched", text.crossJoin(wide.select("n_dropped"))))
         .unionByName(total.crossJoin(per).select(F.lit("popmatched_period").alias("condition"), "n_rows", "n_fallback", (F.col("n_rows") - F.col("_n")).alias("n_dropped")))
     )
+
+
+# --- every held-out decision of every eligible user -----------------------------------------------------------------
+
+_ALL = "cohort as (select user_id, rn, t, item from held), old as (select * from past)"
+#: A revisited true item is among the history's items already.
+_TRUE, _TRUE_ONCE = "cast(s.band = b.band as int)", "cast(s.band = b.band and (d.user_id, d.item) not in (select user_id, item from old) as int)"
+
+
+def whole(name: str, sql: bool = True):
+    """Register a query over all decisions as all_<name>; its SQL is that of the cohort's query without the cohort."""
+
+    def add(f):
+        QUERIES[f"all_{name}"] = f
+        if sql:
+            SQL[f"all_{name}"] = SQL[name].replace(_COHORT, _ALL).replace(_TRUE, _TRUE_ONCE)
+        return f
+
+    return add
+
+
+@whole("decoy_width")
+def all_decoy_width(spark, d):
+    return Base(spark, d, whole=True).wide().select("user_id", "rn", "band", "width")
+
+
+@whole("popmatched_decoys")
+def all_popmatched_decoys(spark, d):
+    return Base(spark, d, whole=True).popmatched()
+
+
+@whole("popmatched_options")
+def all_popmatched_options(spark, d):
+    b = Base(spark, d, whole=True)
+    return questions.shuffled(b.cohort, b.popmatched())
+
+
+@whole("answer_position")
+def all_answer_position(spark, d):
+    b = Base(spark, d, whole=True)
+    return questions.answer_positions(questions.shuffled(b.cohort, b.popmatched()))
+
+
+@whole("popular_options")
+def all_popular_options(spark, d):
+    b = Base(spark, d, whole=True)
+    return _uniform_options(b, _top_items(b.events))
+
+
+@whole("random_options")
+def all_random_options(spark, d):
+    b = Base(spark, d, whole=True)
+    return _uniform_options(b, items.global_rank(b.events.select("item").distinct(), ["item"]))
+
+
+def _generic_spans(b: Base) -> tuple[DataFrame, DataFrame]:
+    s = _scores(b.events)
+    bins = s.withColumn("g", items.bin_of(F.col("score"), items.bin_edges(s)))
+    line = questions.weight_line(b.bands.select("item", "pop", "band").join(bins.select("item", "g"), "item"), ["g", "band"])
+    return questions.generic_spans(b.wide().filter("width is not null"), b.cohort_past, line), line
+
+
+def _period_spans(b: Base) -> tuple[DataFrame, DataFrame]:
+    labels = stored(b.events.select("item").distinct().join(items.metadata(b.events), "item", "left").select("item", items.label(F.col("cat"), F.col("name")).alias("label")))
+    profile = stored(items.period_profile(b.events, b.parts))
+    line = questions.period_line(b.bands, profile, labels)
+    return questions.period_spans(b.cohort.withColumn("per", items.period(F.col("t"))), b.cohort_past, b.bands, profile, labels, line), line
+
+
+@whole("textmatched_options", sql=False)
+def all_textmatched_options(spark, d):
+    """Drawn from the weight line of (bin, band) instead of enumerated pools: the same distribution, other draws."""
+    b = Base(spark, d, whole=True)
+    spans, line = _generic_spans(b)
+    return questions.shuffled(b.cohort, questions.draw_decoys(spans, line.select("item", "w_from", "w"), b.cohort_past, K - 1, SEED))
+
+
+@whole("popmatched_period_options", sql=False)
+def all_popmatched_period_options(spark, d):
+    """Drawn from the weight line of (class, band) instead of enumerated pools: the same distribution, other draws."""
+    b = Base(spark, d, whole=True)
+    spans, line = _period_spans(b)
+    return questions.shuffled(b.cohort, questions.draw_decoys(spans, line.select("item", "w_from", "w", "label"), b.cohort_past, K - 1, SEED))
+
+
+@whole("fallback_stats")
+def all_fallback_stats(spark, d):
+    """How many of all held-out decisions had to widen their pool or were dropped, from the widths alone."""
+    b = Base(spark, d, whole=True)
+    n, wide = F.count(F.lit(1)), lambda w: F.count_if(F.col(w) > 0).alias("n_fallback")
+    total = b.cohort.agg(n.alias("n_rows"))
+    pop = stored(b.wide().agg(wide("width"), F.count_if(F.col("width").isNull()).alias("n_dropped")))
+    text = _generic_spans(b)[0].agg(wide("g_width")).crossJoin(pop.select("n_dropped"))
+    per = _period_spans(b)[0].agg(wide("p_width"), F.count("p_width").alias("_n"))
+    per = total.crossJoin(per).select("n_fallback", (F.col("n_rows") - F.col("_n")).alias("n_dropped"))
+    out = None
+    for name, df in (("popmatched", pop), ("textmatched", text), ("popmatched_period", per)):
+        one = total.crossJoin(df).select(F.lit(name).alias("condition"), "n_rows", "n_fallback", "n_dropped")
+        out = one if out is None else out.unionByName(one)
+    return out

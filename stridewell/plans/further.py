@@ -179,8 +179,8 @@ def composite_support(spark, d):
 
 @query()
 def period_widths(spark, d):
-    """By width of the band window, how many of the cohort's decisions found decoys of the same period profile there."""
-    from .choices import _period
+    """By width of the band window, how many of all held-out decisions found decoys of the same period profile there."""
+    from .choices import _period_spans
 
-    w = _period(Base(spark, d)).groupBy("user_id", "rn").agg(F.max("p_width").alias("width"), F.count_distinct("label").alias("n_labels"))
-    return w.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.min("n_labels").alias("least_labels"))
+    w = _period_spans(Base(spark, d, whole=True))[0].filter("p_width is not null")
+    return w.groupBy(F.col("p_width").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.min("n_labels").alias("least_labels"))

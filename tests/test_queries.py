@@ -63,6 +63,42 @@ def test_question_sets(spark, condition):
             assert max(abs(band[o["item"]] - band[true]) for o in opts) <= 19
 
 
+def test_whole_job_asks_every_held_out_decision(spark):
+    """All eligible users' decisions, revisits too; widths and pools as when the pools are enumerated."""
+    from pyspark.sql import functions as F
+
+    from stridewell.operators import items, questions
+    from stridewell.plans import choices
+
+    b = choices.Base(spark, FOLDER, whole=True)
+    held = {(r.user_id, r.rn) for r in b.parts.filter("held").collect()}
+    assert len(held) == b.cohort.count() > b.novel.count()
+    assert {(r.user_id, r.rn) for r in choices.all_decoy_width(spark, FOLDER).collect()} == held
+    labels = b.events.select("item").distinct().join(items.metadata(b.events), "item", "left").select("item", items.label(F.col("cat"), F.col("name")).alias("label"))
+    label = {r["item"]: r.label for r in labels.collect()}
+    decided = b.cohort.withColumn("per", items.period(F.col("t")))
+    pools = {
+        "textmatched": (choices._textmatched(b), "g_width", choices._generic_spans(b)[0], choices.all_textmatched_options),
+        "popmatched_period": (questions.period_pool(decided, b.cohort_past, b.bands, items.period_profile(b.events, b.parts), labels), "p_width", choices._period_spans(b)[0].filter("p_width is not null"), choices.all_popmatched_period_options),
+    }
+    for condition, (pool, width, spans, options) in pools.items():
+        want, members = {}, defaultdict(set)
+        for r in pool.collect():
+            want[r.user_id, r.rn] = r[width]
+            members[r.user_id, r.rn].add(r["item"])
+        got = {(r.user_id, r.rn): r for r in spans.collect()}
+        assert {x: r[width] for x, r in got.items()} == want and len(want) > 300, condition
+        sets = defaultdict(list)
+        for r in options(spark, FOLDER).collect():
+            sets[r.user_id, r.rn].append(r)
+        assert set(sets) == {x for x, m in members.items() if len(m) >= 4}
+        for x, opts in sets.items():
+            decoys = {o["item"] for o in opts if not o.is_true}
+            assert len(opts) == 5 and len(decoys) == 4 and decoys <= members[x]
+            if width == "p_width":
+                assert len({label[o["item"]] for o in opts}) == 5 and got[x].n_labels == len({label[i] for i in members[x]})
+
+
 def test_draws_follow_the_weights(spark):
     from pyspark.sql import functions as F
 
