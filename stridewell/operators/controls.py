@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import stored
+from .features import type_dictionary
 from .items import global_rank
 from .sampling import hash32
 
@@ -71,3 +75,74 @@ def _length_pairs(mine: DataFrame, length: DataFrame) -> DataFrame:
     grid = sizes.withColumnRenamed("len", "len2").crossJoin(F.broadcast(own)).withColumn("band", band).withColumn("others", F.col("c") - (F.col("len") == F.col("len2")).cast("int")).filter("others > 0")
     narrow = grid.withColumn("b", F.min("band").over(Window.partitionBy("len"))).filter("band = b").select("len", "len2")
     return mine.join(narrow, "len").join(length.select(F.col("user_id").alias("donor"), F.col("len").alias("len2")), "len2").filter("user_id <> donor")
+
+
+def matched_donors_of_all(events: DataFrame, queries: DataFrame, histories: DataFrame, block: int = 512) -> DataFrame:
+    """The rule of `matched_donors` for any number of query users, leaving out donors whose history (`histories`: user_id,
+    history) equals the user's own; where that empties a band, the next wider one is searched.
+
+    Users of one length are cut into blocks, and pairs of blocks in the narrowest band are compared as matrices: no pair
+    of users becomes a row.
+    """
+    types = type_dictionary(events)
+    index = events.sparkSession.createDataFrame([(t, i) for i, t in enumerate(types)], "cat string, idx int")
+    vec = category_vectors(events).join(F.broadcast(index), "cat").groupBy("user_id").agg(F.collect_list(F.struct("idx", F.col("n").cast("int").alias("n"))).alias("v"))
+    length = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("len"))
+    each = length.join(vec, "user_id", "left").join(histories.select("user_id", F.xxhash64("history").alias("h")), "user_id", "left")
+    each = stored(each.select("user_id", "len", "h", F.coalesce("v.idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("v.n", F.array().cast("array<int>")).alias("n")))
+    sizes = stored(each.groupBy("len").agg(F.count(F.lit(1)).alias("c")))
+    entry = F.struct("user_id", "h", "idx", "n")
+
+    def blocks(users: DataFrame, *keys: str) -> DataFrame:
+        parts = users.join(F.broadcast(sizes), "len").withColumn("_part", F.pmod(F.xxhash64("user_id"), F.ceil(F.col("c") / block)))
+        return parts.groupBy("len", "_part", *keys).agg(F.array_sort(F.collect_list(entry)).alias("us"))
+
+    theirs = stored(blocks(each).select(F.col("len").alias("len2"), F.col("us").alias("c")))
+    r = F.abs(F.log(F.col("len2") / F.col("len")))
+    band = F.coalesce(*(F.when(r <= math.log(b) + 1e-12, F.lit(k)) for k, b in enumerate(RATIOS[:-1])), F.lit(len(RATIOS) - 1))
+    best_of = _best_in_blocks(len(types))
+    waiting, out = stored(each.join(queries.select("user_id").distinct(), "user_id", "left_semi").withColumn("tried", F.lit(-1))), None
+    while out is None or not waiting.isEmpty():
+        own = waiting.select("len", "tried").distinct()
+        # different lengths beside each other, at most sqrt(2 n) of each
+        grid = sizes.withColumnRenamed("len", "len2").crossJoin(F.broadcast(own)).withColumn("band", band).filter("band > tried and c > cast(len = len2 as int)")
+        grid = stored(grid.withColumn("b", F.min("band").over(Window.partitionBy("len", "tried"))).filter("band = b").select("len", "len2", "tried", "band", F.round(r, 12).alias("ratio")))
+        pairs = blocks(waiting, "tried").withColumnRenamed("us", "q").join(F.broadcast(grid), ["len", "tried"]).join(theirs, "len2").select("band", "ratio", "q", "c")
+        got = pairs.mapInArrow(best_of, "user_id string, donor string, band int, cosine double, ratio double")
+        got = stored(got.groupBy("user_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "ratio", "donor", "band")).alias("b")).select("user_id", "b.donor", "b.band", (-F.col("b.c")).alias("cosine"), "b.ratio"))
+        out = got if out is None else out.unionByName(got)
+        waiting = waiting.join(got, "user_id", "left_anti").join(F.broadcast(grid.select("len", "tried", "band").distinct()), ["len", "tried"]).withColumn("tried", F.col("band")).drop("band")
+        waiting = stored(waiting)
+    return out
+
+
+def _best_in_blocks(width: int):
+    def matrix(users: pa.StructArray) -> np.ndarray:
+        idx, n = users.field(2), users.field(3)
+        m = np.zeros((len(users), width))
+        rows = np.repeat(np.arange(len(users)), idx.value_lengths().to_numpy())
+        m[rows, idx.flatten().to_numpy()] = n.flatten().to_numpy()
+        return m
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                band, ratio = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                q, c = batch.column(2)[k].values, batch.column(3)[k].values
+                a, b = matrix(q), matrix(c)
+                norm = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+                cos = np.round(np.divide(a @ b.T, norm, out=np.zeros_like(norm), where=norm > 0), 12)
+                qu, cu = (np.array(x.field(0).to_pylist(), dtype=object) for x in (q, c))
+                qh, ch = (np.array([v if v is not None else 0 for v in x.field(1).to_pylist()], dtype=np.int64) for x in (q, c))
+                cos[(qh[:, None] == ch[None, :]) & (qh != 0)[:, None]] = -1
+                cos[qu[:, None] == cu[None, :]] = -1
+                at = cos.argmax(1)  # blocks are in the order of ids: the first of equals
+                top = cos[np.arange(len(qu)), at]
+                ok = top >= 0
+                m = int(ok.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qu[ok], pa.string()), pa.array(cu[at[ok]], pa.string()), pa.array([band] * m, pa.int32()), pa.array(top[ok]), pa.array([ratio] * m, pa.float64())],
+                    names=["user_id", "donor", "band", "cosine", "ratio"],
+                )
+
+    return best

@@ -269,6 +269,17 @@ def matched_donor(spark, d):
     return controls.matched_donors(e, _query_users(e)).select("user_id", "donor", "band", F.round("cosine", 9).alias("cosine"), F.round("ratio", 9).alias("ratio"))
 
 
+@query()
+def all_matched_donor(spark, d):
+    """A donor for every user with decisions, other than users whose last 30 places read the same."""
+    e = src.events(spark, d)
+    names = e.select("item").distinct().join(items.metadata(e), "item", "left").select("item", items.label(F.col("cat"), F.col("name")).alias("label"))
+    last = timeline.ordered(e.select("seq", "user_id", "t", "item")).filter("rn > n - 30").join(names, "item")
+    shown = last.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "label"))), lambda x: x["label"]), ", ").alias("history"))
+    queries = src.decisions(spark, d).filter("user_id is not null").select("user_id")
+    return controls.matched_donors_of_all(e, queries, shown).select("user_id", "donor", "band", F.round("cosine", 9).alias("cosine"), F.round("ratio", 9).alias("ratio"))
+
+
 # --- privacy ----------------------------------------------------------------------------------------------------------
 
 def _unicity_sql(value: str) -> str:

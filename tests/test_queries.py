@@ -200,6 +200,35 @@ def test_donors(spark):
     assert controls.random_donors(rows.filter("user_id = 'u1'"), users.limit(1), "row").count() == 0
 
 
+def test_donors_of_all_users(spark):
+    """Every query user gets a donor, never one with the same history; against a loop."""
+    import math
+    import random
+
+    from stridewell.operators import controls
+
+    rng = random.Random(3)
+    seen = {f"u{k:02d}": [rng.choice(["a", "b", "c", None]) for _ in range(rng.choice([5, 6, 7, 20, 90]))] for k in range(40)}
+    seen |= {"v1": ["a"] * 400, "v2": ["a"] * 401, "v3": [None] * 1500}
+    shown = {u: ("same" if u in ("v1", "v2", "u01", "u02", "u03") else u) for u in seen}
+    events = spark.createDataFrame([(u, c) for u, cs in seen.items() for c in cs], "user_id string, cat string")
+    histories = spark.createDataFrame(list(shown.items()), "user_id string, history string")
+    want = {}
+    for u, mine in seen.items():
+        ranked = []
+        for v, other in seen.items():
+            if u != v and shown[u] != shown[v]:
+                x, y = (Counter(c for c in cs if c) for cs in (mine, other))
+                size = math.sqrt(sum(n * n for n in x.values())) * math.sqrt(sum(n * n for n in y.values()))
+                ratio = abs(math.log(len(other) / len(mine)))
+                ranked.append((next(k for k, b in enumerate(controls.RATIOS) if ratio <= (math.log(b) if b < math.inf else b) + 1e-12), -round(sum(n * y[c] for c, n in x.items()) / size if size else 0.0, 12), round(ratio, 12), v))
+        b, c, r, v = min(ranked)
+        want[u] = (v, b, round(-c, 9), round(r, 9))
+    for block in (512, 3):
+        got = controls.matched_donors_of_all(events, events, histories, block=block).collect()
+        assert {r.user_id: (r.donor, r.band, round(r.cosine, 9), round(r.ratio, 9)) for r in got} == want and len(got) == len(seen)
+
+
 def test_checks_find_what_is_wrong(spark):
     from stridewell.operators import checks
 
