@@ -46,6 +46,42 @@ def unicity(pairs: DataFrame, value: str, ks=(1, 2, 3, 4), draws: int = 20, n_us
     return out
 
 
+def unicity_of_all(shown: DataFrame, held: DataFrame, value: str, ks=(1, 2, 3, 4), draws: int = 20, seed: int = 0, fill: bool = False) -> DataFrame:
+    """k, n_sets, users_skipped, unique_share, median_support over `draws` sets of k values of every user in `shown`.
+
+    Sets are drawn from `shown` (user_id, value) and looked for in `held`. A user with fewer than k values is skipped, or
+    with `fill` gives all of them. A value that nobody holds has no support; `shown` is meant to be a part of `held`.
+    """
+    held = stored(held.select(F.col("user_id").alias("_u"), value).distinct())
+    freq = stored(held.groupBy(value).agg(F.count(F.lit(1)).alias("_f")))
+    own = shown.select("user_id", value).distinct()
+    own = stored(own.join(own.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")), "user_id"))
+    users = own.select("user_id").distinct().count()
+    x = own.withColumn("draw", F.explode(F.expr(f"sequence(0, {draws - 1})"))).withColumn("_h", hash32(seed, "draw", "user_id", value))
+    place = F.row_number().over(Window.partitionBy("user_id", "draw").orderBy("_h", value))
+    # the set of k values is the beginning of that of more
+    drawn = stored(x.withColumn("_k", place).filter(F.col("_k") <= max(ks)).join(freq, value).select("user_id", "draw", value, "_k", "_n", "_f"))
+    out = None
+    for k in ks:
+        sets = drawn.filter((F.col("_k") <= k) & (F.lit(fill) | (F.col("_n") >= k)))
+        ranked = stored(sets.withColumn("_r", F.row_number().over(Window.partitionBy("user_id", "draw").orderBy("_f", value))))
+        if k == 1:
+            n = ranked.select(F.col("_f").alias("n_users"), "user_id")
+        else:
+            found = ranked.filter("_r = 1").select("user_id", "draw", value).join(held, value).select("user_id", "draw", "_u")
+            for r in range(2, k + 1):
+                nth = ranked.filter(F.col("_r") == r).select("user_id", "draw", value)
+                more = found.join(nth, ["user_id", "draw"]).join(held, ["_u", value], "left_semi").select("user_id", "draw", "_u")
+                found = more.unionByName(found.join(nth, ["user_id", "draw"], "left_anti")) if fill else more
+                found = stored(found) if fill else found
+            n = found.groupBy("user_id", "draw").agg(F.count(F.lit(1)).alias("n_users"))
+        share = F.round(F.avg((F.col("n_users") == 1).cast("double")), 9)
+        one = n.agg(F.count(F.lit(1)).alias("n_sets"), (F.lit(users) - F.count_distinct("user_id")).alias("users_skipped"), share.alias("unique_share"), F.percentile("n_users", F.lit(0.5)).alias("median_support"))
+        one = one.select(F.lit(k).alias("k"), "n_sets", "users_skipped", "unique_share", "median_support")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def masked(events: DataFrame, private: Column, generic: str = "Private place") -> DataFrame:
     """Events without name and point where `private` holds, under a generic category."""
     p = F.coalesce(private, F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..common import stored
 from ..functions import planar, text
 from ..operators import controls, items, ranking, recommend, sampling, timeline
 from ..sources import events as src
@@ -177,6 +178,25 @@ def composite_support(spark, d):
     return pick.join(n, "user_id", "left").select("user_id", "item", "cat", F.coalesce("n_users", F.lit(0)).alias("n_users"))
 
 
+@query(
+    f"""with {EVENTS}, own as (select distinct user_id, item, cat from ev where cat is not null),
+    mixed as (select *, row_number() over (partition by user_id, draw order by {hash32("'0'", 'cast(draw as varchar)', 'user_id', 'item', 'cat')}, item, cat) k from own cross join (select unnest(generate_series(0, 19)) draw)),
+    pick as (select a.user_id, a.draw, a.item, b.cat from mixed a join mixed b on a.user_id = b.user_id and a.draw = b.draw and a.k = 1 and b.k = 2),
+    counts as (select p.item, p.cat, count(distinct a.user_id) n_users from (select distinct item, cat from pick) p join own a on a.item = p.item join own b on b.cat = p.cat and b.user_id = a.user_id group by 1, 2)
+    select p.user_id, p.draw, p.item, p.cat, coalesce(n_users, 0) n_users from pick p left join counts c on c.item = p.item and c.cat = p.cat"""
+)
+def all_composite_support(spark, d):
+    """The same for every user with two visits to draw from, twenty draws each."""
+    own = stored(src.events(spark, d).filter("cat is not null").select("user_id", "item", "cat").distinct())
+    x = own.withColumn("draw", F.explode(F.expr("sequence(0, 19)"))).withColumn("h", sampling.hash32(0, "draw", "user_id", "item", "cat"))
+    two = stored(sampling.take_per_group(x, ["user_id", "draw"], 2, [F.col("h"), F.col("item"), F.col("cat")], rank="k"))
+    pick = stored(two.filter("k = 1").select("user_id", "draw", "item").join(two.filter("k = 2").select("user_id", "draw", "cat"), ["user_id", "draw"]))
+    # each different pair is counted once
+    holders = pick.select("item", "cat").distinct().join(own.select("item", F.col("user_id").alias("u")).distinct(), "item").join(own.select("cat", F.col("user_id").alias("u")).distinct(), ["cat", "u"], "left_semi")
+    n = holders.groupBy("item", "cat").agg(F.count(F.lit(1)).alias("n_users"))
+    return pick.join(n, ["item", "cat"], "left").select("user_id", "draw", "item", "cat", F.coalesce("n_users", F.lit(0)).alias("n_users"))
+
+
 @query()
 def period_widths(spark, d):
     """By width of the band window, how many of all held-out decisions found decoys of the same period profile there."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import norm_id
+from ..common import norm_id, stored
 from ..functions.text import distance_cue
 from ..operators.checks import run_checks
 from ..operators import controls, items, nearby, privacy, sampling, timeline
@@ -307,6 +307,39 @@ def category_unicity(spark, d):
     return privacy.unicity(src.events(spark, d).filter("cat is not null").select("user_id", "cat"), "cat", ks=(1, 2, 3), draws=5, n_users=30)
 
 
+def _shown(e: DataFrame) -> DataFrame:
+    """user_id, item of the last 30 events before the cut of every user with novel decisions, whose questions show them."""
+    parts = timeline.split(timeline.ordered(e.select("seq", "user_id", "t", "item")))
+    asked = timeline.held_out(parts).filter("is_novel").select("user_id").distinct()
+    return parts.filter("not held and rn > cut - 30").select("user_id", "item").join(asked, "user_id", "left_semi").distinct()
+
+
+@query()
+def all_unicity_k(spark, d):
+    """How often k random shown items are one user's only: all asked users, all items and those of 20 or more users."""
+    e = src.events(spark, d)
+    pairs, shown, out = stored(e.select("user_id", "item").distinct()), stored(_shown(e)), None
+    for pool, least in (("all", 1), ("20 or more users", 20)):
+        often = pairs.groupBy("item").agg(n_rows().alias("n")).filter(F.col("n") >= least)
+        mine = shown.select("user_id").distinct().join(shown.join(often, "item", "left_semi"), "user_id", "left")
+        one = privacy.unicity_of_all(mine.filter("item is not null"), pairs, "item")
+        # users without any item of the pool are skipped too
+        none = mine.filter("item is null").select("user_id").distinct().count()
+        one = one.withColumn("users_skipped", F.col("users_skipped") + none).select(F.lit(pool).alias("pool"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def all_category_unicity(spark, d):
+    """The same for 3, 6 and 10 shown categories, or all where a user has fewer."""
+    e = src.events(spark, d)
+    cats = items.metadata(e).filter("cat is not null").select("item", "cat")
+    shown = _shown(e).join(cats, "item").select("user_id", "cat")
+    held = e.select("user_id", "item").distinct().join(cats, "item").select("user_id", "cat")
+    return privacy.unicity_of_all(shown, held, "cat", ks=(3, 6, 10), fill=True)
+
+
 @query(
     f"""with {DECISIONS}, {EVENTS}, held as (select distinct user_id, item from ev), want as (select decision_id, list_distinct(list_filter(history[-3:], lambda x: x is not null)) vs from dec where user_id is not null and len(history) > 0),
     each as (select decision_id, unnest(vs) item, len(vs) n from want), hit as (select e.decision_id, h.user_id from each e join held h on e.item = h.item group by 1, 2 having count(*) = max(e.n))

@@ -229,6 +229,42 @@ def test_donors_of_all_users(spark):
         assert {r.user_id: (r.donor, r.band, round(r.cosine, 9), round(r.ratio, 9)) for r in got} == want and len(got) == len(seen)
 
 
+@pytest.mark.parametrize("fill", [False, True])
+def test_unicity_of_all_users(spark, fill):
+    """Every user and draw counts, against a loop over the same hashes."""
+    import hashlib
+    import random
+    from statistics import median
+
+    from stridewell.operators import privacy
+
+    rng = random.Random(4)
+    held = {f"u{k:03d}": set(rng.sample("abcdefgh", rng.randrange(1, 8))) for k in range(45)}
+    shown = {u: set(sorted(v)[:5]) for u, v in held.items()}
+    frame = lambda x: spark.createDataFrame([(u, i) for u, v in x.items() for i in v], "user_id string, item string")
+    rows = {r.k: r for r in privacy.unicity_of_all(frame(shown), frame(held), "item", ks=(1, 3, 4), draws=7, fill=fill).collect()}
+    for k in (1, 3, 4):
+        n = []
+        for u, vs in shown.items():
+            for draw in range(7):
+                order = sorted(vs, key=lambda v: (int(hashlib.md5(f"0|{draw}|{u}|{v}".encode()).hexdigest()[:8], 16), v))
+                if fill or len(vs) >= k:
+                    n.append(sum(set(order[:k]) <= other for other in held.values()))
+        skipped = 0 if fill else sum(len(vs) < k for vs in shown.values())
+        assert (rows[k].n_sets, rows[k].users_skipped, rows[k].median_support) == (len(n), skipped, median(n))
+        assert abs(rows[k].unique_share - n.count(1) / len(n)) < 1e-8
+
+
+def test_unicity_queries_take_all_users(spark):
+    from stridewell.plans import choices
+
+    asked = choices.Base(spark, FOLDER).novel.select("user_id").distinct().count()
+    rows = entry.queries()["all_unicity_k"](spark, FOLDER).collect()
+    assert sorted((r.pool, r.k) for r in rows) == sorted((p, k) for p in ("all", "20 or more users") for k in (1, 2, 3, 4))
+    assert all(r.n_sets + 20 * r.users_skipped == 20 * asked for r in rows) and max(r.n_sets for r in rows) == 20 * asked
+    assert {r.k for r in entry.queries()["all_category_unicity"](spark, FOLDER).collect()} == {3, 6, 10}
+
+
 def test_checks_find_what_is_wrong(spark):
     from stridewell.operators import checks
 
