@@ -38,12 +38,14 @@ def sparse_vectors(
     value: Column | None = None,
     distinct_by: tuple[str, ...] = (),
     between: tuple[int, int] | None = None,
+    keep_unidentified: bool = False,
 ) -> DataFrame:
     """Partial-merge stage: one row per entity, `user_id` and `vec`, an array of (idx, n, total, last_s) sorted by idx.
 
     Types outside the dictionary are kept under the index len(types). With `distinct_by`, rows that agree in entity,
     type, time and these id columns count once in n, and total is still over all rows. `between` is [from, to) in
-    seconds. Rows without entity, type, time or a `distinct_by` id take no part; an empty table gives no rows.
+    seconds. Rows without entity, type, time or a `distinct_by` id take no part; an empty table gives no rows. With
+    `keep_unidentified`, rows that only lack a `distinct_by` id are left out of n but not of total and last_s.
     """
     require_columns(events, user, cat, ts, *distinct_by)
     if len(types) > MAX_TYPES:
@@ -55,13 +57,14 @@ def sparse_vectors(
         epoch_s(events, ts).alias("_t"),
         (F.lit(1.0) if value is None else F.coalesce(value.cast("double"), F.lit(0.0))).alias("_v"),
         *(norm_id(c).alias(k) for c, k in zip(distinct_by, keys)),
-    ).dropna(subset=["user_id", "_cat", "_t", *keys])
+    ).dropna(subset=["user_id", "_cat", "_t", *([] if keep_unidentified else keys)])
     if between:
         rows = rows.filter((F.col("_t") >= between[0]) & (F.col("_t") < between[1]))
     rows = _with_index(rows, types)
     if distinct_by:
         rows = rows.groupBy("user_id", "idx", "_cat", "_t", *keys).agg(F.sum("_v").alias("_v"))
-    entries = rows.groupBy("user_id", "idx").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.max("_t").alias("last_s"))
+    known = F.count(F.when(F.forall(F.array(*keys), lambda k: k.isNotNull()), 1)) if keys and keep_unidentified else F.count(F.lit(1))
+    entries = rows.groupBy("user_id", "idx").agg(known.alias("n"), F.sum("_v").alias("total"), F.max("_t").alias("last_s"))
     return _vectors(entries)
 
 
@@ -114,10 +117,11 @@ def expand(vectors: DataFrame, types: list[str]) -> DataFrame:
                 counts = np.zeros((width, batch.num_rows), dtype=np.int64)
                 totals = np.zeros((width, batch.num_rows))
                 times = np.zeros((width, batch.num_rows), dtype=np.int64)
-                counts[idx, row], totals[idx, row], times[idx, row] = n, total, last
+                there = np.zeros((width, batch.num_rows), dtype=bool)
+                counts[idx, row], totals[idx, row], times[idx, row], there[idx, row] = n, total, last, True
                 columns = [batch.column(0)]
                 for k in range(width):
-                    columns += [pa.array(counts[k]), pa.array(totals[k]), pa.array(times[k], mask=counts[k] == 0)]
+                    columns += [pa.array(counts[k]), pa.array(totals[k]), pa.array(times[k], mask=~there[k])]
                 yield pa.RecordBatch.from_arrays(columns, names=["user_id", *(f"{a}_{s}" for s in stems for a in ("n", "total", "last_s"))])
 
     return vectors.select("user_id", "vec").mapInArrow(scatter, schema)

@@ -53,13 +53,20 @@ def p5_vectors(spark: SparkSession, d: str) -> DataFrame:
     return features.entries(vectors, types)
 
 
+def all_p5_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The same with check-ins without an item, which count in total and last time only."""
+    types = event_types(spark, d)
+    vectors = features.sparse_vectors(table(spark, d, "checkins"), types, distinct_by=("item",), keep_unidentified=True)
+    return features.entries(vectors, types)
+
+
 def p5_features(spark: SparkSession, d: str) -> DataFrame:
-    """The same as one row per account, with three columns per category."""
+    """One row per account, with three columns per category; check-ins without an item count in total and last time."""
     types = features.type_dictionary(table(spark, d, "categories"))
-    return features.expand(features.sparse_vectors(table(spark, d, "checkins"), types, distinct_by=("item",)), types)
+    return features.expand(features.sparse_vectors(table(spark, d, "checkins"), types, distinct_by=("item",), keep_unidentified=True), types)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p4_found, p4_sessions, p5_found, p5_vectors, p5_features)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p4_found, p4_sessions, p5_found, p5_vectors, all_p5_vectors, p5_features)}
 
 _PLACES = f"""{CHECKINS},
 places as (
@@ -90,4 +97,5 @@ SQL = {
     "p4_sessions": f"with {_SESSIONS} select * from sessions",
     "p5_found": f"with {_VISITS} select user_id, cat from visits where t >= {HALF_YEAR[0]} and t < {HALF_YEAR[1]} group by user_id, cat having count(*) >= 3",
     "p5_vectors": f"""with {_VISITS} select user_id, cat, count(*) n, cast(sum(n) as double) total, max(t) last_s from visits group by 1, 2""",
+    "all_p5_vectors": f"""with {CHECKINS} select user_id, cat, count(distinct (t, item)) filter (item is not null) n, cast(count(*) as double) total, max(t) last_s from checkin_rows where user_id is not null and cat is not null and t is not null group by 1, 2""",
 }

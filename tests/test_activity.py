@@ -91,6 +91,20 @@ def test_feature_vectors(spark):
             assert (r[f"n_{stem}"], r[f"total_{stem}"], r[f"last_s_{stem}"]) == (n, total, last)
 
 
+def test_features_keep_rows_without_an_item(spark, tmp_path):
+    from stridewell.plans import activity
+
+    rows = [(k, u, T0 + timedelta(seconds=t), i, c, 1.0, 2.0, 1, "x", "y", "z") for k, (u, t, i, c) in enumerate([("a", 1, "v", "Bar"), ("a", 1, "v", "Bar"), ("a", 9, None, "Bar"), ("a", 9, " ", "bar"), ("a", 5, None, "Park"), ("b", 7, "", "Park"), (None, 8, None, "Park")])]
+    spark.createDataFrame(rows, EVENTS).write.parquet(f"{tmp_path}/checkins.parquet")
+    spark.createDataFrame([("bar",), ("park",), ("zoo",)], "cat string").write.parquet(f"{tmp_path}/categories.parquet")
+    got = {r.user_id: r for r in activity.p5_features(spark, str(tmp_path)).collect()}
+    t = secs(T0)
+    pick = lambda r, c: (r[f"n_{c}"], r[f"total_{c}"], r[f"last_s_{c}"])
+    assert set(got) == {"a", "b"}
+    assert pick(got["a"], "bar") == (1, 4.0, t + 9) and pick(got["a"], "park") == (0, 1.0, t + 5) and pick(got["a"], "zoo") == (0, 0.0, None)
+    assert pick(got["b"], "park") == (0, 1.0, t + 7) and pick(got["b"], "bar") == (0, 0.0, None)
+
+
 def test_merging_vectors_equals_one_pass(spark):
     rows = rows_of(random.Random(2), 300, 4000)
     types = ["park"]
