@@ -360,11 +360,21 @@ def bootstrap_ci_pooled(spark, d):
 
 @query(f"with {_DELTA} select count(*) filter (where delta > 0) n_up, count(*) filter (where delta < 0) n_down, count(*) filter (where delta = 0) n_same, case when count(*) filter (where delta > 0) > count(*) filter (where delta < 0) then 'up' when count(*) filter (where delta > 0) < count(*) filter (where delta < 0) then 'down' else 'even' end verdict from delta")
 def sign_counts(spark, d):
-    """Users that gained and lost; ranking.sign_test gives the exact p of the two counts."""
+    """Users that gained and lost; sign_test_p has the exact p of the two counts."""
     up, down = F.count_if(F.col("delta") > 0), F.count_if(F.col("delta") < 0)
     return _deltas(spark, d).agg(up.alias("n_up"), down.alias("n_down"), F.count_if(F.col("delta") == 0).alias("n_same"), F.when(up > down, "up").when(up < down, "down").otherwise("even").alias("verdict"))
 
 
+_COUNTS = f"{_DELTA}, c as (select count(*) filter (where delta > 0) up, count(*) filter (where delta < 0) down from delta)"
+
+
+@query(f"with {_COUNTS} select up n_up, down n_down, round(least(1.0, 2 * (select sum(exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2))) from (select unnest(generate_series(0, least(up, down))) i))), 9) p from c")
+def sign_test_p(spark, d):
+    """Exact two-sided p of as many users gaining and losing, were both equally likely."""
+    c = _deltas(spark, d).agg(F.count_if(F.col("delta") > 0).alias("n_up"), F.count_if(F.col("delta") < 0).alias("n_down"))
+    return c.withColumn("p", F.round(ranking.sign_test(F.col("n_up"), F.col("n_down")), 9))
+
+
 @query(
     f"""with {_DELTA}, few as (select delta, row_number() over (order by user_id) k from delta order by user_id limit 5),
     m as (select (a.delta + b.delta + c.delta + d.delta + e.delta) / 5 m from few a cross join few b cross join few c cross join few d cross join few e)

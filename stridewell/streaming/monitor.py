@@ -5,8 +5,10 @@ Each function turns a streaming DataFrame into another; the caller chooses sink,
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,83 +38,111 @@ def tally_once(done: DataFrame, key: list[str], ts: str = "ts", late: str = "1 d
     return done.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
-def counter_deltas(scrapes: DataFrame, series: str = "series", t: str = "t", value: str = "value") -> DataFrame:
-    """series, t, delta, reset between a series' scrapes. The state is the last scrape; a fall means a restart from 0.
+#: Seconds of event time after which a key's state is forgotten, where a function has no shorter age of its own, and how
+#: late a row may come.
+FORGET_S, LATE_S = 86_400, 600
 
-    Rows of one micro-batch are put in order of t; a scrape older than the state is dropped.
-    """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(t)
-        last_t, last = state.get if state.exists else (None, None)
-        out = []
-        for at, now in zip(rows[t], rows[value]):
-            if last_t is not None and at <= last_t:
-                continue
-            if last is not None:
-                fell = now < last
-                out.append((key[0], int(at), float(now if fell else now - last), bool(fell)))
-            last_t, last = int(at), float(now)
-        if last_t is not None:
-            state.update((last_t, last))
-        yield pd.DataFrame(out, columns=["series", "t", "delta", "reset"])
+def _by_key(rows: DataFrame, key: str, step, out: str, state: str, t: str | None, forget_s: int, late_s: int, at_end=None) -> DataFrame:
+    """Fold each key's new rows into its state. `step` takes (key, rows, state or None) and gives (output rows, state).
 
-    return scrapes.groupBy(series).applyInPandasWithState(step, "series string, t bigint, delta double, reset boolean", "t bigint, value double", "append", GroupStateTimeout.NoTimeout)
+    `t` is the column of event time in seconds: when all keys' time has moved `forget_s` beyond a key's last row, its state
+    goes, and `at_end` of the key is put out. Without `t` the state stays.
+    """
+    names = [x.split()[0] for x in out.split(", ")]
+    if t is not None:
+        ahead = late_s + 1  # so that time 0 is not late before anything has come
+        rows = rows.withColumn("_at", F.timestamp_seconds(F.col(t) + ahead)).withWatermark("_at", f"{late_s} seconds")
+
+    def fold(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            yield pd.DataFrame(at_end(k[0]) if at_end else [], columns=names)
+            return
+        got = pd.concat(list(batches))
+        result, new = step(k[0], got, held.get if held.exists else None)
+        held.update(new)
+        if t is not None:
+            held.setTimeoutTimestamp(max((int(got[t].max()) + ahead + forget_s) * 1000, held.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(result, columns=names)
+
+    timeout = GroupStateTimeout.NoTimeout if t is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(fold, out, state, "append", timeout)
+
+
+def counter_deltas(scrapes: DataFrame, series: str = "series", t: str = "t", value: str = "value", forget_s: int = FORGET_S, late_s: int = LATE_S) -> DataFrame:
+    """series, t, delta, reset between a series' scrapes. The state is the last scrape; a fall means a restart from 0.
 
+    Rows of one micro-batch are put in order of t; a scrape older than the state is dropped. A series that is silent for
+    `forget_s` begins anew.
+    """
 
-def request_window(scrapes: DataFrame, most: int = 500, max_age_s: int = 60, least: int = 10, max_share: float = 0.3, key: str = "service") -> DataFrame:
-    """After each scrape (key, t, n, errors) the window's total and state: 'FEW', 'OK' or 'ALERT'.
+    def step(key, rows, state):
+        rows = rows.sort_values(t, kind="stable").drop_duplicates(t)
+        if state is not None:
+            rows = pd.concat([pd.DataFrame({t: [state[0]], value: [state[1]]}), rows[rows[t] > state[0]][[t, value]]])
+        grown = rows[value].diff()
+        fell = grown < 0
+        out = pd.DataFrame({"series": key, "t": rows[t].astype("int64"), "delta": grown.where(~fell, rows[value]), "reset": fell})[grown.notna()]
+        return out, (int(rows[t].iloc[-1]), float(rows[value].iloc[-1]))
 
-    The window holds whole scrapes: the oldest leaves while the rest has at least `most` requests, or when it is too old.
-    The state holds no more scrapes than fit, and each has requests, so it is bounded by `most`.
-    """
+    return _by_key(scrapes, series, step, "series string, t bigint, delta double, reset boolean", "t bigint, value double", t, forget_s, late_s)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("t")
-        held = list(zip(*state.get)) if state.exists else []
-        out = []
-        for t, n, e in zip(rows["t"], rows["n"], rows["errors"]):
-            if n > 0:
-                held.append((int(t), int(n), int(e)))
-            while held and sum(x[1] for x in held[1:]) >= most:
-                held.pop(0)
-            held = [x for x in held if t - x[0] <= max_age_s]
-            total, errors = sum(x[1] for x in held), sum(x[2] for x in held)
-            out.append((k[0], int(t), total, errors, "FEW" if total < least else "ALERT" if errors / total > max_share else "OK"))
-        state.update(tuple([x[c] for x in held] for c in range(3)))
-        yield pd.DataFrame(out, columns=["service", "t", "n", "errors", "state"])
 
-    return scrapes.groupBy(key).applyInPandasWithState(step, "service string, t bigint, n bigint, errors bigint, state string", "t array<bigint>, n array<bigint>, errors array<bigint>", "append", GroupStateTimeout.NoTimeout)
+def request_window(scrapes: DataFrame, most: int = 500, max_age_s: int = 60, least: int = 10, max_share: float = 0.3, key: str = "service", late_s: int = LATE_S) -> DataFrame:
+    """After each scrape (key, t, n, errors) the window's total and state: 'FEW', 'OK' or 'ALERT'; and once 'FEW' with no
+    requests, at null t, when a service has been silent for `max_age_s` while others went on.
 
+    The window is a suffix of the scrapes: those that fewer than `most` newer requests follow and that aren't too old. A
+    null n says that the counters began anew, and empties it. So its ends are found in the running sums.
+    """
 
-def latest_wins(answers: DataFrame, key: str = "request", token: str = "token") -> DataFrame:
-    """Answers (key, token) that are newer than any seen for their key; late ones to earlier requests are ignored."""
+    def step(key, rows, state):
+        rows = rows.sort_values("t", kind="stable")
+        old = pd.DataFrame(dict(zip(("t", "n", "errors"), state or ((), (), ())))).astype("int64")
+        restart = np.r_[np.zeros(len(old), bool), rows["n"].isna()]
+        x = pd.concat([old, rows[["t", "n", "errors"]]]).fillna(0).astype("int64")
+        at, n, e = x["t"].to_numpy(), x["n"].to_numpy(), x["errors"].to_numpy()
+        sums, errors = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(e)))
+        new_life = np.maximum.accumulate(np.where(restart, np.arange(len(at)), 0)) if len(at) else np.zeros(0, np.int64)
+        first = np.maximum.reduce([np.searchsorted(sums[1:], sums[1:] - most, "right"), np.searchsorted(at, at - max_age_s), new_life])
+        total, wrong = sums[1:] - sums[first], errors[1:] - errors[first]
+        said = np.where(total < least, "FEW", np.where(wrong > max_share * total, "ALERT", "OK"))
+        out = pd.DataFrame({"service": key, "t": at, "n": total, "errors": wrong, "state": said})[len(old) :]
+        keep = np.arange(len(at)) >= (first[-1] if len(first) else 0)
+        keep &= n > 0
+        return out, tuple(c[keep].tolist() for c in (at, n, e))
+
+    return _by_key(scrapes, key, step, "service string, t bigint, n bigint, errors bigint, state string", "t array<bigint>, n array<bigint>, errors array<bigint>", "t", max_age_s, late_s, lambda key: [(key, None, 0, 0, "FEW")])
+
+
+def latest_wins(answers: DataFrame, key: str = "request", token: str = "token", t: str | None = None, forget_s: int = FORGET_S, late_s: int = LATE_S) -> DataFrame:
+    """Answers (key, token) that are newer than any seen for their key; late ones to earlier requests are ignored. With
+    `t`, a column of seconds, a key that is silent for `forget_s` is forgotten; without it, keys are kept for good.
+    """
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = max(int(b[token].max()) for b in batches)
-        seen = state.get[0] if state.exists else None
-        if seen is None or newest > seen:
-            state.update((newest,))
-            yield pd.DataFrame([(k[0], newest)], columns=["request", "token"])
-        else:
-            yield pd.DataFrame([], columns=["request", "token"])
+    def step(key, rows, state):
+        newest = int(rows[token].max())
+        fresh = state is None or newest > state[0]
+        return [(key, newest)] if fresh else [], (newest,) if fresh else state
 
-    return answers.groupBy(key).applyInPandasWithState(step, "request string, token bigint", "token bigint", "append", GroupStateTimeout.NoTimeout)
+    return _by_key(answers, key, step, "request string, token bigint", "token bigint", t, forget_s, late_s)
 
 
-def rate_limited(requests: DataFrame, limit: int = 30, window_s: int = 60, key: str = "ip") -> DataFrame:
-    """ip, t, accepted: a request passes if fewer than `limit` accepted ones lie in the window before it."""
+def rate_limited(requests: DataFrame, limit: int = 30, window_s: int = 60, key: str = "ip", late_s: int = LATE_S) -> DataFrame:
+    """ip, t, accepted: a request passes if fewer than `limit` accepted ones lie in the window before it. The state is the
+    last accepted times, at most `limit`; it is forgotten when the window has passed.
+    """
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+    def step(key, rows, state):
+        held = deque(state[0] if state else (), maxlen=limit)
         out = []
-        for t in sorted(int(x) for b in batches for x in b["t"]):
-            held = [x for x in held if t - x <= window_s]
-            ok = len(held) < limit
+        for t in np.sort(rows["t"].to_numpy()).tolist():
+            # the limit-th last accepted request decides
+            ok = len(held) < limit or t - held[0] > window_s
             if ok:
                 held.append(t)
-            out.append((k[0], t, ok))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["ip", "t", "accepted"])
+            out.append((key, t, ok))
+        return out, (list(held),)
 
-    return requests.groupBy(key).applyInPandasWithState(step, "ip string, t bigint, accepted boolean", "t array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return _by_key(requests, key, step, "ip string, t bigint, accepted boolean", "t array<bigint>", "t", window_s, late_s)

@@ -88,9 +88,12 @@ def test_ece(spark):
     assert ranking.ece(bins).first().ece == pytest.approx(0.17)
 
 
-def test_sign_test_and_enumeration():
-    assert ranking.sign_test(10, 0) == pytest.approx(2 / 1024)
-    assert ranking.sign_test(0, 0) == 1.0 and ranking.sign_test(3, 3) == 1.0
+def test_sign_test_and_enumeration(spark):
+    p = lambda a, b: one(spark, ranking.sign_test(F.lit(a), F.lit(b)))
+    assert p(10, 0) == pytest.approx(2 / 1024)
+    assert p(0, 0) == 1.0 and p(3, 3) == 1.0
+    for a, b in ((1, 0), (12, 5), (40, 60), (700, 900)):
+        assert p(a, b) == pytest.approx(min(1, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b)), rel=1e-9)
     means = ranking.exact_bootstrap([0.0, 1.0, 2.0])
     assert len(means) == 27 and sum(means) / 27 == pytest.approx(1.0)
 
@@ -134,23 +137,26 @@ def test_letter_logprobs(spark):
     assert one(spark, text.letter_logprobs(top)) == [-1.0, -30.0, -3.0, -30.0, -30.0]
 
 
-def test_names_and_categories():
+def test_names_and_categories(spark):
     for x, want in {"Bean (Coffee Shop)": ("Bean", "Coffee Shop"), "Coffee Shop": ("", "Coffee Shop"), "Hub (Metro (S) Station)": ("Hub", "Metro (S) Station"), "A (S) (Metro)": ("A (S)", "Metro"), "odd)": ("", "odd)"), "": ("", "")}.items():
-        assert text.name_and_category(x) == want
-    assert text.outer_pieces("a (b, c), d, e (f)") == ["a (b, c)", "d", "e (f)"]
-    assert text.outer_pieces("") == [] and text.outer_pieces("x) , (y, z") == ["x) ", "(y, z"]
-    assert text.history_places("Joe, Inc (Bar), Park, Tail", {"Park"}) == ["Joe, Inc (Bar)", "Park", "Tail"]
+        assert tuple(one(spark, text.name_and_category(F.lit(x)))) == want
+    pieces = lambda x: one(spark, text.outer_pieces(F.lit(x)))
+    assert pieces("a (b, c), d, e (f)") == ["a (b, c)", "d", "e (f)"]
+    assert pieces("") == [] and pieces("x) , (y, z") == ["x) ", "(y, z"]
+    assert pieces("a (b (c, d), e), f,g, , h, ") == ["a (b (c, d), e)", "f,g", "", "h"]
+    places = lambda x, *known: one(spark, text.history_places(F.lit(x), arr(list(known))))
+    assert places("Joe, Inc (Bar), Park, Tail", "Park") == ["Joe, Inc (Bar)", "Park", "Tail"]
+    assert places("A, B, C (Bar)", "Park") == ["A, B, C (Bar)"] and places("", "Park") == []
 
 
 def test_prompt_round_trip(spark):
     hist, top, cands = ["Bean (Coffee Shop)", "Park", "Joe, Inc (Bar)"], ["Coffee Shop", "Park", "Bar"], ["X (Gym)", "Bar"]
     p = one(spark, text.render_prompt(arr(hist), arr(top), arr(cands)))
-    r = text.read_prompt(p)
-    assert r["history"] == [("Bean", "Coffee Shop"), ("", "Park"), ("Joe, Inc", "Bar")]
-    assert r["top"] == top and r["candidates"] == [("X", "Gym"), ("", "Bar")]
-    assert text.read_prompt("nothing") is None and text.read_prompt(None) is None
-    got = one(spark, text.parse_prompt(F.lit(p)))
-    assert [(x.name, x.category) for x in got.candidates] == r["candidates"]
+    for known in (None, ["Park"]):
+        r = one(spark, text.parse_prompt(F.lit(p), known))
+        assert [tuple(x) for x in r["history"]] == [("Bean", "Coffee Shop"), ("", "Park"), ("Joe, Inc", "Bar")]
+        assert r["top"] == top and [tuple(x) for x in r["candidates"]] == [("X", "Gym"), ("", "Bar")]
+    assert one(spark, text.parse_prompt(F.lit("nothing"))) is None and one(spark, text.parse_prompt(F.lit(None).cast("string"))) is None
 
 
 def test_sentences_about_categories(spark):

@@ -52,6 +52,20 @@ def test_request_window(spark, tmp_path):
             assert tuple(w) == got[s[k - 1][0]][:2]
 
 
+def test_request_window_of_many_scrapes_in_one_batch(spark, tmp_path):
+    rows = [{"service": "x", "t": t, "n": n, "errors": 0} for t, n in ((1, 4), (2, 6), (3, None), (4, 3), (200, 1))]
+    out = run(spark, stream.request_window(source(spark, tmp_path, "service string, t bigint, n bigint, errors bigint", [rows[:3], rows[3:]]), most=10), tmp_path, "win2")
+    # a restart of the counters empties the window, age does too
+    assert {r.t: r.n for r in out.collect() if r.t is not None} == {1: 4, 2: 10, 3: 0, 4: 3, 200: 1}
+
+
+def test_silent_keys_are_forgotten(spark, tmp_path):
+    batches = [[{"service": "x", "t": 0, "n": 20, "errors": 9}, {"service": "y", "t": 0, "n": 20, "errors": 0}], [{"service": "y", "t": 1000, "n": 20, "errors": 0}], [{"service": "y", "t": 1001, "n": 1, "errors": 0}]]
+    src = source(spark, tmp_path, "service string, t bigint, n bigint, errors bigint", batches)
+    out = run(spark, stream.request_window(src, late_s=10), tmp_path, "win3")
+    assert [(r.service, r.n, r.state) for r in out.collect() if r.t is None] == [("x", 0, "FEW")]
+
+
 def test_latest_wins(spark, tmp_path):
     batches = [[{"request": "a", "token": 2}], [{"request": "a", "token": 1}, {"request": "b", "token": 7}], [{"request": "a", "token": 3}, {"request": "a", "token": 2}]]
     out = run(spark, stream.latest_wins(source(spark, tmp_path, "request string, token bigint", batches)), tmp_path, "latest")
