@@ -5,8 +5,8 @@ A coarse bitmap whose bits are as wide as the gap is taken first: two events wit
 surely apart, so the fine bitmaps cover only the runs of the coarse one. A fine bitmap is closed by OR-ing it with
 itself shifted by 1, 2, 4, ... seconds until every bit has spread over one gap; its runs of ones are the sessions, the
 event counts are joined to the runs, and the spread is trimmed off the ends again. Sessions near a block's edge are then
-joined with those of the next block. An entity of any size is thereby spread over as many tasks as it has blocks, and
-what has to come together per entity is two sessions a block.
+joined with those of the next block. Equal seconds are counted before the shuffle, so that a block has no more rows than
+seconds however many events an entity has in it, and a task works on a few blocks at a time.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import epoch_s, norm_id, require_columns, stored
 
+#: Rows that a task takes together before it works on them.
+TASK_ROWS = 500_000
 #: Bits of fine bitmap worked on at once: half a megabyte, so that the shifts stay in a core's cache.
 CHUNK_BITS = 1 << 22
 _SCHEMA = "user_id string, start_s bigint, end_s bigint, n_events bigint, at_edge boolean"
@@ -65,29 +68,38 @@ def _extremes(ids: np.ndarray, t: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return lo, hi
 
 
-def session_runs(group: np.ndarray, t: np.ndarray, n_groups: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sessions of every group: (group, start, end, events), for times `t` (seconds) of groups 0..n_groups-1."""
-    if gap == 0:  # neighbouring seconds must stay apart: put an empty bit between them
-        owner, start, end, n = session_runs(group, t * 2, n_groups, 1)
-        return owner, start // 2, end // 2, n
-    base, top = _extremes(group, t, n_groups)
-    width = gap
-    # coarse bitmap: one row of bits a group, an empty bit after each
+def _coarse_runs(group: np.ndarray, t: np.ndarray, base: np.ndarray, top: np.ndarray, width: int) -> np.ndarray:
+    """Number of the run of occupied coarse bits that each time falls into; runs are numbered from 0 in rising order.
+
+    One row of bits a group, an empty bit after each. Where the rows would take more than `CHUNK_BITS` (small gaps, long
+    spans), the few occupied bits are sorted instead: the same runs.
+    """
     span = (top - base) // width + 2
     offset = np.concatenate(([0], np.cumsum(span)))
-    coarse = np.zeros(int(offset[-1]), dtype=bool)
     at = offset[group] + (t - base[group]) // width
-    coarse[at] = True
-    occupied = np.flatnonzero(coarse)
+    if offset[-1] <= max(CHUNK_BITS, 8 * len(t)):
+        coarse = np.zeros(int(offset[-1]), dtype=bool)
+        coarse[at] = True
+        occupied = np.flatnonzero(coarse)
+    else:
+        occupied = np.unique(at)
     new = np.empty(len(occupied), dtype=bool)
     new[:1] = True
     np.greater(np.diff(occupied), 1, out=new[1:])
-    run_of = np.cumsum(new) - 1
-    run = run_of[np.searchsorted(occupied, at)]
-    n_runs = int(run_of[-1]) + 1
+    return (np.cumsum(new) - 1)[np.searchsorted(occupied, at)]
+
+
+def session_runs(group: np.ndarray, t: np.ndarray, n_groups: int, gap: int, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sessions of every group: (group, start, end, events), for times `t` (seconds) of groups 0..n_groups-1, with the
+    numbers of events at these times (one each by default).
+    """
+    if gap == 0:  # neighbouring seconds must stay apart: put an empty bit between them
+        owner, start, end, n = session_runs(group, t * 2, n_groups, 1, count)
+        return owner, start // 2, end // 2, n
+    base, top = _extremes(group, t, n_groups)
+    run = _coarse_runs(group, t, base, top, gap)
+    n_runs = int(run.max()) + 1
     lo, hi = _extremes(run, t, n_runs)
-    run_group = np.empty(n_runs, dtype=np.int64)
-    run_group[run] = group
     # fine bitmaps, of the coarse runs with more than one occupied second
     wide = hi > lo
     need = np.where(wide, hi - lo + gap + 2, 1)
@@ -116,37 +128,46 @@ def session_runs(group: np.ndarray, t: np.ndarray, n_groups: int, gap: int) -> t
     begin_t, end_t = _extremes(session, t, len(starts))
     owner = np.empty(len(starts), dtype=np.int64)
     owner[session] = group
-    return owner, begin_t, end_t, np.bincount(session, minlength=len(starts))
+    n = np.bincount(session, count, minlength=len(starts))
+    return owner, begin_t, end_t, n if count is None else np.rint(n).astype(np.int64)
 
 
 def _block_sessions(gap: int, block_s: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
+    def found(table: pa.Table) -> pa.RecordBatch:
         users = table.column("user_id").combine_chunks().dictionary_encode()
         user = users.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        block, t = (table.column(c).to_numpy() for c in ("block", "t"))
+        block, t, count = (table.column(c).to_numpy() for c in ("block", "t", "n"))
         low = int(block.min())
         n_blocks = int(block.max()) - low + 1
-        key = user * n_blocks + (block - low)
-        size = len(users.dictionary) * n_blocks
-        if size <= 50_000_000:
-            seen = np.zeros(size, dtype=bool)
-            seen[key] = True
-            keys = np.flatnonzero(seen)
-            place = np.cumsum(seen, dtype=np.int64)
-            group = place[key] - 1
-        else:
-            keys, group = np.unique(key, return_inverse=True)
-        owner, start, end, n = session_runs(group, t, len(keys), gap)
+        keys, group = np.unique(user * n_blocks + (block - low), return_inverse=True)
+        owner, start, end, n = session_runs(group, t, len(keys), gap, count)
         first = (keys % n_blocks + low) * block_s
         edge = (start - first[owner] <= gap) | (first[owner] + block_s - end <= gap)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [users.dictionary.take(pa.array(keys[owner] // n_blocks)).cast(pa.string()), pa.array(start), pa.array(end), pa.array(n), pa.array(edge)],
             names=["user_id", "start_s", "end_s", "n_events", "at_edge"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # blocks come whole and one after the other: what is held is a few of them, cut off before the last one's first row
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= TASK_ROWS:
+                user, block = batch.column(0), batch.column(1)
+                last = pc.and_(pc.equal(user, user[-1]), pc.equal(block, block[-1]))
+                keep = batch.num_rows - int(pc.sum(last).as_py())
+                if keep:
+                    yield found(pa.Table.from_batches([*held[:-1], batch.slice(0, keep)]))
+                    held = [batch.slice(keep)]
+                    rows = held[0].num_rows
+        if held:
+            yield found(pa.Table.from_batches(held))
+
     return run
 
 
@@ -158,14 +179,16 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap_s: in
     other columns, whatever their names, are not looked at. Ids come out trimmed and in lower case.
     """
     require_columns(events, user, ts)
-    if gap_s < 0 or block_s <= 2 * gap_s:
-        raise ValueError("gap_s must not be negative, and block_s must be more than twice gap_s")
+    if gap_s < 0:
+        raise ValueError("gap_s must not be negative")
+    block_s = max(block_s, 3 * gap_s)
     rows = (
         events.select(norm_id(user).alias("user_id"), epoch_s(events, ts).alias("t"))
         .filter("user_id is not null and t is not null")
         .withColumn("block", F.floor(F.col("t") / F.lit(block_s)).cast("bigint"))
-        .repartition("user_id", "block")
     )
+    # seconds are counted first, spread by second too: a block has at most block_s rows then, however hot it is
+    rows = rows.groupBy("user_id", "block", "t").agg(F.count(F.lit(1)).alias("n")).repartition("user_id", "block").sortWithinPartitions("user_id", "block")
     local = stored(rows.mapInArrow(_block_sessions(gap_s, block_s), _SCHEMA))
     inner = local.filter("not at_edge").select("user_id", "start_s", "end_s", "n_events")
     line = Window.partitionBy("user_id").orderBy("start_s")

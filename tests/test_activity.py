@@ -36,6 +36,35 @@ def secs(d):
     return int((d - E0).total_seconds())
 
 
+def test_sessions_of_one_hot_block_and_of_small_and_large_gaps(spark, monkeypatch):
+    """One account with all rows in one block, several times at the same second; tasks that cut between blocks."""
+    from stridewell.operators import sessions as module
+
+    rows = [("hot", datetime(2018, 1, 1) + timedelta(seconds=(k * 37) % 50_000)) for k in range(60_000)]
+    rows += [(f"u{k % 50}", datetime(2018, 1, 1) + timedelta(days=k * 9)) for k in range(300)]
+    df = spark.createDataFrame(rows, "user_id string, ts timestamp_ntz")
+    for gap in (0, 5, 60, 3_000_000):
+        got = sorted((r.user_id, r.start_s, r.end_s, r.n_events) for r in sessions(df, gap_s=gap).collect())
+        want = []
+        times = {}
+        for u, t in rows:
+            times.setdefault(u, []).append(secs(t))
+        for u, ts in times.items():
+            ts.sort()
+            begin = 0
+            for k in range(1, len(ts) + 1):
+                if k == len(ts) or ts[k] - ts[k - 1] > gap:
+                    want.append((u, ts[begin], ts[k - 1], k - begin))
+                    begin = k
+        assert got == sorted(want), gap
+    monkeypatch.setattr(module, "TASK_ROWS", 7)
+    import pyarrow as pa
+
+    table = pa.table({"user_id": ["a"] * 9 + ["b"] * 9, "block": [0] * 5 + [1] * 4 + [0] * 9, "t": [*range(0, 5), *range(100, 104), *range(0, 90, 10)], "n": [1] * 18})
+    out = pa.Table.from_batches(list(module._block_sessions(5, 100)(iter(table.to_batches(max_chunksize=2))))).to_pylist()
+    assert [(r["user_id"], r["start_s"], r["n_events"]) for r in out] == [("a", 0, 5), ("a", 100, 4), *(("b", k, 1) for k in range(0, 90, 10))]
+
+
 @pytest.mark.parametrize("gap", [0, 1, 63, 64, 900, 14_400])
 def test_sessions(spark, gap):
     rng = random.Random(gap)
