@@ -3,8 +3,9 @@
 The globe is cut into rows of the search radius' height and every row into cells of about the same width, so cells keep
 their size towards the poles and wrap at the date line. A disc is covered by the (at most a dozen) cells it can touch,
 and an equi-join on the cell finds the points there. The cover adapts to the points: a cell that holds many of them is
-cut into smaller cells on both sides of the join. A cell that lies wholly in the disc is interior: its points are
-accepted as they are. Only points in cells on the disc's edge take the exact distance test.
+cut into smaller cells on both sides of the join, again and again until a cell holds few or is as small as can be; what
+still crowds there is spread over parts. A cell that lies wholly in the disc is interior: its points are accepted as
+they are, at any depth. Only points in cells on the disc's edge take the exact distance test.
 """
 
 from __future__ import annotations
@@ -64,17 +65,19 @@ class _Grid:
         return f"({row} * 4294967296L + {col})"
 
 
-def near_pairs(points: DataFrame, radius_km: float, dense: int = 64, sub: int = 4) -> DataFrame:
+def near_pairs(points: DataFrame, radius_km: float, dense: int = 64, sub: int = 4, depth: int = 6) -> DataFrame:
     """Pairs (item_a, item_b, km) with item_a < item_b at most `radius_km` apart, at least one of them a query.
 
     `points` has one row per item: item, lat, lon and is_query. Cells with more than `dense` points are cut into
-    sub x sub smaller ones. Rows without item or place are left out; two items at one place are 0 km apart; an empty
-    table gives no pairs; other columns are ignored.
+    sub x sub smaller ones, at most `depth` times; a smallest cell that is crowded still is spread over parts of about
+    `dense` points. Rows without item or place are left out; two items at one place are 0 km apart; an empty table gives
+    no pairs; other columns are ignored.
     """
     require_columns(points, "item", "lat", "lon", "is_query")
     if not 0 < radius_km <= 1000:
         raise ValueError("radius_km must lie in (0, 1000]")
     g = _Grid(radius_km, sub)
+    n = sub * sub
     places = points.filter("item is not null").filter(is_located(F.col("lat"), F.col("lon"))).select("item", "lat", "lon", F.coalesce("is_query", F.lit(False)).alias("is_query"))
     placed = (
         places.withColumn("row", F.expr(g.row("lat")))
@@ -82,16 +85,9 @@ def near_pairs(points: DataFrame, radius_km: float, dense: int = 64, sub: int =
         .withColumn("x", F.expr("(lon + 180D) / 360D * n_cols"))
         .withColumn("col", F.expr("cast(floor(x) as bigint) % n_cols"))
         .withColumn("cell", F.expr(g.key("row", "col")))
-        .withColumn("fine", F.expr(f"cast(least(floor(((lat + 90D) / {g.h!r}D - row) * {sub}), {sub - 1}) as int) * {sub} + cast(floor((x - floor(x)) * {sub}) as int)"))
-        .select("item", "lat", "lon", "is_query", "cell", "fine")
+        .select("item", "lat", "lon", "is_query", "cell", F.lit(1).cast("bigint").alias("path"), F.expr(f"(lat + 90D) / {g.h!r}D - row").alias("fy"), F.expr("x - floor(x)").alias("fx"))
     )
     placed = stored(placed)
-    crowded = placed.groupBy("cell").count().filter(F.col("count") > dense).select("cell", F.lit(True).alias("crowded"))
-    right = (
-        placed.join(crowded, "cell", "left")
-        .withColumn("part", F.expr("case when crowded then fine else -1 end"))
-        .select("cell", "part", F.col("item").alias("p_item"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.col("is_query").alias("p_query"))
-    )
     cover = (
         placed.filter("is_query")
         .select("item", "lat", "lon")
@@ -103,24 +99,73 @@ def near_pairs(points: DataFrame, radius_km: float, dense: int = 64, sub: int =
         .withColumn("c1", F.expr("cast(floor((lon + reach + 180D) / 360D * n_cols) as bigint)"))
         .withColumn("c", F.explode(F.expr("case when c1 - c0 + 1 >= n_cols then sequence(0L, n_cols - 1) else sequence(c0, c1) end")))
         .withColumn("cell", F.expr(g.key("row", "pmod(c, n_cols)")))
-        .join(crowded, "cell", "left")
-        .withColumn("part", F.explode(F.expr(f"case when crowded then sequence(0, {sub * sub - 1}) else array(-1) end")))
-        # the rectangle: the cell or one of its parts
-        .withColumn("k", F.expr(f"case when part < 0 then 1 else {sub} end"))
-        .withColumn("south", F.expr(f"(row + (case when part < 0 then 0 else part div {sub} end) / cast(k as double)) * {g.h!r}D - 90D"))
-        .withColumn("north", F.expr(f"south + {g.h!r}D / k"))
-        .withColumn("west", F.expr(f"(c + (case when part < 0 then 0 else part % {sub} end) / cast(k as double)) / n_cols * 360D - 180D"))
-        .withColumn("east", F.expr("west + 360D / n_cols / k"))
+        .select("item", "lat", "lon", "row", "n_cols", "c", "cell", F.lit(1).cast("bigint").alias("path"), F.lit(0).cast("bigint").alias("iy"), F.lit(0).cast("bigint").alias("ix"), F.lit(False).alias("interior"))
+    )
+    cover = _touching(cover, g, radius_km, 0)
+    found: list[tuple[DataFrame, DataFrame]] = []  # leaves of either side, level by level
+    for level in range(depth + 1):
+        crowded = placed.groupBy("cell", "path").count().filter(F.col("count") > dense)
+        if level == depth:
+            salts = crowded.select("cell", "path", F.ceil(F.col("count") / dense).alias("salts"))
+            spread = F.coalesce("salts", F.lit(1).cast("bigint"))
+            right = placed.join(salts, ["cell", "path"], "left").withColumn("salt", F.pmod(F.xxhash64("item"), spread))
+            left = cover.join(salts, ["cell", "path"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), spread - 1)))
+            found.append((left, right))
+            break
+        crowded = stored(crowded.select("cell", "path", F.lit(True).alias("cut")))
+        if crowded.isEmpty():
+            found.append((cover.withColumn("salt", F.lit(0).cast("bigint")), placed.withColumn("salt", F.lit(0).cast("bigint"))))
+            break
+        here, there = placed.join(crowded, ["cell", "path"], "left"), cover.join(crowded, ["cell", "path"], "left")
+        if level:
+            here, there = stored(here), stored(there)
+        leaf = lambda side: side.filter("cut is null").withColumn("salt", F.lit(0).cast("bigint"))
+        found.append((leaf(there), leaf(here)))
+        k = sub ** (level + 1)
+        at = lambda f: f"least({k - 1}L, cast(floor({f} * {k}) as bigint))"
+        placed = here.filter("cut").withColumn("path", F.expr(f"path * {n} + ({at('fy')} % {sub}) * {sub} + {at('fx')} % {sub}")).drop("cut")
+        cover = (
+            there.filter("cut")
+            .withColumn("part", F.explode(F.expr(f"sequence(0, {n - 1})")))
+            .withColumn("path", F.expr(f"path * {n} + part"))
+            .withColumn("iy", F.expr(f"iy * {sub} + part div {sub}"))
+            .withColumn("ix", F.expr(f"ix * {sub} + part % {sub}"))
+            .drop("cut", "part")
+        )
+        cover = _touching(cover, g, radius_km, level + 1)
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+    keys = ["cell", "path", "salt"]
+    right = _all_of([r.select(*keys, F.col("item").alias("p_item"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.col("is_query").alias("p_query")) for _, r in found])
+    left = _all_of([x.select(*keys, "item", "lat", "lon", "interior") for x, _ in found])
+    hits = left.join(right, keys).filter("item <> p_item and (not p_query or item < p_item)").filter(F.col("interior") | (km <= radius_km))
+    return hits.select(F.least("item", "p_item").alias("item_a"), F.greatest("item", "p_item").alias("item_b"), km.alias("km"))
+
+
+def _all_of(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _touching(cover: DataFrame, g: _Grid, radius_km: float, level: int) -> DataFrame:
+    """Of the cover's cells those that their disc can touch, with `interior` set where it holds the whole cell. What lies in
+    an interior cell is interior too.
+    """
+    k = g.sub**level
+    rect = (
+        cover.withColumn("south", F.expr(f"(row + iy / {float(k)!r}D) * {g.h!r}D - 90D"))
+        .withColumn("north", F.expr(f"south + {g.h / k!r}D"))
+        .withColumn("west", F.expr(f"(c + ix / {float(k)!r}D) / n_cols * 360D - 180D"))
+        .withColumn("east", F.expr(f"west + 360D / n_cols / {k}"))
     )
     # beyond the disc for sure: too far by latitude, or from the nearer meridian
     low = F.expr(f"radians(greatest(0D, south - lat, lat - north)) * {EARTH_KM!r}D")
-    side = F.expr(f"case when part < 0 or n_cols < 8 then 0D else asin(cos(radians(lat)) * sin(radians(least(90D, greatest(0D, west - lon, lon - east))))) * {EARTH_KM!r}D end")
+    side = F.expr(f"case when {level} = 0 or n_cols < 8 then 0D else asin(cos(radians(lat)) * sin(radians(least(90D, greatest(0D, west - lon, lon - east))))) * {EARTH_KM!r}D end")
     corners = [haversine_km(F.col("lat"), F.col("lon"), F.col(a), F.col(b)) for a in ("south", "north") for b in ("west", "east")]
-    interior = (F.greatest(*corners) <= radius_km * (1 - 1e-9)) & (F.col("n_cols") >= 8)
-    left = cover.filter((low <= radius_km * (1 + 1e-6)) & (side <= radius_km * (1 + 1e-6))).withColumn("interior", interior).select("cell", "part", "item", "lat", "lon", "interior")
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    hits = left.join(right, ["cell", "part"]).filter("item <> p_item and (not p_query or item < p_item)").filter(F.col("interior") | (km <= radius_km))
-    return hits.select(F.least("item", "p_item").alias("item_a"), F.greatest("item", "p_item").alias("item_b"), km.alias("km"))
+    inside = (F.greatest(*corners) <= radius_km * (1 - 1e-9)) & (F.col("n_cols") >= 8)
+    near = F.col("interior") | ((low <= radius_km * (1 + 1e-6)) & (side <= radius_km * (1 + 1e-6)))
+    return rect.filter(near).withColumn("interior", F.col("interior") | inside).drop("south", "north", "west", "east")
 
 
 def venues_near_candidates(checkins: DataFrame, decisions: DataFrame, radius_km: float = 0.080, candidates: str = "candidates", **tuning) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, nearby
+from ..operators import features, nearby, regions
 from ..operators.sessions import sessions
 from ..sources.tables import table
 from .sql import CHECKINS, norm
@@ -27,6 +27,24 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("item").agg(F.count(F.lit(1)).alias("n_near"), F.round(F.min("km") * 1000, 3).alias("nearest_m"))
 
 
+#: Outlines in hundredths of a degree around a point: a ring with bays, and a hole in it.
+_RING = ((40, 0), (20, 15), (25, 40), (0, 20), (-35, 38), (-20, 5), (-42, -6), (-18, -22), (-12, -45), (6, -20), (33, -36), (22, -10))
+_HOLE = ((10, 0), (0, 9), (-8, 0), (0, -11))
+
+
+def town_regions(spark: SparkSession, d: str) -> DataFrame:
+    """region, rings: an outline with a hole in every square degree that has venues, as GeoJSON has them ([lon, lat])."""
+    places = nearby.first_places(table(spark, d, "checkins"))
+    squares = places.select(F.floor("lat").alias("y"), F.floor("lon").alias("x")).distinct()
+    ring = lambda points: F.array(*(F.array(F.col("x") + F.lit(0.5 + dx / 100), F.col("y") + F.lit(0.5 + dy / 100)) for dx, dy in points))
+    return squares.select(F.concat_ws(":", "y", "x").alias("region"), F.array(ring(_RING), ring(_HOLE)).alias("rings"))
+
+
+def p3_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The region that contains each venue, of those that lie in one."""
+    return regions.containing_regions(nearby.first_places(table(spark, d, "checkins")), town_regions(spark, d), levels=(8, 11, 14))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sessions(table(spark, d, "checkins"), gap_s=GAP_S).select("user_id", "start_s", "end_s")
 
@@ -66,7 +84,7 @@ def p5_features(spark: SparkSession, d: str) -> DataFrame:
     return features.expand(features.sparse_vectors(table(spark, d, "checkins"), types, distinct_by=("item",), keep_unidentified=True), types)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p4_found, p4_sessions, p5_found, p5_vectors, all_p5_vectors, p5_features)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p3_regions, p4_found, p4_sessions, p5_found, p5_vectors, all_p5_vectors, p5_features)}
 
 _PLACES = f"""{CHECKINS},
 places as (
@@ -90,7 +108,21 @@ sessions as (select user_id, min(t) start_s, max(t) end_s, max(t) - min(t) durat
 
 _VISITS = f"{CHECKINS}, visits as (select user_id, cat, t, item, count(*) n from checkin_rows where user_id is not null and cat is not null and t is not null and item is not null group by all)"
 
+
+
+def _ring_sql(points: tuple) -> str:
+    """Edges (x1, y1, x2, y2) of a ring around the middle of a square degree, in degrees from its corner."""
+    return ", ".join(f"({0.5 + a / 100!r}, {0.5 + b / 100!r}, {0.5 + c / 100!r}, {0.5 + e / 100!r})" for (a, b), (c, e) in zip(points, (*points[1:], points[0])))
+
+
+_REGIONS = f"""{_PLACES.split("asked as")[0].rstrip().rstrip(",")},
+squares as (select distinct floor(lat)::bigint y, floor(lon)::bigint x from places),
+outline(x1, y1, x2, y2) as (values {_ring_sql(_RING)}, {_ring_sql(_HOLE)}),
+crossed as (select p.item, s.y, s.x, count(*) n from places p join squares s on floor(p.lat) = s.y and floor(p.lon) = s.x cross join outline o
+  where ((s.y + o.y1 > p.lat) <> (s.y + o.y2 > p.lat)) and p.lon < (o.x2 - o.x1) * (p.lat - s.y - o.y1) / (o.y2 - o.y1) + o.x1 + s.x group by 1, 2, 3)"""
+
 SQL = {
+    "p3_regions": f"with {_REGIONS} select item, y || ':' || x region from crossed where n % 2 = 1",
     "p3_found": f"with {_PLACES} select item_a, item_b from near_pairs",
     "p3_neighbours": f"with {_PLACES} select item, count(*) n_near, round(min(km) * 1000, 3) nearest_m from (select unnest([item_a, item_b]) item, km from near_pairs) group by item",
     "p4_found": f"with {_SESSIONS} select user_id, start_s, end_s from sessions",

@@ -197,3 +197,29 @@ def test_empty(spark):
     assert features.sparse_vectors(none, ["a"]).count() == 0
     assert features.expand(features.sparse_vectors(none, ["a"]), ["a"]).count() == 0
     assert nearby.venues_near_candidates(none, spark.createDataFrame([], "candidates array<string>")).count() == 0
+
+
+def test_near_pairs_in_crowded_cells(spark):
+    """Many venues in one cell, thousands at one point, few queries: cut to the smallest cells and spread beyond."""
+    rng = random.Random(3)
+    at = [(51.5 + rng.random() * 4e-4, -0.1 + rng.random() * 4e-4) for _ in range(20_000)] + [(51.5001, -0.1001)] * 3000 + [(51.7 + rng.random(), rng.random()) for _ in range(2000)]
+    rows = [(f"v{k:06d}", *p, k % 2300 == 7) for k, p in enumerate(at)]
+    df = spark.createDataFrame(rows, "item string, lat double, lon double, is_query boolean")
+    got = {(r.item_a, r.item_b) for r in nearby.near_pairs(df, 0.02, dense=64, depth=4).collect()}
+    lat, lon = (np.radians([r[c] for r in rows]) for c in (1, 2))
+    want = set()
+    for k, r in enumerate(rows):
+        if r[3]:
+            h = np.sin((lat - lat[k]) / 2) ** 2 + np.cos(lat[k]) * np.cos(lat) * np.sin((lon - lon[k]) / 2) ** 2
+            want |= {tuple(sorted((r[0], rows[j][0]))) for j in np.flatnonzero(2 * nearby.EARTH_KM * np.arcsin(np.sqrt(h)) <= 0.02) if j != k}
+    assert got == want and len(want) > 10_000
+
+
+def test_spread_join(spark):
+    from stridewell.operators.ranked import spread_join
+
+    many = spark.createDataFrame([(("a" if k % 3 else f"k{k}") if k % 50 else None, k) for k in range(1000)], "k string, v int")
+    one = spark.createDataFrame([("a", 1), ("k3", 2), ("zz", 3)], "k string, w int")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, many.join(one, "k", how).select("v", "w").collect()), key=str)
+        assert sorted(map(tuple, spread_join(many, one, "k", how, task_rows=40).select("v", "w").collect()), key=str) == want
