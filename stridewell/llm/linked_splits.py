@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import norm_id, require_columns, stored
-from ..operators.ranked import numbered
+from ..operators.ranked import numbered, spread_join
 
 _SCHEMA = "node string, root string"
 
@@ -86,7 +86,8 @@ def _star_rounds(forest: DataFrame) -> DataFrame:
     while True:
         parents = forest.groupBy("node").agg(F.min("root").alias("p"))
         up = parents.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        flat = parents.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("root"), F.col("pp").isNotNull().alias("moved"))
+        # a third of all nodes may have one parent
+        flat = spread_join(parents, up, "p", "left").select("node", F.coalesce("pp", "p").alias("root"), F.col("pp").isNotNull().alias("moved"))
         hooks = forest.join(parents, "node").filter("root <> p").select(F.col("root").alias("node"), F.col("p").alias("root"), F.lit(True).alias("moved"))
         step = stored(flat.unionByName(hooks).groupBy("node", "root").agg(F.max("moved").alias("moved")))
         forest = step.select("node", "root")
@@ -103,6 +104,15 @@ def linked_pairs(links: DataFrame, decisions: DataFrame, user: str = "user_id",
     return members.withColumnRenamed("node", "user_a").join(other, "root").filter("user_a < user_b").select("user_a", "user_b")
 
 
+def active_members(links: DataFrame, decisions: DataFrame, user: str = "user_id", **how) -> DataFrame:
+    """user_id and root of every account with decisions that is linked to another: one row an account, whatever the size of
+    its component. root is the component's smallest id, which need not have decisions.
+    """
+    require_columns(decisions, user)
+    active = decisions.select(norm_id(user).alias("node")).filter("node is not null").distinct()
+    return components(links, **how).join(active, "node", "left_semi").select(F.col("node").alias("user_id"), "root")
+
+
 def plan_splits(sizes: Sequence[tuple[int, int]], shares: Sequence[float]) -> dict[int, list[int]]:
     """For (size, groups) pairs: how many groups of each size go to each split, largest first, each group to the split
     that is then furthest below its target (the first such). Equals the group-by-group greedy, in one step a size.
@@ -145,7 +155,7 @@ def linked_splits(
     names = list(shares)
     rows = records.select(F.col(record_id), norm_id(user).alias("user_id"))
     roots = components(links, **how).withColumnRenamed("node", "user_id")
-    rooted = rows.join(roots, "user_id", "left").withColumn("root", F.coalesce("root", "user_id"))
+    rooted = spread_join(rows, roots, "user_id", "left").withColumn("root", F.coalesce("root", "user_id"))
     group = F.coalesce(F.concat(F.lit("u"), "root"), F.concat(F.lit("r"), F.col(record_id).cast("string")), F.lit("r"))
     rooted = stored(rooted.withColumn("_g", group))
     groups = stored(rooted.groupBy("_g").agg(F.count(F.lit(1)).alias("_size")))
@@ -160,4 +170,4 @@ def linked_splits(
                 at += k
     spans = records.sparkSession.createDataFrame(spans, "_size bigint, _from bigint, _to bigint, split string")
     placed = numbered(groups, ["_size"], ["_g"], sum(c for _, c in sizes), "_i").join(spans, "_size").filter("_i >= _from and _i < _to").select("_g", "split")
-    return rooted.join(placed, "_g").select(record_id, "user_id", "root", "split")
+    return spread_join(rooted, placed, "_g").select(record_id, "user_id", "root", "split")

@@ -24,6 +24,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_splits.linked_pairs(table(spark, d, "user_links"), table(spark, d, "decisions"))
 
 
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """The person (smallest linked account) of each account with decisions that is linked."""
+    return linked_splits.active_members(table(spark, d, "user_links"), table(spark, d, "decisions"))
+
+
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return linked_splits.linked_splits(table(spark, d, "decisions"), table(spark, d, "user_links"))
 
@@ -73,7 +78,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segments(docs, languages.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_items, p2_found, p2_splits, p6_found, p6_latest_20, p7_found, p7_collapsed, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_items, p2_found, p2_members, p2_splits, p6_found, p6_latest_20, p7_found, p7_collapsed, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
 
 
 def _latest_sql(n: int, columns: str) -> str:
@@ -97,6 +102,11 @@ edges as (select a, b from links where a is not null and b is not null and a <>
 reach(a, b) as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
 active as (select distinct {norm('user_id')} u from decisions)
 select distinct a user_a, b user_b from reach where a < b and a in (select u from active where u is not null) and b in (select u from active where u is not null)""",
+    "p2_members": f"""with recursive links as (select {norm('user_id')} a, {norm('other_id')} b from user_links),
+edges as (select a, b from links where a is not null and b is not null and a <> b union select b, a from links where a is not null and b is not null and a <> b),
+reach(a, b) as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
+active as (select distinct {norm('user_id')} u from decisions)
+select a user_id, least(a, min(b)) root from reach where a in (select u from active where u is not null) group by a""",
     "p6_found": _latest_sql(5, "user_id, pos, seq"),
     "p6_latest_20": _latest_sql(20, "user_id, pos, t, item, seq"),
     "p7_found": f"{_RUNS} select user_id, first_seq, last_seq from runs where n >= 2",

@@ -94,6 +94,23 @@ def test_top_n(spark, seed, monkeypatch):
         assert got == sorted(want)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_top_n_of_groups_larger_than_a_task(spark, kind):
+    """Half of the rows in one group, with ties, repeated rows and one outlier, ranked across tasks."""
+    rng = random.Random(4)
+    rows = [("hot" if k % 2 else f"g{k % 7}", rng.choice([3, 5, 10**15, -7, rng.randrange(1000)]), f"i{rng.randrange(300)}", k) for k in range(4000)]
+    rows += rows[:50]
+    df = spark.createDataFrame(rows, "g string, s bigint, i string, q bigint").repartition(6)
+    score = F.col("s") if kind == "bigint" else F.col("s") / 8.0
+    for n in (3, 120, 5000):
+        got = sorted((r.group, r.pos, r.ident, r.seq) for r in top_n.top_n(df, F.col("g"), score, F.col("i"), F.col("q"), n, task_rows=100).collect())
+        best = {}
+        for g, s, i, q in rows:
+            best.setdefault(g, {}).setdefault((-s, i), []).append(q)
+        want = sorted((g, k + 1, key[1], min(v[key])) for g, v in best.items() for k, key in enumerate(sorted(v)[:n]))
+        assert got == want, n
+
+
 def test_cutoffs_by_bisection():
     rng = np.random.default_rng(0)
     for _ in range(50):
