@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import events as src
@@ -39,6 +39,11 @@ def value_differences(a: DataFrame, b: DataFrame, key: list[str], tolerance: flo
     return x.join(y, key, "full").filter(F.col("_a").isNull() | F.col("_b").isNull() | ~same).drop("_a", "_b")
 
 
+def agrees(value: Column, stored_value: Column, tolerance: float) -> Column:
+    """Whether a recomputed value is the one written down, within a tolerance that is counted in."""
+    return F.abs(value - stored_value) < tolerance + 1e-12
+
+
 def shared(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that two sets which must be disjoint have in common."""
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")

@@ -129,6 +129,21 @@ def ask_curve(recs: DataFrame, rates=tuple(k / 10 for k in range(11)), seed: int
     return sums.select("arm", "trigger", F.inline(rows)).select("arm", "rate", "accuracy", "trigger")
 
 
+def middle_values(rows: DataFrame, value: str, by: str, at: dict[str, float]) -> DataFrame:
+    """`by` and, for each name in `at`, the quantile interpolated linearly, from ranks in sorted ranges: no group is one
+    task's work. Nulls take no part; `by` has few values.
+    """
+    ranked = global_rank(rows.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v")), [by, "_v"])
+    span = ranked.groupBy(by).agg(F.min("rank").alias("_first"), n_rows().alias("_n"))
+    x = ranked.join(F.broadcast(span), by).withColumn("_r", F.col("rank") - F.col("_first"))
+    aggs = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("_n") - 1)
+        aggs += [F.max(F.when(F.col("_r") == F.floor(place), F.col("_v"))).alias(f"{name}_a"), F.max(F.when(F.col("_r") == F.ceil(place), F.col("_v"))).alias(f"{name}_b"), F.max(place - F.floor(place)).alias(f"{name}_w")]
+    y = x.groupBy(by).agg(*aggs)
+    return y.select(by, *((F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * F.col(f"{n}_w")).alias(n) for n in at))
+
+
 def poisson_bootstrap(rows: DataFrame, unit: str, top: Column, below: Column, draws: int = 1000, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Draws of sum(top) / sum(below) with each unit weighted by a Poisson(1) number fixed by seed, draw and unit.
 

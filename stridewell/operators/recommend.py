@@ -52,3 +52,14 @@ def factor_scores(model, users: DataFrame, items: DataFrame, options: DataFrame)
     x = options.join(u, "user_id", "left").join(i, "item", "left")
     dot = F.aggregate(F.zip_with("_a", "_b", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda a, v: a + v)
     return x.withColumn("score", F.coalesce(dot, F.lit(0.0))).drop("_a", "_b")
+
+
+def next_item_scores(options: DataFrame, users: DataFrame, lasts: DataFrame, items: DataFrame) -> DataFrame:
+    """The options (user, last, item and others) with score, <user + last, item>.
+
+    The three tables have their key (user, last, item) and a vector v. Without a user's or last item's vector that term is
+    0; options whose item has none are scored 0 too.
+    """
+    x = options.join(users.withColumnRenamed("v", "_u"), "user", "left").join(lasts.withColumnRenamed("v", "_l"), "last", "left").join(items.withColumnRenamed("v", "_i"), "item", "left")
+    dot = lambda a: F.coalesce(F.aggregate(F.zip_with(a, "_i", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v), F.lit(0.0))
+    return x.withColumn("score", dot("_u") + dot("_l")).drop("_u", "_l", "_i")
