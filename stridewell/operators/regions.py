@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..common import require_columns
 from .nearby import is_located
+from .ranked import spread_join
 
-_CELLS = "region string, level int, cell bigint, interior boolean, edges array<struct<x1:double,y1:double,x2:double,y2:double>>"
+_CELLS = "region string, level bigint, cell bigint, interior boolean, edges array<struct<x1:double,y1:double,x2:double,y2:double>>"
 _EDGES = pa.list_(pa.struct([(n, pa.float64()) for n in ("x1", "y1", "x2", "y2")]))
 
 
@@ -114,15 +115,17 @@ def containing_regions(points: DataFrame, regions: DataFrame, point_id: str = "i
                     part = cells[at : at + 5000]
                     edges = [[dict(zip(("x1", "y1", "x2", "y2"), q)) for q in c[3]] for c in part]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(part), pa.string()), pa.array([c[0] for c in part], pa.int32()), pa.array([c[1] for c in part], pa.int64()), pa.array([c[2] for c in part], pa.bool_()), pa.array(edges, _EDGES)],
+                        [pa.array([name] * len(part), pa.string()), pa.array([c[0] for c in part], pa.int64()), pa.array([c[1] for c in part], pa.int64()), pa.array([c[2] for c in part], pa.bool_()), pa.array(edges, _EDGES)],
                         names=["region", "level", "cell", "interior", "edges"],
                     )
 
     cells = regions.select(F.col("region").cast("string").alias("region"), F.col("rings").cast("array<array<array<double>>>").alias("rings")).filter("region is not null and rings is not null").mapInArrow(run, _CELLS)
     p = points.filter(is_located(F.col("lat"), F.col("lon"))).select(F.col(point_id).alias("_id"), "lat", "lon")
     at = lambda c, low, span, n: F.least(F.lit(n - 1), F.floor((F.col(c) + low) / (span / n)))
-    numbers = F.array(*(F.struct(F.lit(x).alias("level"), (at("lat", 90, 180, 1 << x) * (1 << x) + at("lon", 180, 360, 1 << x)).cast("bigint").alias("cell")) for x in levels))
+    numbers = F.array(*(F.struct(F.lit(x).cast("bigint").alias("level"), (at("lat", 90, 180, 1 << x) * (1 << x) + at("lon", 180, 360, 1 << x)).cast("bigint").alias("cell")) for x in levels))
     spread = p.select("_id", "lat", "lon", F.inline(numbers))
     crossed = F.filter("edges", lambda q: ((q["y1"] > F.col("lat")) != (q["y2"] > F.col("lat"))) & (F.col("lon") < (q["x2"] - q["x1"]) * F.try_divide(F.col("lat") - q["y1"], q["y2"] - q["y1"]) + q["x1"]))
-    hits = spread.join(cells, ["level", "cell"]).filter(F.col("interior") | (F.size(crossed) % 2 == 1))
+    # an interior cell of a town may hold a third of all points; cells of one number on two levels differ in the level's bits
+    key = F.shiftleft("level", 57) + F.col("cell")
+    hits = spread_join(spread.withColumn("_key", key).drop("level", "cell"), cells.withColumn("_key", key).drop("level", "cell"), "_key").filter(F.col("interior") | (F.size(crossed) % 2 == 1))
     return hits.select(F.col("_id").alias(point_id), "region")

@@ -27,22 +27,22 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("item").agg(F.count(F.lit(1)).alias("n_near"), F.round(F.min("km") * 1000, 3).alias("nearest_m"))
 
 
-#: Outlines in hundredths of a degree around a point: a ring with bays, and a hole in it.
+#: Outlines in thousandths of a degree around a point: a ring with bays, and a hole in it.
 _RING = ((40, 0), (20, 15), (25, 40), (0, 20), (-35, 38), (-20, 5), (-42, -6), (-18, -22), (-12, -45), (6, -20), (33, -36), (22, -10))
 _HOLE = ((10, 0), (0, 9), (-8, 0), (0, -11))
 
 
 def town_regions(spark: SparkSession, d: str) -> DataFrame:
-    """region, rings: an outline with a hole in every square degree that has venues, as GeoJSON has them ([lon, lat])."""
+    """region, rings: an outline with a hole in every tenth of a degree square that has venues, as GeoJSON has them ([lon, lat])."""
     places = nearby.first_places(table(spark, d, "checkins"))
-    squares = places.select(F.floor("lat").alias("y"), F.floor("lon").alias("x")).distinct()
-    ring = lambda points: F.array(*(F.array(F.col("x") + F.lit(0.5 + dx / 100), F.col("y") + F.lit(0.5 + dy / 100)) for dx, dy in points))
+    squares = places.select(F.floor(F.col("lat") * 10).alias("y"), F.floor(F.col("lon") * 10).alias("x")).distinct()
+    ring = lambda points: F.array(*(F.array((F.col("x") + F.lit(0.5 + dx / 100)) / 10, (F.col("y") + F.lit(0.5 + dy / 100)) / 10) for dx, dy in points))
     return squares.select(F.concat_ws(":", "y", "x").alias("region"), F.array(ring(_RING), ring(_HOLE)).alias("rings"))
 
 
 def p3_regions(spark: SparkSession, d: str) -> DataFrame:
     """The region that contains each venue, of those that lie in one."""
-    return regions.containing_regions(nearby.first_places(table(spark, d, "checkins")), town_regions(spark, d), levels=(8, 11, 14))
+    return regions.containing_regions(nearby.first_places(table(spark, d, "checkins")), town_regions(spark, d), levels=(10, 13, 16))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,15 +111,16 @@ _VISITS = f"{CHECKINS}, visits as (select user_id, cat, t, item, count(*) n from
 
 
 def _ring_sql(points: tuple) -> str:
-    """Edges (x1, y1, x2, y2) of a ring around the middle of a square degree, in degrees from its corner."""
+    """Edges (x1, y1, x2, y2) of a ring around the middle of a square, in sides of it from its corner."""
     return ", ".join(f"({0.5 + a / 100!r}, {0.5 + b / 100!r}, {0.5 + c / 100!r}, {0.5 + e / 100!r})" for (a, b), (c, e) in zip(points, (*points[1:], points[0])))
 
 
 _REGIONS = f"""{_PLACES.split("asked as")[0].rstrip().rstrip(",")},
-squares as (select distinct floor(lat)::bigint y, floor(lon)::bigint x from places),
+squares as (select distinct floor(lat * 10)::bigint y, floor(lon * 10)::bigint x from places),
 outline(x1, y1, x2, y2) as (values {_ring_sql(_RING)}, {_ring_sql(_HOLE)}),
-crossed as (select p.item, s.y, s.x, count(*) n from places p join squares s on floor(p.lat) = s.y and floor(p.lon) = s.x cross join outline o
-  where ((s.y + o.y1 > p.lat) <> (s.y + o.y2 > p.lat)) and p.lon < (o.x2 - o.x1) * (p.lat - s.y - o.y1) / (o.y2 - o.y1) + o.x1 + s.x group by 1, 2, 3)"""
+edges as (select y, x, (x + x1) / 10 x1, (y + y1) / 10 y1, (x + x2) / 10 x2, (y + y2) / 10 y2 from squares cross join outline),
+crossed as (select p.item, e.y, e.x, count(*) n from places p join edges e on floor(p.lat * 10) = e.y and floor(p.lon * 10) = e.x
+  where ((e.y1 > p.lat) <> (e.y2 > p.lat)) and p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1 group by 1, 2, 3)"""
 
 SQL = {
     "p3_regions": f"with {_REGIONS} select item, y || ':' || x region from crossed where n % 2 = 1",
