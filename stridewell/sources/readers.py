@@ -37,7 +37,7 @@ def read_tab8(spark: SparkSession, path: str) -> DataFrame:
     at = lambda k: F.col("p")[k]
     stamp = F.concat(F.substring(at(7), 5, 15), F.lit(" "), F.substring(at(7), 21, 5), F.lit(" "), F.substring(at(7), 27, 4))
     utc = F.to_utc_timestamp(F.try_to_timestamp(stamp, F.lit("MMM dd HH:mm:ss Z yyyy")), F.current_timezone())
-    return _event(p, user=at(0), ts=utc, item=at(1), cat=at(3), lat=at(4), lon=at(5))
+    return _event(p, user=at(0), ts=utc, item=at(1), cat=at(3), lat=_blank(at(4)), lon=_blank(at(5)))
 
 
 def read_tab5(spark: SparkSession, path: str) -> DataFrame:
@@ -68,13 +68,41 @@ def read_grid_csv(spark: SparkSession, path: str) -> DataFrame:
 READERS = {"tab8": read_tab8, "tab5": read_tab5, "steps_csv": read_steps_csv, "grid_csv": read_grid_csv}
 
 
-def resolve(spark: SparkSession, layout: str, path: str) -> DataFrame:
-    """Events in layout `layout`; an unknown layout or a missing path fails here, before any job starts."""
+def limited(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in a fixed order; a limit without one would depend on the tasks."""
+    if n < 0:
+        raise ValueError("the limit must not be negative")
+    return rows.orderBy(*order).limit(n)
+
+
+def resolve(spark: SparkSession, layout: str, path: str, limit: int | None = None) -> DataFrame:
+    """Events in layout `layout`; an unknown layout or a missing path fails here, before any job starts. With `limit`, the
+    first so many in the files' order.
+    """
     if layout not in READERS:
         raise KeyError(f"unknown layout {layout!r}; there are {', '.join(sorted(READERS))}")
-    if "://" not in path and not os.path.exists(path):
+    if "://" not in path and not path.startswith("file:") and not os.path.exists(path):
         raise FileNotFoundError(path)
-    return READERS[layout](spark, path)
+    rows = READERS[layout](spark, path)
+    return rows if limit is None else limited(with_seq(rows), limit, "seq").drop("seq")
+
+
+def resolve_named(spark: SparkSession, registry: dict[str, tuple[str, str]], name: str, root: str, limit: int | None = None) -> DataFrame:
+    """Events of a data set by name: `registry` has its layout and its path under `root`."""
+    if name not in registry:
+        raise KeyError(f"unknown data set {name!r}; there are {', '.join(sorted(registry))}")
+    layout, path = registry[name]
+    return resolve(spark, layout, f"{root.rstrip('/')}/{path}", limit)
+
+
+def checked_json(text: str, kind: type, allowed: set[str] | None = None):
+    """A JSON argument that must be of a type, a dict with keys among `allowed`; fails with what is wrong."""
+    value = json.loads(text)
+    if not isinstance(value, kind):
+        raise TypeError(f"expected {kind.__name__}, not {type(value).__name__}")
+    if allowed is not None and isinstance(value, dict) and (odd := sorted(set(value) - allowed)):
+        raise ValueError(f"unknown keys: {', '.join(odd)}")
+    return value
 
 
 def with_seq(df: DataFrame) -> DataFrame:

@@ -97,3 +97,19 @@ def test_reports(spark, tmp_path):
     with pytest.raises(ValueError):
         R.write_report(spark.range(2), str(tmp_path / "s.json"))
     assert R.markdown_table(spark.createDataFrame([(1, None)], "a int, b string")) == "| a | b |\n| --- | --- |\n| 1 |  |"
+
+
+def test_registry_limit_and_json_arguments(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("uid,d,t,x,y\n" + "\n".join(f"{k},1,2,3,{k}" for k in range(9)))
+    registry = {"small": ("grid_csv", "a.csv")}
+    assert R.resolve_named(spark, registry, "small", str(tmp_path)).count() == 9
+    assert [r.user for r in R.resolve_named(spark, registry, "small", str(tmp_path), limit=3).collect()] == ["0", "1", "2"]
+    with pytest.raises(KeyError, match="small"):
+        R.resolve_named(spark, registry, "large", str(tmp_path))
+    with pytest.raises(ValueError):
+        R.limited(spark.range(3), -1, "id")
+    assert R.checked_json('{"a": 1}', dict, {"a", "b"}) == {"a": 1} and R.checked_json("[1]", list) == [1]
+    with pytest.raises(TypeError, match="expected list"):
+        R.checked_json("{}", list)
+    with pytest.raises(ValueError, match="unknown keys: c"):
+        R.checked_json('{"c": 1}', dict, {"a"})
