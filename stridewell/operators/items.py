@@ -46,9 +46,19 @@ def bands(pop: DataFrame, universe: DataFrame, n_bands: int = 20) -> DataFrame:
 
 
 def bin_edges(scores: DataFrame, n: int = 5) -> list[float]:
-    """The n - 1 inner edges of n equal-count bins, interpolated linearly."""
-    cut = [k / n for k in range(1, n)]
-    return scores.agg(F.percentile("score", F.array(*map(F.lit, cut)))).first()[0] or []
+    """The n - 1 inner edges of n equal-count bins, interpolated linearly, from ranks in sorted ranges."""
+    ranked = global_rank(scores.filter("score is not null").select(F.col("score").cast("double").alias("score")), ["score"])
+    place = lambda k: F.lit(k / n) * (F.col("rows") - 1)
+    at = [F.max(F.when(F.col("rank") == side(place(k)), F.col("score"))) for k in range(1, n) for side in (F.floor, F.ceil)]
+    got = ranked.agg(F.max("rows"), *at).first()
+    if not got[0]:
+        return []
+    out = []
+    for k in range(1, n):
+        low, high = got[2 * k - 1], got[2 * k]
+        share = k / n * (got[0] - 1)
+        out.append(low + (high - low) * (share - int(share)))
+    return out
 
 
 def bin_of(score: Column, edges: list[float]) -> Column:

@@ -5,7 +5,11 @@ A prediction row has prediction_id, decision_id, arm, answer_idx, pick, logprobs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as s
@@ -14,6 +18,8 @@ from .sampling import hash32, uniform
 
 def n_rows() -> Column:
     return F.count(F.lit(1))
+#: A loss is never counted as more than this.
+LARGEST_LOSS = 690.7755278982137
 #: Edges of the reliability bins; the last one closes above 1.
 EDGES = (0.0, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.01)
 
@@ -75,13 +81,45 @@ def confidently_wrong(preds: DataFrame, levels=(0.5, 0.6, 0.7, 0.8)) -> DataFram
 
 
 def temperature_nll(preds: DataFrame, *by: str, low: float = 0.25, high: float = 50.0, steps: int = 200) -> DataFrame:
-    """Mean negative log-likelihood of the answers at each temperature of a log-spaced grid; summed before the shuffle."""
-    lp = F.col("logprobs")
-    # shift so that the largest is 0: the answer's part and the sum are then exponentials of numbers at most 0
-    shifted = preds.select(*by, F.transform(lp, lambda x: x - F.array_max(lp)).alias("z"), "answer_idx")
-    x = shifted.withColumn("step", F.explode(F.expr(f"sequence(0, {steps - 1})"))).withColumn("temperature", F.lit(low) * F.pow(F.lit(high / low), F.col("step") / F.lit(steps - 1)))
-    nll = F.log(F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v / F.col("temperature")))) - F.get("z", "answer_idx") / F.col("temperature")
-    return x.groupBy(*by, "step", "temperature").agg(F.avg(F.least(nll, F.lit(690.7755278982137))).alias("nll"))
+    """Mean negative log-likelihood of the answers at each temperature of a log-spaced grid.
+
+    Each task keeps one vector of sums, a value a temperature, for each of the few groups; the vectors are then added up.
+    """
+    grid = low * np.power(high / low, np.arange(steps) / (steps - 1))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        count: dict[tuple, int] = {}
+        for batch in batches:
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[2:]))) or [()] * batch.num_rows
+            lists, answer = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            size = lists.value_lengths().to_numpy()
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            start = np.cumsum(size) - size
+            for k in np.unique(size):  # rows of k options together
+                rows = np.flatnonzero((size == k) & (answer >= 0) & (answer < k))
+                for at in range(0, len(rows), 2000):
+                    r = rows[at : at + 2000]
+                    z = flat[start[r][:, None] + np.arange(k)]
+                    z = z - z.max(1, keepdims=True)
+                    loss = np.log(np.exp(z[:, :, None] / grid).sum(1)) - z[np.arange(len(r)), answer[r]][:, None] / grid
+                    loss = np.minimum(loss, LARGEST_LOSS)
+                    mine = [keys[x] for x in r]
+                    for key in set(mine):
+                        pick = np.array([m == key for m in mine])
+                        total[key] = total.get(key, 0) + loss[pick].sum(0)
+                        count[key] = count.get(key, 0) + int(pick.sum())
+        if total:
+            ks = list(total)
+            arrays = [pa.array([k[c] for k in ks], batch.schema.field(2 + c).type) for c in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([count[k] for k in ks], pa.int64()), pa.array([total[k].tolist() for k in ks], pa.list_(pa.float64()))], names=[*by, "_n", "_sums"])
+
+    rows = preds.filter("logprobs is not null and answer_idx is not null and not exists(logprobs, x -> x is null)").select(F.col("logprobs").cast("array<double>").alias("_z"), F.col("answer_idx").cast("int").alias("_a"), *by)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[2:])
+    parts = rows.mapInArrow(sums, f"{kinds + ', ' if kinds else ''}_n bigint, _sums array<double>")
+    each = parts.select(*by, "_n", F.posexplode("_sums").alias("step", "_s"))
+    temperature = F.lit(low) * F.pow(F.lit(high / low), F.col("step") / F.lit(steps - 1))
+    return each.groupBy(*by, "step").agg((F.sum("_s") / F.sum("_n")).alias("nll")).withColumn("temperature", temperature)
 
 
 def fit_temperature(preds: DataFrame, *by: str) -> DataFrame:
@@ -163,6 +201,57 @@ def poisson_bootstrap(rows: DataFrame, unit: str, top: Column, below: Column, dr
     return x.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_a")), F.sum(F.col("_w") * F.col("_b"))).alias("value"))
 
 
+def bootstrap_sums(rows: DataFrame, unit: str, top: Column, below: Column, draws: int = 4000, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """The draws of `poisson_bootstrap` for many units: the weights come from a 64-bit hash of unit and draw.
+
+    Each task adds up one vector of `draws` sums a group, and the vectors are added up: no row is made for a unit and draw.
+    """
+    units = rows.groupBy(*by, unit).agg(F.sum(top).cast("double").alias("_a"), F.sum(below).cast("double").alias("_b")).select(F.xxhash64(F.lit(seed), F.col(unit).cast("string")).alias("_h"), "_a", "_b", *by)
+    cumulative = np.cumsum([np.exp(-1.0) / _factorial(k) for k in range(20)])
+    salt = (np.arange(draws, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            h = batch.column(0).to_numpy().astype(np.uint64)
+            a, b = (np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in (1, 2))
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[3:]))) or [()] * batch.num_rows
+            for key in set(keys):
+                mine = np.flatnonzero([k == key for k in keys])
+                both = held.setdefault(key, np.zeros((2, draws)))
+                for at in range(0, len(mine), 256):
+                    r = mine[at : at + 256]
+                    x = h[r][:, None] ^ salt
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+                    x ^= x >> np.uint64(31)
+                    w = np.searchsorted(cumulative, (x >> np.uint64(11)) / 2.0**53, "right").astype(float)
+                    both += np.stack([a[r] @ w, b[r] @ w])
+        if held:
+            ks = list(held)
+            arrays = [pa.array([k[c] for k in ks], batch.schema.field(3 + c).type) for c in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([held[k][c].tolist() for k in ks], pa.list_(pa.float64())) for c in (0, 1))], names=[*by, "_as", "_bs"])
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in units.dtypes[3:])
+    parts = units.mapInArrow(sums, f"{kinds + ', ' if kinds else ''}_as array<double>, _bs array<double>")
+    each = parts.select(*by, F.posexplode(F.arrays_zip("_as", "_bs")).alias("draw", "_x"))
+    return each.groupBy(*by, "draw").agg(F.try_divide(F.sum("_x._as"), F.sum("_x._bs")).alias("value"))
+
+
+def _factorial(k: int) -> float:
+    return float(np.prod(np.arange(1, k + 1))) if k else 1.0
+
+
+def intervals(draws: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The 95 % interval of the draws by three conventions: linear between draws (lo, hi), the draw at floor(q n)
+    (lo_at, hi_at), and the same with the upper one a place lower (hi_before). A few thousand draws a group.
+    """
+    v = F.array_sort(F.collect_list("value"))
+    at = lambda q, less=0: F.get("_v", F.greatest(F.lit(0), F.least(F.size("_v") - 1, F.floor(F.lit(q) * F.size("_v")).cast("int") - less)))
+    x = draws.groupBy(*by).agg(v.alias("_v"), F.percentile("value", F.lit(0.025)).alias("lo"), F.percentile("value", F.lit(0.975)).alias("hi"))
+    return x.select(*by, "lo", "hi", at(0.025).alias("lo_at"), at(0.975).alias("hi_at"), at(0.975, 1).alias("hi_before"))
+
+
 def interval(draws: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return draws.groupBy(*by).agg(F.round(F.percentile("value", F.lit(0.025)), 9).alias("lo"), F.round(F.percentile("value", F.lit(0.975)), 9).alias("hi"))
 

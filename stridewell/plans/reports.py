@@ -375,3 +375,22 @@ def next_item_scores(spark, d):
     last = src.decisions(spark, d).select("decision_id", F.when(F.size("history") > 0, F.element_at("history", -1)).alias("l"))
     o = src.options(src.decisions(spark, d)).join(last, "decision_id").select("decision_id", "idx", at("user", "user_id").alias("user"), at("item", "item").alias("item"), F.when(F.col("l").isNotNull(), at("last", "l")).alias("last"))
     return recommend.next_item_scores(o, vecs.toDF("user", "v"), vecs.toDF("last", "v"), vecs.toDF("item", "v")).select("decision_id", "idx", F.round("score", 6).alias("score"))
+
+
+@query()
+def bootstrap_intervals(spark, d):
+    """The difference of two arms with 4,000 draws: over people, over pooled decisions by person, and, wrongly, with the
+    decisions as units; each interval by three conventions, with what it says.
+    """
+    pairs = stored(scores._paired(spark, d).select("decision_id", "user_id", (F.col("ok_b").cast("int") - F.col("ok_a").cast("int")).alias("v")))
+    people = pairs.groupBy("user_id").agg(F.avg("v").alias("delta"), F.sum("v").alias("net"), n_rows().alias("n"))
+    one = F.lit(1.0)
+    forms = (("people", people, "user_id", F.col("delta"), one), ("pooled", people, "user_id", F.col("net"), F.col("n")), ("decisions", pairs, "decision_id", F.col("v"), one))
+    out = None
+    for name, rows, unit, top, below in forms:
+        ci = ranking.intervals(ranking.bootstrap_sums(rows, unit, top, below))
+        x = rows.agg(n_rows().alias("n_units"), F.try_divide(F.sum(top), F.sum(below)).alias("value")).crossJoin(ci)  # one row each
+        numbers = [F.round(c, 9).alias(c) for c in ("value", "lo", "hi", "lo_at", "hi_at", "hi_before")]
+        x = x.select(F.lit(name).alias("unit"), "n_units", *numbers, serving.verdict(F.col("lo"), F.col("hi")).alias("verdict"), serving.is_significant(F.col("lo_at"), F.col("hi_at"), F.col("n_units")).alias("significant"))
+        out = x if out is None else out.unionByName(x)
+    return out

@@ -215,11 +215,12 @@ def decision_records(spark, d):
 @query(f"with {_REC} " + " union all ".join(f"select arm, {q}::double rate, round(quantile_cont(gain, {1 - q!r}), 7) tau_gain, round(quantile_cont(maxp, {q}), 7) tau_confidence from records group by arm" for q in (0.3, 0.5, 0.7)))
 def ask_thresholds(spark, d):
     """Thresholds of gain and of confidence at which a share `rate` of the decisions is asked."""
-    r = _records(spark, d)
+    r = stored(_records(spark, d).select("arm", "gain", "maxp"))
     rates = (0.3, 0.5, 0.7)
-    one = r.groupBy("arm").agg(*(x for k, q in enumerate(rates) for x in (F.percentile("gain", F.lit(1 - q)).alias(f"g{k}"), F.percentile("maxp", F.lit(q)).alias(f"m{k}"))))
+    g = ranking.middle_values(r, "gain", "arm", {f"g{k}": 1 - q for k, q in enumerate(rates)})
+    m = ranking.middle_values(r, "maxp", "arm", {f"m{k}": q for k, q in enumerate(rates)})
     rows = F.array(*(F.struct(F.lit(q).alias("rate"), F.round(f"g{k}", 7).alias("tau_gain"), F.round(f"m{k}", 7).alias("tau_confidence")) for k, q in enumerate(rates)))
-    return one.select("arm", F.inline(rows))
+    return g.join(m, "arm").select("arm", F.inline(rows))
 
 
 def _curve(trigger: str, order: str) -> str:
@@ -270,7 +271,8 @@ def arm_selection(spark, d):
 def replay_policies(spark, d):
     """Every decision replayed under three policies: never ask, ask from the median gain on, always ask."""
     r = _records(spark, d)
-    tau = r.groupBy("arm").agg(F.percentile("gain", F.lit(0.5)).alias("tau"))
+    r = stored(r.select("arm", "q", "gain", "top", "pick_ask", "answer_idx"))
+    tau = ranking.middle_values(r, "gain", "arm", {"tau": 0.5})
     policies = F.array(*(F.struct(F.lit(n).alias("policy"), F.lit(a).alias("ask_all"), F.lit(u).alias("uses")) for n, a, u in (("never", False, False), ("unsure", False, True), ("always", True, False))))
     x = r.join(F.broadcast(tau), "arm").select("arm", "q", "gain", "tau", "top", "pick_ask", "answer_idx", F.inline(policies))  # one row an arm
     asks = s.should_ask(F.col("ask_all"), F.when(F.col("uses"), F.col("tau")), F.col("gain")) & F.col("q").isNotNull()

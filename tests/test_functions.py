@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,68 @@ def test_labels_and_bins(spark):
     assert len(edges) == 4 and edges[0] == pytest.approx(4.8)
     assert one(spark, items.bin_of(F.lit(edges[1]), edges)) == 2
     assert sorted({r[0] for r in scores.select(items.bin_of(F.col("score"), edges)).collect()}) == [0, 1, 2, 3, 4]
+
+
+def test_bootstrap_vectors_and_interval_conventions(spark):
+    values = [0.1, 0.4, -0.2, 0.3, 0.0, 0.6]
+    df = spark.createDataFrame([(f"u{k}", values[k % 6], "x" if k < 600 else "y") for k in range(900)], "user_id string, d double, g string").repartition(5)
+    ci = {r.g: r for r in ranking.intervals(ranking.bootstrap_sums(df, "user_id", F.col("d"), F.lit(1.0), draws=2000, by=("g",)), by=("g",)).collect()}
+    mean, sd = sum(values) / 6, (sum(v * v for v in values) / 6 - (sum(values) / 6) ** 2) ** 0.5
+    for g, n in (("x", 600), ("y", 300)):
+        assert ci[g].lo == pytest.approx(mean - 1.96 * sd / n**0.5, abs=0.006) and ci[g].hi == pytest.approx(mean + 1.96 * sd / n**0.5, abs=0.006)
+        assert ci[g].lo <= ci[g].lo_at and ci[g].hi_before <= ci[g].hi_at
+    draws = spark.createDataFrame([(float(k),) for k in range(1000)], "value double")
+    one = ranking.intervals(draws).first()
+    assert (one.lo, one.lo_at, one.hi_at, one.hi_before) == (pytest.approx(24.975), 25.0, 975.0, 974.0)
+    again = ranking.bootstrap_sums(df.repartition(2), "user_id", F.col("d"), F.lit(1.0), draws=50, by=("g",)).orderBy("g", "draw").collect()
+    first = ranking.bootstrap_sums(df, "user_id", F.col("d"), F.lit(1.0), draws=50, by=("g",)).orderBy("g", "draw").collect()
+    assert [r.value for r in first] == pytest.approx([r.value for r in again])  # whatever the partitions
+    assert ranking.bootstrap_sums(df.limit(0), "user_id", F.col("d"), F.lit(1.0)).count() == 0
+
+
+def test_interpolated_values_of_groups(spark):
+    rng = np.random.default_rng(0)
+    rows = [(g, float(x)) for g, n in (("a", 1), ("b", 101), ("c", 40)) for x in rng.normal(size=n).round(1)] + [("b", None)]
+    got = {r.g: (r.m, r.q) for r in ranking.middle_values(spark.createDataFrame(rows, "g string, v double"), "v", "g", {"m": 0.5, "q": 0.9}).collect()}
+    for g in "abc":
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g] == (pytest.approx(np.quantile(v, 0.5)), pytest.approx(np.quantile(v, 0.9)))
+
+
+def test_serving(spark):
+    from stridewell.operators import serving
+
+    assert one(spark, serving.ranking(F.array(*map(F.lit, [0.2, 0.5, 0.0, 0.2, 0.1])), F.array(F.lit(4)))) == [1, 0, 3]
+    assert [one(spark, serving.ask_rate_text(F.lit(x).cast("double"))) for x in (None, 0.0, 0.01, 0.3132, 0.97, 1.0)] == ["Picks without asking"] * 2 + ["Asks less than once in 10 times", "Asks about 3 in 10 times", "Asks almost every time", "Asks before every pick"]
+    assert one(spark, serving.number_word(F.lit(7))) == "seven" and one(spark, serving.number_word(F.lit(11))) == "11" and one(spark, serving.percent(F.lit(0.125))) == "13%"
+    assert one(spark, serving.counted(F.lit(1), "place", "places")) == "1 place" and one(spark, serving.counted(F.lit(1234), "place", "places")) == "1,234 places"
+    assert [one(spark, serving.verdict(F.lit(a), F.lit(b))) for a, b in ((0.1, 0.2), (-0.2, -0.1), (-0.1, 0.1))] == ["better", "worse", "no difference shown"]
+    assert [one(spark, serving.is_significant(F.lit(a), F.lit(b), F.lit(n))) for a, b, n in ((0.1, 0.2, 3), (0.1, 0.2, 2), (-0.1, 0.2, 9), (0.0, 0.0, 9))] == [True, None, False, False]
+
+
+def flow(steps, n):
+    out, current, accepted, mine = [], 0 if n else None, False, False
+    for kind, at in steps:
+        if accepted:
+            continue
+        if kind == "reject" and current is not None:
+            out.append(current)
+            current, mine = next((k for k in range(n) if k not in out), None), False
+        elif kind == "select" and 0 <= at < n and at not in out:
+            current, mine = at, at != 0
+        elif kind == "accept" and current is not None:
+            accepted = True
+    return current, len(out), accepted, mine
+
+
+def test_choice_flow(spark):
+    from stridewell.operators import serving
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(200):
+        steps = [(str(rng.choice(["reject", "select", "accept", "look"], p=[0.5, 0.3, 0.1, 0.1])), int(rng.integers(-1, 6))) for _ in range(rng.integers(0, 12))]
+        rows.append((k, steps, int(rng.integers(0, 5))))
+    df = spark.createDataFrame(rows, "k int, steps array<struct<kind string, position int>>, n int")
+    got = {r.k: tuple(r.s) for r in df.select("k", serving.choice_after(F.col("steps"), F.col("n")).alias("s")).collect()}
+    assert got == {k: flow(steps, n) for k, steps, n in rows}
