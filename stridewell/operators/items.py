@@ -38,6 +38,12 @@ def global_rank(df: DataFrame, order: list[str], rank: str = "rank", add_up: str
     return out.drop("_p", "_i", "_at")
 
 
+def most_frequent(events: DataFrame, n: int | None = 2000) -> DataFrame:
+    """item, n, rank of the n items with the most events, ties by id; all of them without n."""
+    counts = events.groupBy("item").agg(F.count(F.lit(1)).alias("n")).withColumn("neg", -F.col("n"))
+    return global_rank(counts.orderBy("neg", "item").limit(n) if n else counts, ["neg", "item"])
+
+
 def bands(pop: DataFrame, universe: DataFrame, n_bands: int = 20) -> DataFrame:
     """item, pop, band of every item of `universe`: equal-count bands of the order (pop, item), leftovers in the lower ones."""
     all_items = universe.select("item").distinct().join(pop, "item", "left").select("item", F.coalesce("pop", F.lit(0)).alias("pop"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..common import stored
 from ..operators import items, questions, sampling, timeline
+from ..operators.build import Builder, training_instances
 from ..sources.events import events
-from .sql import BANDS, LINES, Y2017, uniform
+from .sql import BANDS, LINES, Y2017, hash32, uniform
 
 QUERIES, SQL = {}, {}
 N_USERS, SEED, K = 300, 0, 5
@@ -25,33 +26,32 @@ def query(sql: str | None = None):
 
 
 class Base:
-    """The shared inputs of the conditions: timeline parts, history, bands, and the cohort's novel decisions.
-
-    With `whole`, the cohort is every held-out decision, new places and revisits, of all users with enough events.
+    """The shared inputs of the conditions for the novel decisions of a cohort: timeline parts, history, bands. Each is
+    computed when a query first needs it.
     """
 
-    def __init__(self, spark: SparkSession, d: str, whole: bool = False):
+    def __init__(self, spark: SparkSession, d: str):
         self.events = events(spark, d)
-        # four branches start from here: the sorted timelines are kept, as narrow rows
-        self.parts = stored(timeline.split(timeline.ordered(self.events.select("seq", "user_id", "t", "item"))).select("user_id", "rn", "t", "item", "held"))
-        self.past = timeline.seen_before(self.parts)
-        self.bands = stored(items.bands(timeline.popularity(self.parts), self.events))
-        self.novel = timeline.held_out(self.parts).filter("is_novel").select("user_id", "rn", "t", "item")
-        if whole:
-            self.cohort = stored(self.parts.filter("held").select("user_id", "rn", "t", "item"))
-            self.cohort_past = stored(self.past)
-            return
-        self.cohort = stored(questions.cohort(self.novel, N_USERS, SEED))
-        users = self.cohort.select("user_id").distinct()
-        self.cohort_past = stored(self.past.join(users, "user_id", "left_semi"))
+        self._b = Builder(self.events, k=K, seed=SEED, n_users=N_USERS, kind="novel")
+
+    parts = property(lambda self: self._b.parts)
+    past = property(lambda self: timeline.seen_before(self.parts))
+    novel = property(lambda self: timeline.held_out(self.parts).filter("is_novel").select("user_id", "rn", "t", "item"))
+    bands = property(lambda self: self._b.bands)
+    cohort = property(lambda self: self._b.decisions)
+    cohort_past = property(lambda self: self._b.past)
 
     def wide(self) -> DataFrame:
-        return questions.decoy_width(self.cohort, self.cohort_past, self.bands)
+        return self._b.wide
 
     def popmatched(self) -> DataFrame:
-        ready = questions.stretch_of_bands(self.wide().filter("width is not null"), self.bands)
-        line = self.bands.select("item", "w_from", (F.col("pop") + 1).alias("w"))
-        return questions.draw_decoys(ready, line, self.cohort_past, K - 1, SEED)
+        return self._b.decoys
+
+
+def _all(spark: SparkSession, d: str, condition: str = "popmatched") -> Builder:
+    """Every held-out decision, new places and revisits, of all people with enough events."""
+    e = events(spark, d)
+    return Builder(e, condition, K, SEED, scores=_scores(e) if condition == "textmatched" else None)
 
 
 _COHORT = f"""chosen as (select user_id from (select distinct user_id from held where is_novel) order by md5('{SEED}|' || user_id), user_id limit {N_USERS}),
@@ -138,14 +138,7 @@ stretch as (select c.*, 0 lo, (select count(*) from weights) hi from cohort c)""
 
 @query(f"with {LINES}, {_COHORT}, {_TOP} select item, n, w_from as rank from top_items where w_from < 2000")
 def popular_top_items(spark, d):
-    return _top_items(events(spark, d)).select("item", "n", "rank")
-
-
-def _top_items(e: DataFrame, most: int | None = 2000) -> DataFrame:
-    counts = e.groupBy("item").agg(F.count(F.lit(1)).alias("n")).withColumn("neg", -F.col("n"))
-    if most:
-        counts = counts.orderBy("neg", "item").limit(most)
-    return items.global_rank(counts, ["neg", "item"])
+    return items.most_frequent(events(spark, d)).select("item", "n", "rank")
 
 
 def _uniform_options(b: Base, ranked: DataFrame) -> DataFrame:
@@ -159,7 +152,7 @@ def _uniform_options(b: Base, ranked: DataFrame) -> DataFrame:
 def popular_options(spark, d):
     """Decoys drawn evenly from the 2,000 most frequent items; items of the history may be among them."""
     b = Base(spark, d)
-    return _uniform_options(b, _top_items(b.events))
+    return _uniform_options(b, items.most_frequent(b.events))
 
 
 @query(
@@ -281,80 +274,66 @@ def whole(name: str, sql: bool = True):
 
 @whole("decoy_width")
 def all_decoy_width(spark, d):
-    return Base(spark, d, whole=True).wide().select("user_id", "rn", "band", "width")
+    return _all(spark, d).wide.select("user_id", "rn", "band", "width")
 
 
 @whole("popmatched_decoys")
 def all_popmatched_decoys(spark, d):
-    return Base(spark, d, whole=True).popmatched()
+    return _all(spark, d).decoys
 
 
 @whole("popmatched_options")
 def all_popmatched_options(spark, d):
-    b = Base(spark, d, whole=True)
-    return questions.shuffled(b.cohort, b.popmatched())
+    return _all(spark, d).options
 
 
 @whole("answer_position")
 def all_answer_position(spark, d):
-    b = Base(spark, d, whole=True)
-    return questions.answer_positions(questions.shuffled(b.cohort, b.popmatched()))
+    return questions.answer_positions(_all(spark, d).options)
 
 
 @whole("popular_options")
 def all_popular_options(spark, d):
-    b = Base(spark, d, whole=True)
-    return _uniform_options(b, _top_items(b.events))
+    return _all(spark, d, "popular").options
 
 
 @whole("random_options")
 def all_random_options(spark, d):
-    b = Base(spark, d, whole=True)
-    return _uniform_options(b, items.global_rank(b.events.select("item").distinct(), ["item"]))
-
-
-def _generic_spans(b: Base) -> tuple[DataFrame, DataFrame]:
-    s = _scores(b.events)
-    bins = s.withColumn("g", items.bin_of(F.col("score"), items.bin_edges(s)))
-    line = questions.weight_line(b.bands.select("item", "pop", "band").join(bins.select("item", "g"), "item"), ["g", "band"])
-    return questions.generic_spans(b.wide().filter("width is not null"), b.cohort_past, line), line
-
-
-def _period_spans(b: Base) -> tuple[DataFrame, DataFrame]:
-    labels = stored(b.events.select("item").distinct().join(items.metadata(b.events), "item", "left").select("item", items.label(F.col("cat"), F.col("name")).alias("label")))
-    profile = stored(items.period_profile(b.events, b.parts))
-    line = questions.period_line(b.bands, profile, labels)
-    return questions.period_spans(b.cohort.withColumn("per", items.period(F.col("t"))), b.cohort_past, b.bands, profile, labels, line), line
+    return _all(spark, d, "random").options
 
 
 @whole("textmatched_options", sql=False)
 def all_textmatched_options(spark, d):
     """Drawn from the weight line of (bin, band) instead of enumerated pools: the same distribution, other draws."""
-    b = Base(spark, d, whole=True)
-    spans, line = _generic_spans(b)
-    return questions.shuffled(b.cohort, questions.draw_decoys(spans, line.select("item", "w_from", "w"), b.cohort_past, K - 1, SEED))
+    return _all(spark, d, "textmatched").options
 
 
 @whole("popmatched_period_options", sql=False)
 def all_popmatched_period_options(spark, d):
     """Drawn from the weight line of (class, band) instead of enumerated pools: the same distribution, other draws."""
-    b = Base(spark, d, whole=True)
-    spans, line = _period_spans(b)
-    return questions.shuffled(b.cohort, questions.draw_decoys(spans, line.select("item", "w_from", "w", "label"), b.cohort_past, K - 1, SEED))
+    return _all(spark, d, "popmatched_period").options
 
 
 @whole("fallback_stats")
 def all_fallback_stats(spark, d):
     """How many of all held-out decisions had to widen their pool or were dropped, from the widths alone."""
-    b = Base(spark, d, whole=True)
-    n, wide = F.count(F.lit(1)), lambda w: F.count_if(F.col(w) > 0).alias("n_fallback")
-    total = b.cohort.agg(n.alias("n_rows"))
-    pop = stored(b.wide().agg(wide("width"), F.count_if(F.col("width").isNull()).alias("n_dropped")))
-    text = _generic_spans(b)[0].agg(wide("g_width")).crossJoin(pop.select("n_dropped"))
-    per = _period_spans(b)[0].agg(wide("p_width"), F.count("p_width").alias("_n"))
-    per = total.crossJoin(per).select("n_fallback", (F.col("n_rows") - F.col("_n")).alias("n_dropped"))
     out = None
-    for name, df in (("popmatched", pop), ("textmatched", text), ("popmatched_period", per)):
-        one = total.crossJoin(df).select(F.lit(name).alias("condition"), "n_rows", "n_fallback", "n_dropped")
+    for condition in ("popmatched", "textmatched", "popmatched_period"):
+        one = _all(spark, d, condition).stats()
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_WALK = """walk as (select user_id, item, min(rn) rn, arg_min(t, rn) t from parts where not held group by 1, 2 having min(rn) > 1),
+cohort as (select user_id, rn, t, item from (select *, row_number() over (partition by user_id order by {h}, rn) k from walk) where k <= 20), old as (select * from past)""".format(h=hash32(f"'{SEED}'", "user_id", "cast(rn as varchar)"))
+
+
+@query(
+    f"""with {_POPMATCHED.replace(_COHORT, _WALK).replace(_TRUE, _TRUE_ONCE)} select o.user_id, o.rn, cast(o.rn - 1 as bigint) n_history, string_agg(o.item, '|' order by o.idx) options, max(o.item) filter (where is_true) target, ' ' || max(chr(65 + cast(o.idx as int))) filter (where is_true) completion from options o group by 1, 2"""
+)
+def sft_instances(spark, d):
+    """Training questions of every person: options and the letter of the right one, from first visits before the cut."""
+    _, options = training_instances(events(spark, d), k=K, seed=SEED)
+    one = options.groupBy("user_id", "rn").agg(F.array_sort(F.collect_list(F.struct("idx", "item"))).alias("o"), F.max(F.when(F.col("is_true"), F.struct("item", "idx"))).alias("t"))  # five options
+    letter = F.char(65 + F.col("t.idx"))
+    return one.select("user_id", "rn", (F.col("rn") - 1).cast("bigint").alias("n_history"), F.array_join("o.item", "|").alias("options"), F.col("t.item").alias("target"), F.concat(F.lit(" "), letter).alias("completion"))

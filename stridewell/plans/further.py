@@ -9,7 +9,8 @@ from ..common import stored
 from ..functions import planar, text
 from ..operators import controls, items, ranking, recommend, sampling, timeline
 from ..sources import events as src
-from .choices import Base
+from . import rules
+from .choices import _all
 from .scores import _PAIR, _paired
 from .sql import DECISIONS, EVENTS, LINES, PREDICTIONS, hash32
 from .texts import _PROMPT, prompts
@@ -200,7 +201,80 @@ def all_composite_support(spark, d):
 @query()
 def period_widths(spark, d):
     """By width of the band window, how many of all held-out decisions found decoys of the same period profile there."""
-    from .choices import _period_spans
-
-    w = _period_spans(Base(spark, d, whole=True))[0].filter("p_width is not null")
+    w = _all(spark, d, "popmatched_period").period[0].filter("p_width is not null")
     return w.groupBy(F.col("p_width").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.min("n_labels").alias("least_labels"))
+
+
+#: The question set that stays untouched until the end: no distance phrases may be added to it.
+TEST_SEED = 20260920
+_OPTS = "opts as (select o.decision_id, o.idx, coalesce(l.label, 'Unknown') as label from opt o left join labels l on o.item = l.item)"
+_NEAR = rules._NEAREST.replace(f"{EVENTS}, {DECISIONS}, ", "")
+_CUED = _PROMPT.replace(
+    _OPTS,
+    f"""{_NEAR}, cues as (select decision_id, idx, case when km is null then ' [distance unknown]' else ' [' || format('{{:.1f}}', round_even(km, 1)) || ' km from the nearest place in their history]' end cue from near),
+    opts as (select o.decision_id, o.idx, coalesce(l.label, 'Unknown') || c.cue as label from opt o join cues c on c.decision_id = o.decision_id and c.idx = o.idx left join labels l on o.item = l.item)""",
+)
+
+
+def with_distances(spark, d, seed: int = 0):
+    """decision_id, prompt with the options' distances; refuses the seed of the final test."""
+    if seed == TEST_SEED:
+        raise ValueError("distance phrases are not added to the test questions")
+    p = prompts(spark, d)
+    km = rules.nearest_km(spark, d).groupBy("decision_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "km"))), lambda x: x["km"]).alias("kms"))  # a decision's options
+    x = p.join(km, "decision_id").withColumn("cued", text.add_cues(F.col("cands"), F.col("kms")))
+    plain, cued = (F.array_join(text.option_lines(F.col(c)), "\n") for c in ("cands", "cued"))
+    at = F.instr("prompt", text.QUESTION) + len(text.QUESTION) + 1  # where the options begin
+    rest = F.substring("prompt", at + F.length(plain), F.length("prompt"))
+    return x.select("decision_id", F.concat(F.substring("prompt", F.lit(1), at - 1), cued, rest).alias("prompt"))
+
+
+@query(f"with {_CUED} select decision_id, prompt from prompts")
+def cue_prompts(spark, d):
+    """The prompts with each option's distance from the history."""
+    return with_distances(spark, d)
+
+
+_DONORS = rules.SQL["matched_donor"].replace(f"with {EVENTS}, ", "", 1).rsplit("select user_id, donor, band", 1)[0]
+_STRANGER = f"""with {_PROMPT}, {_DONORS}, owner as (select decision_id, user_id from dec where user_id is not null), firsts as (select o.user_id, arg_min(p.prompt, p.decision_id) prompt from prompts p join owner o on p.decision_id = o.decision_id group by 1)
+    select p.decision_id, b.donor, b.band, round(b.cosine, 9) cosine, substr(p.prompt, 1, {len(_SEGMENT[0])}) || substr(f.prompt, {len(_SEGMENT[0]) + 1}, strpos(f.prompt, chr(10) || '{text.TOP_HEAD}') - {len(_SEGMENT[0]) + 1}) || substr(p.prompt, strpos(p.prompt, chr(10) || '{text.TOP_HEAD}')) prompt
+    from prompts p join owner o on o.decision_id = p.decision_id join best b on b.k = 1 and b.user_id = o.user_id join firsts f on f.user_id = b.donor"""
+
+
+def _matched_strangers(spark, d, donors):
+    dec = src.decisions(spark, d).filter("user_id is not null").select("decision_id", "user_id")
+    p = stored(prompts(spark, d).select("decision_id", "prompt").join(dec, "decision_id"))
+    first = p.groupBy("user_id").agg(F.min_by("prompt", "decision_id").alias("donor_prompt")).withColumnRenamed("user_id", "donor")
+    x = p.join(donors.select("user_id", "donor", "band", "cosine"), "user_id").join(first, "donor")
+    own, other = (text.split_marker(F.col(c), *_SEGMENT) for c in ("prompt", "donor_prompt"))
+    x = x.select("decision_id", "donor", "band", "cosine", text.spliced(F.col("prompt"), F.col("donor_prompt"), *_SEGMENT).alias("prompt"), own["inner"].eqNullSafe(other["inner"]).alias("same"))
+    return x.filter("prompt is not null")
+
+
+@query(_STRANGER)
+def matched_stranger_prompts(spark, d):
+    """Prompts of the people in `matched_donor` with their donor's places in place of their own, and who the donor is."""
+    return _matched_strangers(spark, d, rules.matched_donor(spark, d)).drop("same")
+
+
+@query()
+def all_matched_stranger_prompts(spark, d):
+    """The same for everybody; `changed` is false where the donor's prompt happens to show the same places."""
+    x = _matched_strangers(spark, d, rules.all_matched_donor(spark, d))
+    return x.withColumn("changed", ~F.col("same")).drop("same")
+
+
+@query()
+def identity_gate(spark, d):
+    """By control, how many of its prompts fail the gate: they must belong to a decision and differ from it in the shown
+    places only.
+    """
+    own = stored(prompts(spark, d).select("decision_id", F.col("prompt").alias("own")))
+    out = None
+    for name, control in (("random donor", stranger_prompts(spark, d)), ("matched donor", _matched_strangers(spark, d, rules.matched_donor(spark, d)))):
+        x = control.select("decision_id", "prompt").join(own, "decision_id", "left")
+        a, b = (text.split_marker(F.col(c), *_SEGMENT) for c in ("prompt", "own"))
+        bad = F.col("own").isNull() | ~(a["before"].eqNullSafe(b["before"]) & a["after"].eqNullSafe(b["after"]))
+        one = x.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_failed")).select(F.lit(name).alias("control"), "n_rows", "n_failed")
+        out = one if out is None else out.unionByName(one)
+    return out

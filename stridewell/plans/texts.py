@@ -109,7 +109,7 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     # a history has at most a dozen places
     top = per.groupBy("decision_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "cat"))), lambda x: x["cat"]), 1, 6).alias("top"))
     hist = h.groupBy("decision_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("history"))
-    opts = option_labels(spark, d, known).groupBy("decision_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"]), 1, 5).alias("cands"))
+    opts = option_labels(spark, d, known).groupBy("decision_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"]).alias("cands"))
     none = F.array().cast("array<string>")
     j = opts.join(hist, "decision_id", "left").join(top, "decision_id", "left").select("decision_id", "cands", F.coalesce("history", none).alias("history"), F.coalesce("top", none).alias("top"))
     return j.select("decision_id", F.size("cands").alias("n_options"), text.render_prompt(F.col("history"), F.col("top"), F.col("cands")).alias("prompt"), "history", "cands")
@@ -161,3 +161,24 @@ def _noun(c: str) -> str:
 def question_texts(spark, d):
     c = table(spark, d, "categories").select(F.trim("cat").alias("cat")).filter("cat <> ''")
     return c.select("cat", text.question_text(F.col("cat")).alias("question"), text.reason_line(F.col("cat"), F.lit(0), F.lit(12)).alias("none"), text.reason_line(F.col("cat"), F.lit(3), F.lit(12)).alias("thrice"))
+
+
+_SHOWN = r"case when label like '%)' then regexp_extract(label, '\(((?:[^()]|\([^()]*\))*)\)$', 1) else label end"
+
+
+@query(f"with {_PROMPT}, t as (select decision_id, unnest(string_split(line, ', ')) c from tops) select distinct c category from (select decision_id, {_SHOWN} c from hist where label like '%)' union all select decision_id, {_SHOWN} from opts union all select * from t) where decision_id in (select decision_id from prompts) and c <> ''")
+def prompt_vocabulary(spark, d):
+    """Every category that the rendered prompts name."""
+    return text.vocabulary(prompts(spark, d))
+
+
+@query(
+    f"""with n as (select trim(cat) cat, {_noun('cat')} noun from categories where trim(cat, ' ' || chr(9)) <> ''),
+    a as (select cat, noun, case when lower(noun) in ('health care', 'general entertainment', 'arts & entertainment') then noun when lower(noun[1]) in ('a', 'e', 'i', 'o', 'u') then 'an ' || noun else 'a ' || noun end phrase from n)
+    select cat, 'They went to ' || phrase || ' 3 times in their last 12 places.' thrice, 'A new kind of place for them: none of their last 12 places was ' || phrase || '.' none, noun || ': 3 of 12' short from a"""
+)
+def reason_texts(spark, d):
+    """The sentences about somebody else's habits, and their short form."""
+    c = table(spark, d, "categories").select(F.trim("cat").alias("cat")).filter("cat <> ''")
+    about = lambda n: text.reason_about(F.col("cat"), F.lit(n), F.lit(12))
+    return c.select("cat", about(3).alias("thrice"), about(0).alias("none"), text.short_reason(F.col("cat"), F.lit(3), F.lit(12)).alias("short"))

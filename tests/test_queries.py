@@ -70,7 +70,9 @@ def test_whole_job_asks_every_held_out_decision(spark):
     from stridewell.operators import items, questions
     from stridewell.plans import choices
 
-    b = choices.Base(spark, FOLDER, whole=True)
+    b = choices.Base(spark, FOLDER)
+    b._b = choices._all(spark, FOLDER)
+    whole = {c: choices._all(spark, FOLDER, c) for c in ("textmatched", "popmatched_period")}
     held = {(r.user_id, r.rn) for r in b.parts.filter("held").collect()}
     assert len(held) == b.cohort.count() > b.novel.count()
     assert {(r.user_id, r.rn) for r in choices.all_decoy_width(spark, FOLDER).collect()} == held
@@ -78,8 +80,8 @@ def test_whole_job_asks_every_held_out_decision(spark):
     label = {r["item"]: r.label for r in labels.collect()}
     decided = b.cohort.withColumn("per", items.period(F.col("t")))
     pools = {
-        "textmatched": (choices._textmatched(b), "g_width", choices._generic_spans(b)[0], choices.all_textmatched_options),
-        "popmatched_period": (questions.period_pool(decided, b.cohort_past, b.bands, items.period_profile(b.events, b.parts), labels), "p_width", choices._period_spans(b)[0].filter("p_width is not null"), choices.all_popmatched_period_options),
+        "textmatched": (choices._textmatched(b), "g_width", whole["textmatched"].generic[0], choices.all_textmatched_options),
+        "popmatched_period": (questions.period_pool(decided, b.cohort_past, b.bands, items.period_profile(b.events, b.parts), labels), "p_width", whole["popmatched_period"].period[0].filter("p_width is not null"), choices.all_popmatched_period_options),
     }
     for condition, (pool, width, spans, options) in pools.items():
         want, members = {}, defaultdict(set)
@@ -99,6 +101,31 @@ def test_whole_job_asks_every_held_out_decision(spark):
                 assert len({label[o["item"]] for o in opts}) == 5 and got[x].n_labels == len({label[i] for i in members[x]})
 
 
+def test_builder(spark):
+    """Parameters, their errors, exclusions that change nothing for the others, and kinds that sum up."""
+    from pyspark.sql import functions as F
+
+    from stridewell.operators.build import Builder, training_instances
+    from stridewell.sources.events import events
+
+    e = events(spark, FOLDER).persist()
+    for wrong in ({"condition": "x"}, {"kind": "x"}, {"k": 1}, {"condition": "textmatched"}):
+        with pytest.raises(ValueError):
+            Builder(e, **wrong)
+    some = e.select("item").distinct().filter("item not like '%1%'").withColumn("score", F.lit(0.5))
+    with pytest.raises(ValueError, match="items have no score"):
+        Builder(e, "textmatched", scores=some).options
+    rows = lambda b: {(r.user_id, r.rn, r.idx, r["item"]) for r in b.options.collect()}
+    pooled, novel, revisit = (rows(Builder(e, "random", k=3, kind=kind)) for kind in ("pooled", "novel", "revisit"))
+    assert pooled == novel | revisit and not novel & revisit and max(x[2] for x in pooled) == 2
+    out = spark.createDataFrame([(sorted(pooled)[0][0],)], "user_id string")
+    assert rows(Builder(e, "random", k=3, exclude=out)) == {x for x in pooled if x[0] != out.first().user_id}
+    b, options = training_instances(e, cap=3)
+    assert b.decisions.groupBy("user_id").count().agg(F.max("count")).first()[0] == 3
+    left, fewer = training_instances(e, cap=3, exclude=out)
+    assert set(map(tuple, fewer.collect())) == {tuple(r) for r in options.collect() if r.user_id != out.first().user_id}
+
+
 def test_draws_follow_the_weights(spark):
     from pyspark.sql import functions as F
 
