@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import stored
 from ..sources import events as src
 from ..sources.tables import table
 from . import timeline
@@ -39,6 +40,24 @@ def value_differences(a: DataFrame, b: DataFrame, key: list[str], tolerance: flo
     return x.join(y, key, "full").filter(F.col("_a").isNull() | F.col("_b").isNull() | ~same).drop("_a", "_b")
 
 
+def json_paths(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, path, value (as text) of every leaf of the JSON texts, a path being like 'a.b[0].c'; texts that don't parse, and
+    empty objects and lists, give no rows. One round a level of nesting.
+    """
+    spark = rows.sparkSession
+    level, out = stored(rows.select(F.col(key).alias("_k"), F.lit("").alias("path"), F.try_parse_json(text).alias("v")).filter("v is not null")), None
+    while True:
+        kind = F.schema_of_variant("v")
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        leaf = level.filter(~nested).select("_k", "path", F.expr("cast(v as string)").alias("value"))
+        out = leaf if out is None else out.unionByName(leaf)
+        deeper = level.filter(nested)
+        if deeper.isEmpty():
+            return out.withColumnRenamed("_k", key)
+        step = "case when x.key is null then concat(d.path, '[', x.pos, ']') when d.path = '' then x.key else concat(d.path, '.', x.key) end"
+        level = stored(spark.sql(f"select d._k, {step} path, x.value v from {{d}} d, lateral variant_explode(d.v) x", d=deeper))
+
+
 def agrees(value: Column, stored_value: Column, tolerance: float) -> Column:
     """Whether a recomputed value is the one written down, within a tolerance that is counted in."""
     return F.abs(value - stored_value) < tolerance + 1e-12

@@ -51,6 +51,10 @@ def sparse_vectors(
     if len(types) > MAX_TYPES:
         raise ValueError(f"more than {MAX_TYPES} event types")
     keys = [f"_k{i}" for i in range(len(distinct_by))]
+    if between and dict(events.dtypes)[ts] in ("timestamp", "timestamp_ntz"):
+        # on the column as it is stored, a day wide on both sides for any zone: row groups of other times are not read
+        low, high = (F.timestamp_seconds(F.lit(x)).cast(dict(events.dtypes)[ts]) for x in (between[0] - 86_400, between[1] + 86_400))
+        events = events.filter((F.col(ts) >= low) & (F.col(ts) < high))
     rows = events.select(
         norm_id(user).alias("user_id"),
         norm_id(cat).alias("_cat"),

@@ -60,6 +60,13 @@ def latest_wins(rows: DataFrame, key: list[str], token: str) -> DataFrame:
     return best.select(*key, *(F.col(f"_b.{c}").alias(c) for c in rest))
 
 
+def cache_hits(rows: DataFrame, key: str, ttl_s: int = 900, t: str = "t", order: str = "event_id") -> DataFrame:
+    """Add hit: whether a request finds the answer that a request of its key stored within the `ttl_s` seconds before. A
+    miss stores one, a hit doesn't make it younger: the same fold as a limit of one request a window.
+    """
+    return accepted_by_rate(rows, key, t, order, 1, ttl_s).withColumn("hit", ~F.col("accepted")).drop("accepted")
+
+
 def accepted_by_rate(rows: DataFrame, key: str, t: str = "t", order: str = "event_id", limit: int = 30, window_s: int = 60) -> DataFrame:
     """Add accepted: a request passes if fewer than `limit` accepted ones of its key lie in the `window_s` seconds before.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import stored
+from .items import global_rank
 from .sampling import hash32, sample_keys
 
 
@@ -82,6 +83,28 @@ def unicity_of_all(shown: DataFrame, held: DataFrame, value: str, ks=(1, 2, 3, 4
     return out
 
 
+def composite(visits: DataFrame, slots: list[str], least_users: int = 3, attempts: int = 200, seed: int = 0) -> DataFrame:
+    """attempt, slot, cat, user_id, item: an example person put together from different users' visits, one for each category
+    in `slots`, so that nobody has been to all of these places; the first of so many random attempts that is one, or none.
+
+    `visits` has user_id, item, cat. Places need `least_users` visitors. All attempts are drawn and tested side by side.
+    """
+    held = stored(visits.select("user_id", "item", "cat").dropna().distinct())
+    pairs = held.select("user_id", "item").distinct()
+    often = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_users).select("item")
+    pool = held.filter(F.col("cat").isin(slots)).join(often, "item", "left_semi")
+    ranked = global_rank(pool, ["cat", "user_id", "item"]).select("cat", "user_id", "item", "rank")
+    span = ranked.groupBy("cat").agg(F.min("rank").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    spark = visits.sparkSession
+    tries = spark.range(attempts).select(F.col("id").alias("attempt")).crossJoin(spark.createDataFrame(list(enumerate(slots)), "slot int, cat string"))  # a few hundred rows
+    points = tries.join(F.broadcast(span), "cat").withColumn("rank", F.col("_first") + F.pmod(hash32(seed, "attempt", "slot"), F.col("_c")))
+    drawn = stored(points.join(ranked.drop("cat"), "rank").select("attempt", "slot", "cat", "user_id", "item"))
+    whole = drawn.groupBy("attempt").agg(F.count_distinct("user_id").alias("u"), F.count_distinct("item").alias("i")).filter((F.col("u") == len(slots)) & (F.col("i") == len(slots))).select("attempt")
+    someone = drawn.select("attempt", "item").join(pairs.withColumnRenamed("user_id", "_u"), "item").groupBy("attempt", "_u").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == len(slots)).select("attempt")
+    good = whole.join(someone, "attempt", "left_anti").agg(F.min("attempt").alias("attempt"))
+    return drawn.join(F.broadcast(good), "attempt")  # one row
+
+
 def masked(events: DataFrame, private: Column, generic: str = "Private place") -> DataFrame:
     """Events without name and point where `private` holds, under a generic category."""
     p = F.coalesce(private, F.lit(False))

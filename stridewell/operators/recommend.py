@@ -16,6 +16,15 @@ def left_truncated(ids: Column, length: int, pad: int = 0) -> Column:
     return F.concat(F.array_repeat(F.lit(pad).cast("bigint"), F.greatest(F.lit(0), length - n)), tail)
 
 
+def instance_ids(prompt: Column, completion: Column, budget: int, least: int = 32, ignore: int = -100) -> Column:
+    """(ids, labels) of a training instance: the prompt loses its beginning so that both fit `budget` ids, its places are
+    ignored in the labels. Null where fewer than `least` ids of the budget would be left for the prompt.
+    """
+    room = F.lit(budget) - F.size(completion)
+    kept = F.slice(prompt, F.greatest(F.lit(1), F.size(prompt) - room + 1), F.greatest(F.lit(0), room))
+    return F.when(room >= least, F.struct(F.concat(kept, completion).alias("ids"), masked_labels(F.size(kept), completion, ignore).alias("labels")))
+
+
 def masked_labels(n_prompt: Column, completion: Column, ignore: int = -100) -> Column:
     """Labels of a training instance: the prompt's places are ignored, the completion's ids stay."""
     return F.concat(F.array_repeat(F.lit(ignore).cast("bigint"), n_prompt), completion)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..common import stored
 from ..functions import planar, text
-from ..operators import controls, items, ranking, recommend, sampling, timeline
+from ..operators import checks, controls, items, privacy, ranking, recommend, sampling, timeline
 from ..sources import events as src
+from ..sources.tables import table
 from . import rules
 from .choices import _all
 from .scores import _PAIR, _paired
@@ -278,3 +279,33 @@ def identity_gate(spark, d):
         one = x.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_failed")).select(F.lit(name).alias("control"), "n_rows", "n_failed")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(
+    f"""with {EVENTS}, held as (select distinct user_id, item, cat from ev where cat is not null), often as (select item from (select distinct user_id, item from held) group by 1 having count(*) >= 3),
+    slots as (select cat, cast(row_number() over (order by n desc, cat) - 1 as int) slot from (select cat, count(*) n from ev where cat is not null group by 1) order by n desc, cat limit 4),
+    pool as (select *, row_number() over (partition by cat order by user_id, item) - 1 r, count(*) over (partition by cat) c from held where cat in (select cat from slots) and item in (select item from often)),
+    drawn as (select a attempt, s.slot, s.cat, p.user_id, p.item from (select unnest(generate_series(0, 199)) a) cross join slots s join pool p on p.cat = s.cat and p.r = {hash32("'0'", 'cast(a as varchar)', 'cast(s.slot as varchar)')} % p.c),
+    whole as (select attempt from drawn group by 1 having count(distinct user_id) = 4 and count(distinct item) = 4), someone as (select d.attempt from drawn d join (select distinct user_id u, item from held) h on h.item = d.item group by d.attempt, u having count(*) = 4)
+    select * from drawn where attempt = (select min(attempt) from whole where attempt not in (select attempt from someone))"""
+)
+def composite_example(spark, d):
+    """An example person from four users' visits to the four most frequent kinds of place, whom nobody is."""
+    e = src.events(spark, d).filter("cat is not null")
+    slots = [r.cat for r in e.groupBy("cat").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cat").limit(4).collect()]
+    return privacy.composite(e, slots)
+
+
+@query(f"""with {_PROMPT}, w as (select decision_id, len(regexp_extract_all(prompt, '[A-Za-z]+')) n from prompts) select decision_id, cast(least(n, 59) + 1 as int) n_ids, cast(least(n, 59) as int) n_ignored, n > 59 as is_cut from w""")
+def truncated_instances(spark, d):
+    """Training rows of at most sixty ids, words standing in for tokens: the prompt's beginning is cut, its labels ignored."""
+    ids = F.transform(F.regexp_extract_all("prompt", F.lit("[A-Za-z]+"), 0), lambda w: F.xxhash64(w))
+    x = prompts(spark, d).select("decision_id", F.size(ids).alias("n"), recommend.instance_ids(ids, F.array(F.lit(1).cast("bigint")), 60).alias("r"))
+    return x.select("decision_id", F.size("r.ids").alias("n_ids"), F.size(F.filter("r.labels", lambda y: y == -100)).alias("n_ignored"), (F.col("n") > 59).alias("is_cut"))
+
+
+@query("with j as (select doc_id, text from documents where kind = 'row' and text is not null and json_valid(text)), t as (select regexp_replace(fullkey, '^\\$\\.?', '') path, type from j, json_tree(j.text) where type not in ('OBJECT', 'ARRAY')) select regexp_replace(path, '\"', '', 'g') path, count(*) n from t group by 1")
+def json_leaves(spark, d):
+    """The paths of the values in the question rows among the documents."""
+    rows = table(spark, d, "documents").filter("kind = 'row' and text is not null").select("doc_id", "text")
+    return checks.json_paths(rows, "doc_id", "text").groupBy("path").agg(F.count(F.lit(1)).alias("n"))

@@ -110,3 +110,29 @@ def rate_limited(spark, d):
     """By user, requests that pass a limit of two an hour; what passes depends on what passed before."""
     a = monitor.accepted_by_rate(requests(spark, d).filter("user_id is not null").select("event_id", "user_id", "t"), "user_id", limit=2, window_s=3600)
     return a.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("n_accepted"))
+
+
+@query(
+    f"""with {_REQ}, s as (select t // 600 * 600 t, count(*) n, count(*) filter (where failed) errors, {", ".join(f"count(*) filter (where value <= {le if le != float('inf') else chr(39) + 'infinity' + chr(39) + '::double'})::double b{k}" for k, le in enumerate(BUCKETS))} from req group by 1),
+    w as (select *, coalesce(sum(n) over (order by t desc rows between unbounded preceding and 1 preceding), 0) newer, max(t) over () ending from s),
+    one as (select cast(sum(n) as bigint) n, cast(sum(errors) as bigint) errors, [{", ".join(f"sum(b{k})" for k in range(len(BUCKETS)))}] c from w where newer < 500 and ending - t <= 86400),
+    x as (select n, errors, unnest([10, 25, 50, 100, 200, 'infinity'::double]::double[]) le, unnest(c)::double c from one), y as (select *, coalesce(lag(le) over (order by le), 0) le0, coalesce(lag(c) over (order by le), 0) c0, 0.95::double * max(c) over () goal from x),
+    q as (select n, errors, arg_min(case when isinf(le) then le0 else le0 + (le - le0) * (goal - c0) / greatest(c - c0, 1e-9) end, le) p95 from y where c >= goal group by 1, 2)
+    select n, errors, round(p95, 6) p95, case when n < 10 then 'FEW' when errors / n > 0.3 or p95 > 150 then 'ALERT' else 'OK' end state from q"""
+)
+def window_alert(spark, d):
+    """State of the service over its last 500 requests, by the share of errors and the 95th percentile of their summed histograms."""
+    r = requests(spark, d).withColumn("service", F.lit("all"))
+    counts = [F.count_if(F.col("value") <= le).cast("double").alias(f"b{k}") for k, le in enumerate(BUCKETS)]
+    s = r.groupBy("service", (F.expr("t div 600") * 600).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("errors"), *counts)
+    one = monitor.last_requests(s, 500, 86_400, ["service"]).groupBy("service").agg(*(F.sum(c).alias(c) for c in ("n", "errors", *(f"b{k}" for k in range(len(BUCKETS))))))
+    b = one.select("service", F.inline(F.array(*(F.struct(F.lit(le).alias("le"), F.col(f"b{k}").alias("c")) for k, le in enumerate(BUCKETS)))))
+    x = one.join(monitor.histogram_quantile(b, ["service"]), "service", "left")
+    return x.select("n", "errors", F.round("quantile", 6).alias("p95"), monitor.alert(F.col("n"), F.col("errors"), F.col("quantile"), max_p95=150.0).alias("state"))
+
+
+@query()
+def cached_answers(spark, d):
+    """By user, requests that a cache of fifteen minutes would answer."""
+    c = monitor.cache_hits(requests(spark, d).filter("user_id is not null").select("event_id", "user_id", "t"), "user_id")
+    return c.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("n_hits"))

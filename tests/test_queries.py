@@ -292,6 +292,38 @@ def test_unicity_queries_take_all_users(spark):
     assert {r.k for r in entry.queries()["all_category_unicity"](spark, FOLDER).collect()} == {3, 6, 10}
 
 
+def test_paths_of_json_texts(spark):
+    from stridewell.operators import checks
+
+    df = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": null}]}, "d": "x"}'), (2, "[true, []]"), (3, "{broken"), (4, None), (5, "7")], "k int, j string")
+    got = sorted((r.k, r.path, r.value) for r in checks.json_paths(df, "k", "j").collect() if r.value is not None)
+    assert got == [(1, "a.b[0]", "1"), (1, "d", "x"), (2, "[0]", "true"), (5, "", "7")]
+
+
+def test_training_rows_fit_their_budget(spark):
+    from pyspark.sql import functions as F
+
+    from stridewell.operators import recommend
+
+    ids = lambda n: F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))
+    row = lambda p, c, budget, least: spark.range(1).select(recommend.instance_ids(ids(p), ids(c), budget, least).alias("r")).first().r
+    r = row(50, 2, 40, 32)
+    assert r.ids == [*range(13, 51), 1, 2] and r.labels == [-100] * 38 + [1, 2]
+    assert row(3, 2, 40, 32).labels == [-100] * 3 + [1, 2] and row(50, 10, 40, 32) is None
+
+
+def test_composite_is_nobody(spark):
+    from stridewell.operators import privacy
+
+    visits = spark.createDataFrame([(f"u{k % 5}", f"i{k % 7}", "ab"[k % 2]) for k in range(40)], "user_id string, item string, cat string")
+    held = {}
+    for r in visits.collect():
+        held.setdefault(r.user_id, set()).add(r["item"])
+    rows = privacy.composite(visits, ["a", "b"], least_users=2).collect()
+    assert all(not {r["item"] for r in rows} <= v for v in held.values()) or not rows
+    assert len({r.user_id for r in rows}) == len(rows)
+
+
 def test_checks_find_what_is_wrong(spark):
     from stridewell.operators import checks
 

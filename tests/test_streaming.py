@@ -109,3 +109,17 @@ def test_rolling_min_and_alert(spark):
     assert [r.rolling_min for r in monitor.rolling_min(df, ["k"], "v", 1800).orderBy("t").collect()] == [3.0, 3.0, 4.0]
     a = lambda n, e, p: spark.range(1).select(monitor.alert(F.lit(n), F.lit(e), F.lit(p).cast("double"))).first()[0]
     assert [a(9, 9, None), a(10, 4, None), a(10, 3, 1.0), a(10, 0, 2.5)] == ["FEW", "ALERT", "OK", "ALERT"]
+
+
+def test_cache_hits(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), rng.randrange(5000), k) for k in range(300)]
+    got = {r.event_id: r.hit for r in monitor.cache_hits(spark.createDataFrame(rows, "k string, t bigint, event_id bigint"), "k", 100).collect()}
+    kept, want = {}, {}
+    for k, t, e in sorted(rows):
+        want[e] = k in kept and t - kept[k] <= 100
+        if not want[e]:
+            kept[k] = t
+    assert got == want
