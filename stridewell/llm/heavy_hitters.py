@@ -24,6 +24,8 @@ from pyspark.sql import Window
 
 from ..common import norm_id, require_columns, stored
 
+#: Partitions whose parts one task recombines.
+MERGE = 32
 _SCHEMA = "kind string, place int, h bigint, n bigint"
 
 
@@ -106,6 +108,30 @@ def _counter_sql(h: Column, n: int) -> Column:
     return F.pmod(h.bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(n)).cast("int")
 
 
+def _recombined(size: Sketch):
+    """Merge the parts of several partitions: equal values add up, a bucket's largest stay, the others go to the light part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).group_by(["kind", "place", "h"]).aggregate([("n", "sum")])
+        heavy = t["kind"].to_numpy(zero_copy_only=False) == "heavy"
+        place, h, n = (t[c].to_numpy(zero_copy_only=False) for c in ("place", "h", "n_sum"))
+        light = np.bincount(place[~heavy], n[~heavy], size.counters).astype(np.int64)
+        place, h, n = place[heavy], h[heavy], n[heavy]
+        order = np.lexsort((h, -n, place))
+        place, h, n = place[order], h[order], n[order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        stay = rank < size.slots
+        np.add.at(light, _counter(h[~stay], size.counters), n[~stay])
+        full = np.flatnonzero(light)
+        yield pa.RecordBatch.from_arrays([pa.array(["heavy"] * int(stay.sum()), pa.string()), pa.array(place[stay], pa.int32()), pa.array(h[stay]), pa.array(n[stay])], names=["kind", "place", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(["light"] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(np.zeros(len(full), np.int64)), pa.array(light[full])], names=["kind", "place", "h", "n"])
+
+    return run
+
+
 def sketch(rows: DataFrame, column: str, size: Sketch = Sketch()) -> tuple[DataFrame, DataFrame, int]:
     """Merged (heavy, light, rows counted): heavy has h and n, light has place and n; a value is known by its 64-bit hash."""
     require_columns(rows, column)
@@ -123,7 +149,12 @@ def sketch(rows: DataFrame, column: str, size: Sketch = Sketch()) -> tuple[DataF
             parts.add(np.concatenate(held))
         yield from parts.batches()
 
-    summed = stored(hashes.mapInArrow(local, _SCHEMA).groupBy("kind", "place", "h").agg(F.sum("n").alias("n")))
+    parts = hashes.mapInArrow(local, _SCHEMA)
+    n = hashes.rdd.getNumPartitions()
+    while n > MERGE:  # level by level: each task recombines the parts of up to MERGE others
+        n = -(-n // MERGE)
+        parts = parts.repartition(n, F.spark_partition_id()).mapInArrow(_recombined(size), _SCHEMA)
+    summed = stored(parts.groupBy("kind", "place", "h").agg(F.sum("n").alias("n")))
     total = summed.agg(F.sum("n")).first()[0] or 0
     ranked = summed.filter("kind = 'heavy'").withColumn("k", F.row_number().over(Window.partitionBy("place").orderBy(F.desc("n"), "h")))
     heavy = ranked.filter(F.col("k") <= size.slots).select("h", "n")
@@ -167,7 +198,10 @@ def top_values(rows: DataFrame, column: str, k: int, size: Sketch = Sketch()) ->
     """
     heavy, light, _ = sketch(rows, column, size)
     bounded = heavy.withColumn("place", _counter_sql(F.col("h"), size.counters)).join(light.withColumnRenamed("n", "light"), "place", "left")
-    best = bounded.select("h", F.col("n").alias("n_low"), (F.col("n") + F.coalesce("light", F.lit(0))).alias("n_high")).orderBy(F.desc("n_low"), "h").limit(k)
-    hs = [r.h for r in best.select("h").collect()]  # at most k
+    best = stored(bounded.select("h", F.col("n").alias("n_low"), (F.col("n") + F.coalesce("light", F.lit(0))).alias("n_high")))
+    # all residents that reach the k-th count: ties are settled by value, which only the next pass tells
+    counts = [r.n_low for r in best.orderBy(F.desc("n_low")).limit(k).select("n_low").collect()]
+    best = best.filter(F.col("n_low") >= (counts[-1] if counts else 0))
+    hs = [r.h for r in best.select("h").collect()]  # at most buckets * slots
     named = rows.select(norm_id(column).alias(column)).filter(F.col(column).isNotNull()).withColumn("h", F.xxhash64(column)).filter(F.col("h").isin(hs)).groupBy("h").agg(F.min(column).alias(column))
-    return best.join(F.broadcast(named), "h").select(column, "n_low", "n_high").orderBy(F.desc("n_low"), column)
+    return best.join(F.broadcast(named), "h").select(column, "n_low", "n_high").orderBy(F.desc("n_low"), column).limit(k)
