@@ -6,8 +6,17 @@ streaming package has the same logic over state.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .timeline import ordered
 
 
 def deltas(scrapes: DataFrame, series: list[str], value: str = "value", t: str = "t") -> DataFrame:
@@ -67,33 +76,52 @@ def cache_hits(rows: DataFrame, key: str, ttl_s: int = 900, t: str = "t", order:
     return accepted_by_rate(rows, key, t, order, 1, ttl_s).withColumn("hit", ~F.col("accepted")).drop("accepted")
 
 
+def stretches(rows: DataFrame, key: str, gap_s: int, t: str = "t", order: str = "event_id", name: str = "stretch") -> DataFrame:
+    """Add `name`: the time at which the row's stretch began, a run of the key's rows with at most `gap_s` seconds between
+    neighbours. Rows are sorted in blocks of time; of each block only the last beginning goes on to the next.
+    """
+    block_s = max(86_400, 4 * gap_s)
+    x = ordered(rows.filter(F.col(t).isNotNull() & F.col(key).isNotNull()), key, (t, order), block_s)
+    x = x.withColumn("_b", F.floor(F.col(t) / F.lit(block_s))).withColumn("_s", F.when(F.col("prev").isNull() | (F.col(t) - F.col(f"prev.{t}") > gap_s), F.col(t)))
+    ends = x.groupBy(key, "_b").agg(F.max("_s").alias("_m"))
+    before = ends.select(key, "_b", F.max("_m").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))  # blocks of a key
+    inner = F.max("_s").over(Window.partitionBy(key, "_b").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("_i", inner).join(before, [key, "_b"]).withColumn(name, F.coalesce("_i", "_c")).select(*rows.columns, name)
+
+
 def accepted_by_rate(rows: DataFrame, key: str, t: str = "t", order: str = "event_id", limit: int = 30, window_s: int = 60) -> DataFrame:
     """Add accepted: a request passes if fewer than `limit` accepted ones of its key lie in the `window_s` seconds before.
 
-    What passes depends on what passed, so it is a fold along each key's requests. A key's requests stream through the
-    fold in order; only the accepted times still in the window, at most `limit`, are held.
+    What passes depends on what passed before, but not beyond a silence longer than the window. So each stretch of requests
+    is folded apart, in any task, and those of at most `limit` requests pass whole; of a longer one the last `limit`
+    accepted times are held. Rows without key or time are left out.
     """
-    import pyarrow as pa
-
     schema = rows.schema
 
-    def fold(batches):
-        from collections import deque
-
-        now_key, held = None, deque()
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, deque(maxlen=limit)
         for batch in batches:
-            ok = []
-            for k, at in zip(batch.column(batch.schema.get_field_index(key)).to_pylist(), batch.column(batch.schema.get_field_index(t)).to_pylist()):
-                if k != now_key:
-                    now_key, held = k, deque()
-                while held and at - held[0] > window_s:
-                    held.popleft()
-                ok.append(len(held) < limit)
-                if ok[-1]:
-                    held.append(at)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], names=[*batch.schema.names, "accepted"])
-
-    ordered = rows.repartition(key).sortWithinPartitions(key, t, order)
-    from pyspark.sql import types as T
-
-    return ordered.mapInArrow(fold, T.StructType([*schema.fields, T.StructField("accepted", T.BooleanType())]))
+            times = batch.column(batch.schema.get_field_index(t)).to_numpy(zero_copy_only=False)
+            keys, begins = batch.column(batch.schema.get_field_index(key)), batch.column(batch.schema.get_field_index("_stretch"))
+            new = np.ones(batch.num_rows, dtype=bool)
+            if batch.num_rows > 1:
+                same = pc.and_(pc.equal(keys[1:], keys[:-1]), pc.equal(begins[1:], begins[:-1]))
+                new[1:] = ~same.to_numpy(zero_copy_only=False)
+            ok = np.ones(batch.num_rows, dtype=bool)
+            starts = np.append(np.flatnonzero(new), batch.num_rows)
+            for a, b in zip(starts[:-1], starts[1:]):
+                mark = (keys[int(a)].as_py(), begins[int(a)].as_py())
+                if mark != now:
+                    now, held = mark, deque(maxlen=limit)
+                if len(held) + b - a <= limit:
+                    held.extend(times[a:b].tolist())
+                    continue
+                for k in range(a, b):
+                    # the last accepted request but `limit` - 1 decides
+                    ok[k] = len(held) < limit or times[k] - held[0] > window_s
+                    if ok[k]:
+                        held.append(times[k])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in schema.names), pa.array(ok)], names=[*schema.names, "accepted"])
+
+    spread = stretches(rows, key, window_s, t, order, "_stretch").repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", t, order)
+    return spread.mapInArrow(fold, T.StructType([*schema.fields, T.StructField("accepted", T.BooleanType())]))

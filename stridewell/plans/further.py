@@ -265,7 +265,13 @@ def all_matched_stranger_prompts(spark, d):
     return x.withColumn("changed", ~F.col("same")).drop("same")
 
 
-@query()
+def _gate(name: str, control: str) -> str:
+    head, top = len(_SEGMENT[0]), f"chr(10) || '{text.TOP_HEAD}'"
+    return f"""select '{name}' control, count(*) n_rows, count(*) filter (where own is null or substr(x.prompt, 1, {head}) <> substr(own, 1, {head}) or substr(x.prompt, strpos(x.prompt, {top})) <> substr(own, strpos(own, {top}))) n_failed
+    from ({control}) x left join (with {_PROMPT} select decision_id as own_id, prompt own from prompts) y on y.own_id = x.decision_id"""
+
+
+@query(f"{_gate('random donor', SQL['stranger_prompts'])} union all {_gate('matched donor', SQL['matched_stranger_prompts'])}")
 def identity_gate(spark, d):
     """By control, how many of its prompts fail the gate: they must belong to a decision and differ from it in the shown
     places only.

@@ -105,7 +105,20 @@ def latency_quantiles(spark, d):
     return one.join(at, how="left").select("n", "p50", "p95", "most")  # one row each
 
 
-@query()
+def _jumps(state: str, first: str, more: str) -> str:
+    """From each accepted request to the next one that can be."""
+    return f"""with recursive {_REQ.replace("req as (", "req as materialized (", 1)}, r as (select * from req where user_id is not null),
+    jumps({state}) as ({first} union all {more}), n as (select user_id, count(*) n from r group by 1)"""
+
+
+@query(
+    _jumps(
+        "user_id, p2, t, e",
+        "select user_id, -1000000000000 p2, min(t) t, arg_min(event_id, (t, event_id)) e from r group by 1",
+        "select j.user_id, min(j.t), min(r.t), arg_min(r.event_id, (r.t, r.event_id)) from jumps j join r on r.user_id = j.user_id and (r.t, r.event_id) > (j.t, j.e) and r.t > j.p2 + 3600 group by 1",
+    )
+    + " select n.user_id, n.n, count(*) n_accepted from n join jumps j on j.user_id = n.user_id group by 1, 2"
+)
 def rate_limited(spark, d):
     """By user, requests that pass a limit of two an hour; what passes depends on what passed before."""
     a = monitor.accepted_by_rate(requests(spark, d).filter("user_id is not null").select("event_id", "user_id", "t"), "user_id", limit=2, window_s=3600)
@@ -131,7 +144,10 @@ def window_alert(spark, d):
     return x.select("n", "errors", F.round("quantile", 6).alias("p95"), monitor.alert(F.col("n"), F.col("errors"), F.col("quantile"), max_p95=150.0).alias("state"))
 
 
-@query()
+@query(
+    _jumps("user_id, t", "select user_id, min(t) t from r group by 1", "select j.user_id, min(r.t) from jumps j join r on r.user_id = j.user_id and r.t > j.t + 900 group by 1")
+    + " select n.user_id, n.n, n.n - count(*) n_hits from n join jumps j on j.user_id = n.user_id group by 1, 2"
+)
 def cached_answers(spark, d):
     """By user, requests that a cache of fifteen minutes would answer."""
     c = monitor.cache_hits(requests(spark, d).filter("user_id is not null").select("event_id", "user_id", "t"), "user_id")
