@@ -300,6 +300,25 @@ def test_paths_of_json_texts(spark):
     assert got == [(1, "a.b[0]", "1"), (1, "d", "x"), (2, "[0]", "true"), (5, "", "7")]
 
 
+def test_timelines_of_full_blocks(spark):
+    """Numbers and neighbours are the same however finely a full block is cut."""
+    import random
+
+    from stridewell.operators import timeline
+
+    rng = random.Random(0)
+    rows = [("hot" if k % 3 else f"u{k % 11}", rng.randrange(0, 400_000), f"i{rng.randrange(5)}", k) for k in range(900)]
+    df = spark.createDataFrame(rows, "user_id string, t bigint, item string, seq bigint")
+    want = {}
+    for u in {r[0] for r in rows}:
+        mine = sorted((r[1:] for r in rows if r[0] == u))
+        for k, r in enumerate(mine):
+            want[r[2]] = (k + 1, len(mine), mine[k - 1] if k else None)
+    for block_s, task_rows in ((timeline.BLOCK_S, 20), (100_000, 7), (timeline.BLOCK_S, 10_000)):
+        got = {r.seq: (r.rn, r.n, tuple(r.prev) if r.prev else None) for r in timeline.ordered(df, block_s=block_s, task_rows=task_rows).collect()}
+        assert got == want
+
+
 def test_training_rows_fit_their_budget(spark):
     from pyspark.sql import functions as F
 
