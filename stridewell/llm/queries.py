@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def p8_multilingual_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the multilingual rank file of the same pattern."""
+    return tokens.token_ids(table(spark, d, "documents"), path=os.path.join(tokens.FOLDER, "byte_bpe_multi_50k.tiktoken"))
+
+
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), 2048)
 
@@ -78,7 +85,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segments(docs, languages.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_items, p2_found, p2_members, p2_splits, p6_found, p6_latest_20, p7_found, p7_collapsed, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_items, p2_found, p2_members, p2_splits, p6_found, p6_latest_20, p7_found, p7_collapsed, p8_ids, p8_multilingual_ids, p9_containers, p10_found, p10_languages, p10_segments)}
 
 
 def _latest_sql(n: int, columns: str) -> str:

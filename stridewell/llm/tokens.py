@@ -88,12 +88,12 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Ids of texts; one per Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import regex
 
         self.ranks, self.cache = ranks, {}
         # \s of the rank files' library is Unicode white space, without the separators 1C to 1F
-        self.find = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.find = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
     def encode(self, text: str, out: array) -> None:
         cache = self.cache
@@ -108,14 +108,14 @@ class Encoder:
             out.extend(ids)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(name: str, ranks) -> Encoder:
-    if name not in _ENCODERS:
+def _encoder(path: str, pattern: str, ranks) -> Encoder:
+    if (path, pattern) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(ranks.value)
-    return _ENCODERS[name]
+        _ENCODERS[path, pattern] = Encoder(ranks.value, pattern)
+    return _ENCODERS[path, pattern]
 
 
 def _texts(column: pa.Array) -> Iterator[str]:
@@ -123,28 +123,27 @@ def _texts(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def token_ids(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
+def token_ids(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """doc_id and ids, the list of token ids of each document's whole text; an empty list for an empty or null text.
 
     A row per row: null and repeated doc_ids are kept. The rank file (`path`) is read by the driver and sent to the
-    workers; its size doesn't depend on the data. An empty table gives no rows; other columns are ignored.
+    workers; its size doesn't depend on the data. `pattern` cuts texts into pieces; it belongs to the rank file. An empty table gives no rows; other columns are ignored.
     """
-    return _encoded(documents, text, doc_id, path, True)
+    return _encoded(documents, text, doc_id, path, pattern, True)
 
 
-def token_counts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
+def token_counts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """doc_id and n_tokens (bigint), the length of the list that token_ids gives."""
-    return _encoded(documents, text, doc_id, path, False)
+    return _encoded(documents, text, doc_id, path, pattern, False)
 
 
-def _encoded(documents: DataFrame, text: str, doc_id: str, path: str | None, with_ids: bool) -> DataFrame:
+def _encoded(documents: DataFrame, text: str, doc_id: str, path: str | None, pattern: str, with_ids: bool) -> DataFrame:
     require_columns(documents, text, doc_id)
     path = path or os.path.join(FOLDER, "byte_bpe_50k.tiktoken")
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(path))
-    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(name, ranks)
+        encoder = _encoder(path, pattern, ranks)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)

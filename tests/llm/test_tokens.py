@@ -1,7 +1,9 @@
+import os
 import random
 from array import array
 
 import pytest
+import tiktoken
 
 from stridewell.llm import tokens
 
@@ -51,3 +53,16 @@ def test_round_trip():
         out = array("i")
         e.encode(text, out)
         assert b"".join(back[i] for i in out).decode() == text
+
+
+def test_other_rank_files(spark):
+    path = os.path.join(tokens.FOLDER, "byte_bpe_multi_50k.tiktoken")
+    if not os.path.exists(path):
+        pytest.skip("no such file")
+    own = tiktoken.Encoding("other", pat_str=tokens.PATTERN, mergeable_ranks=tokens.read_ranks(path), special_tokens={})
+    texts = ["Guten Morgen, wie geht's?", "Доброе утро 123", "", "おはよう  \n x", "a" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.ids for r in tokens.token_ids(df, path=path).collect()}
+    assert got == {k: own.encode_ordinary(x) for k, x in enumerate(texts)}
+    words = {r.doc_id: r.n_tokens for r in tokens.token_counts(df, path=path, pattern=r"\p{L}+").collect()}
+    assert words[2] == 0 and words[1] < len(got[1])
