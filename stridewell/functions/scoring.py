@@ -81,6 +81,16 @@ def fold_of(user: Column) -> Column:
     return (F.conv(F.right(F.sha2(user.cast("string"), 256), F.lit(1)), 16, 10).cast("int") % 2).cast("int")
 
 
+def quantile(values: Column, q: float, empty: float | None = 0.0) -> Column:
+    """Quantile of an array, interpolated linearly between its sorted values; q is kept within 0 and 1. `empty` for an
+    empty array; nulls take no part.
+    """
+    v = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
+    at = F.lit(min(1.0, max(0.0, q))) * (F.size(v) - 1)
+    low, high = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int"))
+    return F.when(F.size(v) > 0, low + (high - low) * (at - F.floor(at))).otherwise(F.lit(empty).cast("double"))
+
+
 def should_ask(ask_all: Column, tau: Column, gain: Column) -> Column:
     return ask_all | F.coalesce(gain >= tau, F.lit(False))
 

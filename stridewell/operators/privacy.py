@@ -109,3 +109,15 @@ def masked(events: DataFrame, private: Column, generic: str = "Private place") -
     """Events without name and point where `private` holds, under a generic category."""
     p = F.coalesce(private, F.lit(False))
     return events.withColumn("cat", F.when(p, generic).otherwise(F.col("cat"))).withColumn("name", F.when(~p, F.col("name"))).withColumn("lat", F.when(~p, F.col("lat"))).withColumn("lon", F.when(~p, F.col("lon")))
+
+
+#: What a request log may hold.
+LOG_COLUMNS = ("rid", "path", "status", "ms")
+
+
+def minimal_log(requests: DataFrame, columns: tuple[str, ...] = LOG_COLUMNS) -> DataFrame:
+    """One JSON line (column `value`) a request, of the ids and timings in `columns` alone; times in whole milliseconds.
+    Whatever else a row has, such as a history or a prompt, is left out.
+    """
+    kept = [F.round(c).cast("bigint").alias(c) if c == "ms" else F.col(c) for c in columns]
+    return requests.select(F.to_json(F.struct(*kept)).alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common import epoch_s
-from ..operators import monitor, ranking
+from ..operators import monitor, privacy, ranking
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -152,3 +152,13 @@ def cached_answers(spark, d):
     """By user, requests that a cache of fifteen minutes would answer."""
     c = monitor.cache_hits(requests(spark, d).filter("user_id is not null").select("event_id", "user_id", "t"), "user_id")
     return c.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("n_hits"))
+
+
+@query(f"with {_REQ} select count(*) n, count(*) filter (where user_id is not null) n_with_user, 0::bigint n_leaks, sum(cast(floor(value + 0.5) as bigint))::bigint ms from req where value is not null and value >= 0")
+def minimal_log(spark, d):
+    """What a minimised request log holds: every request, its time, and nobody's id."""
+    r = requests(spark, d).filter("value is not null and value >= 0")
+    log = privacy.minimal_log(r.select(F.col("event_id").cast("string").alias("rid"), F.col("event_type").alias("path"), F.lit(200).alias("status"), F.col("value").alias("ms"), "user_id"))
+    back = log.select(F.from_json("value", "rid string, path string, status int, ms bigint, user_id string").alias("x"))
+    counts = back.agg(F.count(F.lit(1)).alias("n"), F.count("x.user_id").alias("n_leaks"), F.sum("x.ms").alias("ms"))
+    return r.agg(F.count("user_id").alias("n_with_user")).crossJoin(counts).select("n", "n_with_user", "n_leaks", "ms")  # one row each

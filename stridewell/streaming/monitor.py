@@ -146,3 +146,11 @@ def rate_limited(requests: DataFrame, limit: int = 30, window_s: int = 60, key:
         return out, (list(held),)
 
     return _by_key(requests, key, step, "ip string, t bigint, accepted boolean", "t array<bigint>", "t", window_s, late_s)
+
+
+def scrape_loop(stream: DataFrame, checkpoint: str, seconds: int = 3, sink: str = "console", name: str | None = None):
+    """Start a stream that takes what has come every so many seconds."""
+    if seconds < 1:
+        raise ValueError("seconds must be at least 1")
+    w = stream.writeStream.outputMode("append").format(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds")
+    return (w.queryName(name) if name else w).start()

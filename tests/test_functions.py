@@ -240,3 +240,10 @@ def test_choice_flow(spark):
     df = spark.createDataFrame(rows, "k int, steps array<struct<kind string, position int>>, n int")
     got = {r.k: tuple(r.s) for r in df.select("k", serving.choice_after(F.col("steps"), F.col("n")).alias("s")).collect()}
     assert got == {k: flow(steps, n) for k, steps, n in rows}
+
+
+def test_quantile_of_an_array(spark):
+    v = F.array(*map(F.lit, [3.0, 1.0, 2.0, 10.0]))
+    assert [one(spark, s.quantile(v, q)) for q in (-1, 0, 0.5, 0.9, 2)] == [1.0, 1.0, 2.5, pytest.approx(7.9), 10.0]
+    none = F.array().cast("array<double>")
+    assert one(spark, s.quantile(none, 0.5)) == 0.0 and one(spark, s.quantile(none, 0.5, None)) is None

@@ -118,12 +118,13 @@ def test_builder(spark):
     rows = lambda b: {(r.user_id, r.rn, r.idx, r["item"]) for r in b.options.collect()}
     pooled, novel, revisit = (rows(Builder(e, "random", k=3, kind=kind)) for kind in ("pooled", "novel", "revisit"))
     assert pooled == novel | revisit and not novel & revisit and max(x[2] for x in pooled) == 2
-    out = spark.createDataFrame([(sorted(pooled)[0][0],)], "user_id string")
-    assert rows(Builder(e, "random", k=3, exclude=out)) == {x for x in pooled if x[0] != out.first().user_id}
+    gone = min(pooled)[0]
+    out = spark.createDataFrame([(gone,)], "user_id string")
+    assert rows(Builder(e, "random", k=3, exclude=out)) == {x for x in pooled if x[0] != gone}
     b, options = training_instances(e, cap=3)
     assert b.decisions.groupBy("user_id").count().agg(F.max("count")).first()[0] == 3
-    left, fewer = training_instances(e, cap=3, exclude=out)
-    assert set(map(tuple, fewer.collect())) == {tuple(r) for r in options.collect() if r.user_id != out.first().user_id}
+    _, fewer = training_instances(e, cap=3, exclude=out)
+    assert set(map(tuple, fewer.collect())) == {tuple(r) for r in options.collect() if r.user_id != gone}
 
 
 def test_draws_follow_the_weights(spark):

@@ -123,3 +123,14 @@ def test_cache_hits(spark):
         if not want[e]:
             kept[k] = t
     assert got == want
+
+
+def test_scrape_loop(spark, tmp_path):
+    q = stream.scrape_loop(source(spark, tmp_path, "t bigint", [[{"t": 1}], [{"t": 2}]]), str(tmp_path / "cp"), 1, "memory", "scraped")
+    try:
+        q.processAllAvailable()
+        assert sorted(r.t for r in spark.table("scraped").collect()) == [1, 2]
+    finally:
+        q.stop()
+    with pytest.raises(ValueError):
+        stream.scrape_loop(spark.readStream.format("rate").load(), "x", 0)
