@@ -67,8 +67,7 @@ def draw_decoys(decided: DataFrame, line: DataFrame, past: DataFrame | None, n:
     w (whole numbers, end to end from 0). Where the line also has label, the decoys have different labels, none of them
     the decision's `own`.
     """
-    size = line.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
-    width = max(1, -(-(size.w or 1) * 16 // max(1, size.n)))  # about 16 items a bucket of the line
+    width = bucket_width(line)
     many, labels = "spans" in decided.columns, ["label"] if "label" in line.columns else []
     ends = ["spans"] if many else ["lo", "hi"]
     d = stored(decided.select(*KEY, F.col("item").alias("_true"), *ends, *(["own"] if labels else [])).filter("size(spans) > 0" if many else "hi > lo"))
@@ -108,6 +107,21 @@ def draw_decoys(decided: DataFrame, line: DataFrame, past: DataFrame | None, n:
     return out.unionByName((race_by_label if labels else race)(pool, n, seed, F.col("w")))
 
 
+def bucket_width(line: DataFrame, items: int = 16) -> int:
+    """Width of a bucket of a weight line that holds about so many items."""
+    size = line.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
+    return max(1, -(-(size.w or 1) * items // max(1, size.n)))
+
+
+def pool_of_spans(decided: DataFrame, line: DataFrame, past: DataFrame | None) -> DataFrame:
+    """KEY, item, w and, where the line has it, label: every possible decoy of decisions with `spans` (and own), for draws
+    that need the whole pool. A row a decision and decoy, joined on small buckets of the line.
+    """
+    labels = ["own"] if "label" in line.columns else []
+    one = decided.withColumn("s", F.explode("spans")).select(*KEY, F.col("item").alias("_true"), *labels, "s.lo", "s.hi")
+    return pool_of_stretch(one, line, past, bucket_width(line, 256))
+
+
 def pool_of_stretch(decided: DataFrame, line: DataFrame, past: DataFrame | None, width: int) -> DataFrame:
     """Every possible decoy of the (few) decisions given: KEY, item, w and, where the line has it, label. An equi-join on
     the buckets of the line, each item in the one where it begins.

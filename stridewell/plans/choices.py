@@ -48,6 +48,12 @@ class Base:
         return self._b.decoys
 
 
+def _cohort(spark: SparkSession, d: str, condition: str) -> Builder:
+    """The novel decisions of a cohort."""
+    e = events(spark, d)
+    return Builder(e, condition, K, SEED, n_users=N_USERS, kind="novel", scores=_scores(e) if condition == "textmatched" else None)
+
+
 def _all(spark: SparkSession, d: str, condition: str = "popmatched") -> Builder:
     """Every held-out decision, new places and revisits, of all people with enough events."""
     e = events(spark, d)
@@ -188,16 +194,11 @@ keyed as (select p.user_id, p.rn, p.item, g_width, -ln({uniform(f"'{SEED}'", 'p.
 decoys as (select * from (select user_id, rn, item, row_number() over (partition by user_id, rn order by key, item) - 1 nth from keyed) where nth < 4), {_SHUFFLED}"""
 
 
-def _textmatched(b: Base) -> DataFrame:
-    s = _scores(b.events)
-    bins = s.withColumn("g", items.bin_of(F.col("score"), items.bin_edges(s)))
-    return questions.generic_pool(b.wide().filter("width is not null"), b.cohort_past, b.bands, bins)
-
-
 @query(f"with {_TEXTMATCHED} select * from options")
 def textmatched_options(spark, d):
-    b = Base(spark, d)
-    return questions.shuffled(b.cohort, questions.race(_textmatched(b), K - 1, SEED, F.col("pop") + 1))
+    b = _cohort(spark, d, "textmatched")
+    pool = questions.pool_of_spans(b.generic[0], b.generic[1].select("item", "w_from", "w"), b.past)
+    return questions.shuffled(b.decisions, questions.race(pool, K - 1, SEED, F.col("w")))
 
 
 _PERIOD = f"""{_WIDTH},
@@ -216,17 +217,13 @@ best as (select user_id, rn, label, arg_min(item, (key, item)) item, min(key) as
 decoys as (select * from (select user_id, rn, item, row_number() over (partition by user_id, rn order by key, item) - 1 nth from best) where nth < 4), {_SHUFFLED}"""
 
 
-def _period(b: Base) -> DataFrame:
-    labels = b.events.select("item").distinct().join(items.metadata(b.events), "item", "left").select("item", items.label(F.col("cat"), F.col("name")).alias("label"))
-    decided = b.cohort.withColumn("per", items.period(F.col("t")))
-    return questions.period_pool(decided, b.cohort_past, b.bands, items.period_profile(b.events, b.parts), labels)
-
-
 @query(f"with {_PERIOD} select * from options")
 def popmatched_period_options(spark, d):
     """Decoys with the true item's period profile, active in the decision's period, all with different labels."""
-    b = Base(spark, d)
-    return questions.shuffled(b.cohort, questions.race_by_label(_period(b), K - 1, SEED, F.col("pop") + 1))
+    b = _cohort(spark, d, "popmatched_period")
+    spans = b.period[0].filter("p_width is not null")
+    pool = questions.pool_of_spans(spans, b.period[1].select("item", "w_from", "w", "label"), b.past)
+    return questions.shuffled(b.decisions, questions.race_by_label(pool, K - 1, SEED, F.col("w")))
 
 
 @query(
@@ -240,17 +237,15 @@ def popmatched_period_options(spark, d):
 )
 def fallback_stats(spark, d):
     """How many decisions had to widen their pool, and how many were dropped for want of decoys."""
-    b = Base(spark, d)
-    total = b.cohort.agg(F.count(F.lit(1)).alias("n_rows"))
-    wide = b.wide().agg(F.count_if(F.col("width") > 0).alias("n_fallback"), F.count_if(F.col("width").isNull()).alias("n_dropped"))
-    text = _textmatched(b).groupBy(*questions.KEY).agg(F.max("g_width").alias("g")).agg(F.count_if(F.col("g") > 0).alias("n_fallback"))
-    per = _period(b).groupBy(*questions.KEY).agg(F.max("p_width").alias("p")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("p") > 0).alias("n_fallback"))
-    one = lambda name, df: total.crossJoin(df).select(F.lit(name).alias("condition"), "n_rows", "n_fallback", "n_dropped")
-    return (
-        one("popmatched", wide)
-        .unionByName(one("textmatched", text.crossJoin(wide.select("n_dropped"))))
-        .unionByName(total.crossJoin(per).select(F.lit("popmatched_period").alias("condition"), "n_rows", "n_fallback", (F.col("n_rows") - F.col("_n")).alias("n_dropped")))
-    )
+    return _stats(spark, d, _cohort)
+
+
+def _stats(spark: SparkSession, d: str, start) -> DataFrame:
+    out = None
+    for condition in ("popmatched", "textmatched", "popmatched_period"):
+        one = start(spark, d, condition).stats()
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- every held-out decision of every eligible user -----------------------------------------------------------------
@@ -317,11 +312,7 @@ def all_popmatched_period_options(spark, d):
 @whole("fallback_stats")
 def all_fallback_stats(spark, d):
     """How many of all held-out decisions had to widen their pool or were dropped, from the widths alone."""
-    out = None
-    for condition in ("popmatched", "textmatched", "popmatched_period"):
-        one = _all(spark, d, condition).stats()
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _stats(spark, d, _all)
 
 
 _WALK = """walk as (select user_id, item, min(rn) rn, arg_min(t, rn) t from parts where not held group by 1, 2 having min(rn) > 1),

@@ -92,7 +92,16 @@ def ask_rate_texts(spark, d):
     return x.select("arm", "rate", serving.ask_rate_text(F.col("rate")).alias("said"), serving.counted(F.col("n_asked"), "question", "questions").alias("asked"))
 
 
-@query()
+_FLOW = f"""with recursive {service._REQ}, steps as (select user_id, t // 86400 as day, row_number() over (partition by user_id, t // 86400 order by event_id) rn, case when event_type in ('error', 'view') then 'reject' when event_type = 'click' then 'select' else 'accept' end kind,
+      cast({hash_sql("'0'", "cast(event_id as varchar)")} % 5 as int) pos from req where user_id is not null),
+    f(user_id, day, rn, cur, gone, done, own) as (select distinct user_id, day, 0::bigint, 0, []::int[], false, false from steps
+      union all select s.user_id, s.day, s.rn, case when not f.done and kind = 'reject' and f.cur is not null then list_min(list_filter([0, 1, 2, 3, 4], lambda p: not list_contains(list_append(f.gone, f.cur), p))) when not f.done and kind = 'select' and not list_contains(f.gone, pos) then pos else f.cur end,
+        case when not f.done and kind = 'reject' and f.cur is not null then list_append(f.gone, f.cur) else f.gone end, f.done or (kind = 'accept' and f.cur is not null),
+        case when not f.done and kind = 'reject' and f.cur is not null then false when not f.done and kind = 'select' and not list_contains(f.gone, pos) then pos <> 0 else f.own end
+      from f join steps s on s.user_id = f.user_id and s.day = f.day and s.rn = f.rn + 1)"""
+
+
+@query(f"{_FLOW} select user_id, day, arg_max(struct_pack(v := cur), rn).v as current, len(arg_max(gone, rn))::int n_rejected, arg_max(done, rn) accepted, arg_max(own, rn) by_user from f group by 1, 2")
 def decision_flows(spark, d):
     """Where people end who reject, select and accept options, their requests of a day read as steps on five options."""
     r = service.requests(spark, d).filter("user_id is not null")

@@ -262,6 +262,14 @@ def arm_selection(spark, d):
     return ranking.select_arm(value.join(ranking.ece(ranking.reliability(src.predictions(spark, d))), "arm").withColumn("simplicity", simple), most_ece=1.0)
 
 
+@query(SQL["arm_selection"].replace("ece <= 1 ", "ece <= 0.3 ").replace("ece <= 1)", "ece <= 0.3)"))
+def calibrated_arm(spark, d):
+    """The same among the arms whose calibration error is at most 0.3."""
+    value = ranking.ask_curve(_records(spark, d), rates=(0.5,)).filter("trigger = 'value'").select("arm", F.col("accuracy").alias("value"))
+    simple = F.when(F.col("arm") == "zero_shot", 0).when(F.col("arm") == "distance_cue", 1).otherwise(2)
+    return ranking.select_arm(value.join(ranking.ece(ranking.reliability(src.predictions(spark, d))), "arm").withColumn("simplicity", simple), most_ece=0.3)
+
+
 @query(
     f"""with {_REC}, t as (select arm, median(gain) tau from records group by arm),
     plays as (select r.prediction_id, r.arm, policy, (case policy when 'never' then false when 'always' then true else gain >= tau end) and q_cat is not null asks, top, pick_ask, answer_idx

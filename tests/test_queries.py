@@ -79,8 +79,10 @@ def test_whole_job_asks_every_held_out_decision(spark):
     labels = b.events.select("item").distinct().join(items.metadata(b.events), "item", "left").select("item", items.label(F.col("cat"), F.col("name")).alias("label"))
     label = {r["item"]: r.label for r in labels.collect()}
     decided = b.cohort.withColumn("per", items.period(F.col("t")))
+    scores = choices._scores(b.events)
+    bins = scores.withColumn("g", items.bin_of(F.col("score"), items.bin_edges(scores)))
     pools = {
-        "textmatched": (choices._textmatched(b), "g_width", whole["textmatched"].generic[0], choices.all_textmatched_options),
+        "textmatched": (questions.generic_pool(b.wide().filter("width is not null"), b.cohort_past, b.bands, bins), "g_width", whole["textmatched"].generic[0], choices.all_textmatched_options),
         "popmatched_period": (questions.period_pool(decided, b.cohort_past, b.bands, items.period_profile(b.events, b.parts), labels), "p_width", whole["popmatched_period"].period[0].filter("p_width is not null"), choices.all_popmatched_period_options),
     }
     for condition, (pool, width, spans, options) in pools.items():
