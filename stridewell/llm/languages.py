@@ -178,7 +178,7 @@ class Words:
 
     sentence: number of each word's sentence, rising; kind: which of the different words it is; weight: 1 or less.
     Of each sentence: text (number of its text), start and end (places in it), letters. bins, owner: the features of
-    the different words, and the word each belongs to.
+    the different words, and the word each belongs to; hashes: of the different words; n_words of each text, code included.
     """
 
     sentence: np.ndarray
@@ -190,9 +190,38 @@ class Words:
     letters: np.ndarray
     bins: np.ndarray
     owner: np.ndarray
-    n_kinds: int
+    hashes: np.ndarray
     n_words: np.ndarray
 
+    @property
+    def n_kinds(self) -> int:
+        return len(self.hashes)
+
+    def only(self, keep: np.ndarray) -> Words:
+        """The sentences that are marked in `keep`, with the same different words."""
+        place = np.cumsum(keep) - 1
+        mine = keep[self.sentence]
+        return Words(place[self.sentence[mine]], self.kind[mine], self.weight[mine], self.text[keep], self.start[keep], self.end[keep], self.letters[keep], self.bins, self.owner, self.hashes, self.n_words)
+
+    @staticmethod
+    def joined(parts: list[Words]) -> Words:
+        """Words of one batch after the other; a word of several is one."""
+        h, one, which = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+        before = np.cumsum([0, *(p.n_kinds for p in parts)])
+        bins, owner = [], []
+        for p, at in zip(parts, before):
+            new = which[at : at + p.n_kinds]
+            first = one[new] == np.arange(at, at + p.n_kinds)  # its features come from here
+            mine = first[p.owner]
+            bins.append(p.bins[mine])
+            owner.append(new[p.owner[mine]])
+        b, o = np.concatenate(bins), np.concatenate(owner)
+        order = np.argsort(o, kind="stable")
+        sentences, texts = (np.cumsum([0, *(len(getattr(p, c)) for p in parts)]) for c in ("text", "n_words"))
+        put = lambda c, add=None: np.concatenate([getattr(p, c) + (0 if add is None else add[k]) for k, p in enumerate(parts)])
+        kind = np.concatenate([which[p.kind + at] for p, at in zip(parts, before)])
+        return Words(put("sentence", sentences), kind, put("weight"), put("text", texts), put("start"), put("end"), put("letters"), b[order], o[order], h, put("n_words"))
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -263,7 +292,7 @@ def words(texts: list[str]) -> Words:
     step = inner - np.repeat(starts, long)
     power = np.cumprod(np.concatenate(([1], np.full(int(long.max(initial=1)), 0xD1342543DE82EF95, dtype=np.uint64))).astype(np.uint64))
     h = np.add.reduceat(_mix(lower[c[inner]].astype(np.uint64) + np.uint64(1)) * power[step], np.cumsum(long) - long) if len(starts) else np.zeros(0, np.uint64)
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    hashes, one, which = np.unique(h, return_index=True, return_inverse=True)
     bins, owner = _features(c, starts[one], ends[one], lower, bare)
 
     # sentences
@@ -279,7 +308,7 @@ def words(texts: list[str]) -> Words:
         mine = slice(*np.searchsorted(text, [k, k + 1]))
         lo[mine], hi[mine] = origin[lo[mine]], origin[hi[mine]]
     weight = np.where(capital[c[starts]], np.float32(NAME_WEIGHT), np.float32(1))
-    return Words(sentence, which, weight, text, lo, hi + 1, letters, bins, owner, len(one), per_text)
+    return Words(sentence, which, weight, text, lo, hi + 1, letters, bins, owner, hashes, per_text)
 
 
 def _features(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -439,19 +468,22 @@ def fit_texts(texts: list[str], labels: list[str], most_sentences: int = SAMPLE_
     langs = [str(x) for x in name[many >= LEAST_DOCS]]
     number = {x: k for k, x in enumerate(langs)}
     kept = [(t, number[x]) for t, x in zip(texts, labels) if x in number]
-    w = words([t for t, _ in kept])
+    parts, held, size = [], [], 0
+    for k, (text, _) in enumerate(kept):
+        held.append(text)
+        size += len(text)
+        if size >= PIECE or k == len(kept) - 1:
+            w = words(held)
+            n = np.bincount(w.text, minlength=1)[w.text]
+            parts.append(w.only((np.arange(len(w.text)) - np.searchsorted(w.text, w.text)) % -(-n // most_sentences) == 0))
+            held, size = [], 0
+    w = Words.joined(parts) if parts else words([])
     of = np.array([k for _, k in kept], dtype=np.int64)[w.text]
-    first = np.searchsorted(w.text, w.text)
-    n = np.bincount(w.text, minlength=1)[w.text]
-    pick = (np.arange(len(w.text)) - first) % -(-n // most_sentences) == 0
     rng = np.random.default_rng(3)
-    chosen = np.concatenate([np.zeros(0, np.int64), *(rng.permutation(np.flatnonzero(pick & (of == k)))[:per_language] for k in range(len(langs)))])
-    place = np.full(len(w.text), -1)
-    place[np.sort(chosen)] = np.arange(len(chosen))
-    mine = place[w.sentence] >= 0
-    few = np.sort(chosen)
-    some = Words(place[w.sentence[mine]], w.kind[mine], w.weight[mine], w.text[few], w.start[few], w.end[few], w.letters[few], w.bins, w.owner, w.n_kinds, w.n_words)
-    return fit_words(some, of[few], langs)
+    chosen = np.zeros(len(w.text), dtype=bool)
+    for k in range(len(langs)):
+        chosen[rng.permutation(np.flatnonzero(of == k))[:per_language]] = True
+    return fit_words(w.only(chosen), of[chosen], langs)
 
 
 def fit(documents: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:

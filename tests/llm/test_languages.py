@@ -90,6 +90,15 @@ def test_sentences_and_their_places():
     assert cut("Это &quot;дом&quot;. Ça va?") == ["Это &quot;дом", "Ça va"]
 
 
+def test_batches_of_words_join_to_one():
+    texts = [x.format("Lumar") for c in CODES for x in SENTENCES[c]]
+    whole, parts = L.words(texts), L.Words.joined([L.words(texts[:7]), L.words(texts[7:8]), L.words([""]), L.words(texts[8:])])
+    assert (parts.hashes == whole.hashes).all() and (whole.kind == parts.kind).all() and (whole.bins == parts.bins).all() and (whole.owner == parts.owner).all()
+    assert (whole.sentence == parts.sentence).all() and (whole.start == parts.start).all()
+    few = whole.only(np.arange(len(whole.text)) % 2 == 0)
+    assert len(few.text) == -(-len(whole.text) // 2) and few.sentence.max() == len(few.text) - 1
+
+
 def test_long_texts_are_read_whole(model):
     text = "Niemand wusste, warum die Tür offen stand. " * 300 + "The train leaves late in the evening today. " * 3
     parts = list(L.pieces(text, 1000))
