@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import stored
+
 BLOCK_S = 30 * 86_400
 #: Rows of one block that a task sorts.
 TASK_ROWS = 2_000_000
@@ -22,11 +24,16 @@ def ordered(events: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("
     """
     at = F.struct(*order)
     b = events.withColumn("_block", F.floor(F.col(order[0]) / F.lit(block_s)))
-    # at most rows / task_rows blocks are that full
-    full = b.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > task_rows).select(key, "_block", F.ceil(F.col("_m") / task_rows).alias("_parts"))
-    part = F.coalesce(F.floor((F.col(order[0]) - F.col("_block") * block_s) * F.col("_parts") / block_s), F.lit(0).cast("bigint"))
-    b = b.join(F.broadcast(full), [key, "_block"], "left").withColumn("_part", part).drop("_parts")
-    sizes = b.groupBy(key, "_block", "_part").agg(F.count(F.lit(1)).alias("_m"), F.max(at).alias("_last"))
+    size = [F.count(F.lit(1)).alias("_m"), F.max(at).alias("_last")]
+    sizes = stored(b.groupBy(key, "_block").agg(*size))
+    full = sizes.filter(F.col("_m") > task_rows).select(key, "_block", F.ceil(F.col("_m") / task_rows).alias("_parts"))
+    if full.isEmpty():
+        b, sizes = (x.withColumn("_part", F.lit(0).cast("bigint")) for x in (b, sizes))
+    else:
+        # at most rows / task_rows blocks are that full
+        part = F.coalesce(F.floor((F.col(order[0]) - F.col("_block") * block_s) * F.col("_parts") / block_s), F.lit(0).cast("bigint"))
+        b = b.join(F.broadcast(full), [key, "_block"], "left").withColumn("_part", part).drop("_parts")
+        sizes = b.groupBy(key, "_block", "_part").agg(*size)
     line = Window.partitionBy(key).orderBy("_block", "_part")  # as many rows a key as it has blocks
     blocks = sizes.select(
         key, "_block", "_part",
