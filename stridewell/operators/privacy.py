@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,40 +55,229 @@ def unicity(pairs: DataFrame, value: str, ks=(1, 2, 3, 4), draws: int = 20, n_us
     return out
 
 
-def unicity_of_all(shown: DataFrame, held: DataFrame, value: str, ks=(1, 2, 3, 4), draws: int = 20, seed: int = 0, fill: bool = False) -> DataFrame:
+#: The values that most users hold are looked up as bits of their holders: so many at most, each of more than so many users.
+HOT_VALUES, HOT_USERS = 1024, 128
+#: Holders of one value in one piece of work.
+HOLDERS = 65_536
+
+
+def _hot_values(freq: DataFrame, value: str, hot_users: int) -> DataFrame:
+    """value, _hot (0 for the rarest) of the hot values: a few rows."""
+    top = freq.filter(F.col("_f") > hot_users).orderBy(F.desc("_f"), value).limit(HOT_VALUES)
+    return stored(top.withColumn("_hot", (F.row_number().over(Window.orderBy("_f", value)) - 1).cast("smallint")).select(value, "_hot"))
+
+
+def _hot_lists(held: DataFrame, hot: DataFrame, value: str) -> DataFrame:
+    """_u, _own (at most HOT_VALUES places) of the users that hold a hot value."""
+    return held.join(F.broadcast(hot), value).groupBy("_u").agg(F.collect_list("_hot").alias("_own"))
+
+
+def _hot_support(sets: DataFrame, lists: DataFrame, holders: int = HOLDERS) -> DataFrame:
+    """_set, _tag, _at, _c, n_users of sets of hot values (`_set`, ascending places, so the rarest is first).
+
+    A set is looked for among the holders of its rarest value, `holders` of them at a time: their other hot values are bits, and
+    a set's bits are and-ed and counted. Rows without a set (null) keep their `_at` as n_users.
+    """
+    size = lists.select(F.explode("_own").alias("_v")).groupBy("_v").agg(F.ceil(F.count(F.lit(1)) / holders).alias("_parts"))
+    size = F.broadcast(stored(size))  # HOT_VALUES rows at most
+    one = F.lit(1).cast("bigint")
+    theirs = lists.select("_u", F.explode("_own").alias("_v"), "_own").join(size, "_v").select("_v", F.pmod(F.xxhash64("_u"), "_parts").alias("_part"), F.lit(0).alias("_is_set"), F.col("_own").alias("_set"), F.lit(0).alias("_tag"), F.lit(0).cast("bigint").alias("_at"), one.alias("_c"))
+    mine = sets.withColumn("_v", F.coalesce(F.get("_set", F.lit(0)), F.lit(-1).cast("smallint"))).join(size, "_v", "left")
+    mine = mine.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", one) - 1))).select("_v", "_part", F.lit(1).alias("_is_set"), "_set", "_tag", "_at", "_c")
+    both = theirs.unionByName(mine).repartition("_v", "_part").sortWithinPartitions("_v", "_part", "_is_set")
+    found = both.mapInArrow(_count_hot, "_set array<smallint>, _tag int, _at bigint, _c bigint, n_users bigint")
+    return found.groupBy("_set", "_tag", "_at", "_c").agg(F.sum("n_users").alias("n_users"))
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of all lists, and the lists' lengths; null lists are empty."""
+    return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _bits(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A row of bits for each hot value, a bit for each holder; the last row has all bits."""
+    flat, lens = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+    flags = np.zeros((HOT_VALUES + 1, -(-len(lens) // 64) * 64), bool)
+    flags[flat, np.repeat(np.arange(len(lens)), lens)] = True
+    flags[HOT_VALUES, : len(lens)] = True
+    return np.packbits(flags, axis=1).view(np.uint64)
+
+
+def _count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, parts, bits = None, [], None
+    for batch in batches:
+        v, part, is_set = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_v", "_part", "_is_set"))
+        flat, lens = _lists(batch.column("_set"))
+        flat, at = flat.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lens)])
+        n_users = np.zeros(len(v), np.int64)
+        edges = np.flatnonzero((np.diff(v) != 0) | (np.diff(part) != 0) | (np.diff(is_set) != 0)) + 1
+        for lo, hi in pairwise([0, *edges, len(v)]):
+            if lo == hi:
+                continue
+            if key != (v[lo], part[lo]):
+                key, parts, bits = (v[lo], part[lo]), [], None
+            mine, size = flat[at[lo] : at[hi]], lens[lo:hi]
+            if not is_set[lo]:
+                parts.append((mine, size))
+            elif v[lo] < 0:
+                n_users[lo:hi] = batch.column("_at").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+            else:
+                if bits is None:
+                    bits, parts = _bits(parts), []
+                ids = np.full((hi - lo, size.max()), HOT_VALUES)
+                ids[np.repeat(np.arange(hi - lo), size), np.arange(len(mine)) - np.repeat(at[lo:hi] - at[lo], size)] = mine
+                step = max(1, (1 << 17) // max(1, bits.shape[1]))
+                for k in range(0, hi - lo, step):
+                    some = ids[k : k + step]
+                    acc = bits[some[:, 0]]
+                    for j in range(1, some.shape[1]):
+                        acc &= bits[some[:, j]]
+                    n_users[lo + k : lo + k + len(some)] = np.bitwise_count(acc).sum(1)
+        out = pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("_set", "_tag", "_at", "_c")), pa.array(n_users)], names=["_set", "_tag", "_at", "_c", "n_users"])
+        yield out.filter(pa.array(is_set == 1))
+
+
+def unicity_of_all(shown: DataFrame, held: DataFrame, value: str, ks=(1, 2, 3, 4), draws: int = 20, seed: int = 0, fill: bool = False, hot_users: int = HOT_USERS, holders: int = HOLDERS) -> DataFrame:
     """k, n_sets, users_skipped, unique_share, median_support over `draws` sets of k values of every user in `shown`.
 
     Sets are drawn from `shown` (user_id, value) and looked for in `held`. A user with fewer than k values is skipped, or
     with `fill` gives all of them. A value that nobody holds has no support; `shown` is meant to be a part of `held`.
     """
-    held = stored(held.select(F.col("user_id").alias("_u"), value).distinct())
-    freq = stored(held.groupBy(value).agg(F.count(F.lit(1)).alias("_f")))
-    own = shown.select("user_id", value).distinct()
-    own = stored(own.join(own.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")), "user_id"))
-    users = own.select("user_id").distinct().count()
-    x = own.withColumn("draw", F.explode(F.expr(f"sequence(0, {draws - 1})"))).withColumn("_h", hash32(seed, "draw", "user_id", value))
-    place = F.row_number().over(Window.partitionBy("user_id", "draw").orderBy("_h", value))
-    # the set of k values is the beginning of that of more
-    drawn = stored(x.withColumn("_k", place).filter(F.col("_k") <= max(ks)).join(freq, value).select("user_id", "draw", value, "_k", "_n", "_f"))
-    out = None
-    for k in ks:
-        sets = drawn.filter((F.col("_k") <= k) & (F.lit(fill) | (F.col("_n") >= k)))
-        ranked = stored(sets.withColumn("_r", F.row_number().over(Window.partitionBy("user_id", "draw").orderBy("_f", value))))
-        if k == 1:
-            n = ranked.select(F.col("_f").alias("n_users"), "user_id")
-        else:
-            found = ranked.filter("_r = 1").select("user_id", "draw", value).join(held, value).select("user_id", "draw", "_u")
-            for r in range(2, k + 1):
-                nth = ranked.filter(F.col("_r") == r).select("user_id", "draw", value)
-                more = found.join(nth, ["user_id", "draw"]).join(held, ["_u", value], "left_semi").select("user_id", "draw", "_u")
-                found = more.unionByName(found.join(nth, ["user_id", "draw"], "left_anti")) if fill else more
-                found = stored(found) if fill else found
-            n = found.groupBy("user_id", "draw").agg(F.count(F.lit(1)).alias("n_users"))
-        share = F.round(F.avg((F.col("n_users") == 1).cast("double")), 9)
-        one = n.agg(F.count(F.lit(1)).alias("n_sets"), (F.lit(users) - F.count_distinct("user_id")).alias("users_skipped"), share.alias("unique_share"), F.percentile("n_users", F.lit(0.5)).alias("median_support"))
-        one = one.select(F.lit(k).alias("k"), "n_sets", "users_skipped", "unique_share", "median_support")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return unicity_of_pools(shown, held, value, {"all": 0}, ks, draws, seed, fill, hot_users, holders).drop("pool")
+
+
+def unicity_of_pools(shown: DataFrame, held: DataFrame, value: str, pools: dict[str, int], ks=(1, 2, 3, 4), draws: int = 20, seed: int = 0, fill: bool = False, hot_users: int = HOT_USERS, holders: int = HOLDERS) -> DataFrame:
+    """The same by pool: a pool has the values that so many users hold, and a user without any of them is skipped.
+
+    A user's sets are all tested at once, on the lists of users that hold the values shown to that user; each user in a list has
+    the hot values they hold with them, so that no hot value needs a list. Sets of hot values alone are counted by
+    `_hot_support`, once for equal sets.
+    """
+    held = stored(held.select(F.col("user_id").cast("string").alias("_u"), F.col(value).cast("string").alias(value)).filter(F.col("_u").isNotNull() & F.col(value).isNotNull()).distinct())
+    freq = held.groupBy(value).agg(F.count(F.lit(1)).alias("_f"))
+    own = shown.select(F.col("user_id").cast("string").alias("user_id"), F.col(value).cast("string").alias(value)).distinct().join(freq, value, "left")
+    own = stored(own.select("user_id", value, F.coalesce("_f", F.lit(0)).alias("_f")))
+    hot = _hot_values(freq, value, hot_users)
+    lists = stored(_hot_lists(held, hot, value))
+    wanted = own.filter("_f > 0").select(value).distinct().join(F.broadcast(hot), value, "left_anti")
+    with_hot = held.join(wanted, value, "left_semi").join(lists, "_u", "left")
+    users_of = with_hot.groupBy(value).agg(F.collect_list(F.struct("_u", "_own")).alias("_users"))
+    rows = own.join(F.broadcast(hot), value, "left").join(users_of, value, "left").select("user_id", F.col(value).alias("_value"), "_f", F.coalesce("_hot", F.lit(-1).cast("smallint")).alias("_hot"), "_users")
+    tests = _Tests(list(pools.values()), list(ks), draws, seed, fill)
+    tested = rows.repartition("user_id").sortWithinPartitions("user_id").mapInArrow(tests, "_set array<smallint>, _tag int, _at bigint, _c bigint")
+    counted = _hot_support(tested.groupBy("_set", "_tag", "_at").agg(F.sum("_c").alias("_c")), lists, holders)
+    n = counted.groupBy("_tag", "n_users").agg(F.sum("_c").alias("c"))  # one row for each number of users
+    users = F.sum(F.when(F.col("n_users") == -1, F.col("c")))
+    real = F.col("n_users") >= 0
+    total = F.coalesce(F.sum(F.when(real, F.col("c"))), F.lit(0))
+    by = n.groupBy("_tag").agg(
+        total.alias("n_sets"), F.coalesce(users, F.lit(0)).alias("users"),
+        F.round(F.sum(F.when(F.col("n_users") == 1, F.col("c")).when(real, F.lit(0))) / total, 9).alias("unique_share"),
+        F.percentile(F.when(real, F.col("n_users")), F.lit(0.5), F.when(real, F.col("c")).otherwise(F.lit(0))).alias("median_support"),
+    )
+    got = {r["_tag"]: r for r in by.collect()}  # a row for each pool and k
+    everyone = got[-1].users if -1 in got else 0
+    out = []
+    for p, pool in enumerate(pools):
+        for j, k in enumerate(ks):
+            r = got.get(p * len(ks) + j)
+            out.append((pool, k, r.n_sets, everyone - r.users, r.unique_share, r.median_support) if r else (pool, k, 0, everyone, None, None))
+    return held.sparkSession.createDataFrame(out, "pool string, k int, n_sets bigint, users_skipped bigint, unique_share double, median_support double")
+
+
+class _Tests:
+    """Rows of users' values (user by user) to counts `_c` of sets: by `_at`, their number of users, or by `_set` where hot values
+    alone are in them. Users that gave a set, and with the tag -1 all users, have `_at` -1. The tag is the place of pool and k.
+    """
+
+    def __init__(self, pools: list[int], ks: list[int], draws: int, seed: int, fill: bool):
+        self.pools, self.ks, self.draws, self.seed, self.fill = pools, ks, draws, seed, fill
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            ids = t.column("user_id").combine_chunks().dictionary_encode().indices.to_numpy()
+            edges = np.flatnonzero(np.diff(ids)) + 1
+            cut = int(edges[-1]) if len(edges) else 0
+            if cut:
+                yield self.counts(t.slice(0, cut).combine_chunks(), [0, *edges])
+            rest = t.slice(cut)
+        if rest is not None and len(rest):
+            yield self.counts(rest.combine_chunks(), [0, len(rest)])
+
+    def counts(self, t: pa.Table, edges: list[int]) -> pa.RecordBatch:
+        col = lambda n: t.column(n).combine_chunks()
+        names, values = col("user_id").to_pylist(), [x.encode() for x in col("_value").to_pylist()]
+        f, hot = col("_f").to_numpy(), col("_hot").to_numpy().astype(np.int64)
+        users, n_users = _lists(col("_users"))
+        who, own = users.flatten()
+        who = who.dictionary_encode().indices.to_numpy()
+        own, n_own = _lists(own)
+        own = own.to_numpy(zero_copy_only=False).astype(np.int64)
+        at, own_at = (np.concatenate([[0], np.cumsum(x)]) for x in (n_users, n_own))
+        plain, sets = Counter(), Counter()
+        for lo, hi in pairwise(edges):
+            w, i = np.unique(who[at[lo] : at[hi]], return_inverse=True)
+            n = hi - lo
+            has = np.zeros((len(w), n + 1), bool)
+            has[:, n] = True  # for places without a value
+            has[i, np.repeat(np.arange(n), n_users[lo:hi])] = True
+            place = np.full(HOT_VALUES, n)
+            mine = hot[lo:hi]
+            place[mine[mine >= 0]] = np.flatnonzero(mine >= 0)
+            a, b = at[lo], at[hi]
+            has[np.repeat(i, n_own[a:b]), place[own[own_at[a] : own_at[b]]]] = True
+            self.test(has, names[lo], values[lo:hi], f[lo:hi], mine, plain, sets)
+        rows = [(None, tag, n, c) for (tag, n), c in plain.items()] + [(list(s), tag, None, c) for (tag, s), c in sets.items()]
+        kinds = {"_set": pa.list_(pa.int16()), "_tag": pa.int32(), "_at": pa.int64(), "_c": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    def test(self, has, name, values, f, hot, plain, sets) -> None:
+        plain[-1, -1] += 1
+        n, most = len(values), max(self.ks)
+        orders = []
+        for draw in range(self.draws):
+            start = hashlib.md5(f"{self.seed}|{draw}|{name}|".encode())
+            keys = []
+            for v in values:
+                h = start.copy()
+                h.update(v)
+                keys.append((h.digest()[:4], v))
+            orders.append(sorted(range(n), key=keys.__getitem__))
+        f, hot = np.append(f, 1), np.append(hot, 0)
+        for p, least in enumerate(self.pools):
+            # the set of k values is the beginning of that of more
+            drawn = np.full((self.draws, most), n)
+            for d, order in enumerate(orders):
+                taken = [x for x in order if f[x] >= least][:most]
+                drawn[d, : len(taken)] = taken
+            if self.fill:
+                kept = np.where(f[drawn] > 0, drawn, n)
+            else:
+                kept = drawn
+            hit, cold = np.ones((len(has), self.draws), bool), np.zeros(self.draws, bool)
+            for k in range(1, most + 1):
+                x = kept[:, k - 1]
+                hit &= has[:, x]
+                cold |= hot[x] < 0
+                if k not in self.ks:
+                    continue
+                tag = p * len(self.ks) + self.ks.index(k)
+                some = kept[:, :k]
+                real = (some < n).any(1) if self.fill else ((some < n) & (f[some] > 0)).all(1)
+                if real.any():
+                    plain[tag, -1] += 1
+                size = (some < n).sum(1)
+                count = hit.sum(0)
+                for d in np.flatnonzero(real):
+                    if cold[d]:
+                        plain[tag, int(count[d])] += 1
+                    elif size[d] == 1:
+                        plain[tag, int(f[some[d]][some[d] < n][0])] += 1
+                    else:
+                        sets[tag, tuple(sorted(hot[some[d]][some[d] < n].tolist()))] += 1
 
 
 def composite(visits: DataFrame, slots: list[str], least_users: int = 3, attempts: int = 200, seed: int = 0) -> DataFrame:

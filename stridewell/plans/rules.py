@@ -310,24 +310,17 @@ def category_unicity(spark, d):
 def _shown(e: DataFrame) -> DataFrame:
     """user_id, item of the last 30 events before the cut of every user with novel decisions, whose questions show them."""
     parts = timeline.split(timeline.ordered(e.select("seq", "user_id", "t", "item")))
-    asked = timeline.held_out(parts).filter("is_novel").select("user_id").distinct()
-    return parts.filter("not held and rn > cut - 30").select("user_id", "item").join(asked, "user_id", "left_semi").distinct()
+    each = parts.groupBy("user_id", "item").agg(F.min("rn").alias("first"), F.max(F.when(~F.col("held"), F.col("rn"))).alias("last"), F.max("cut").alias("cut"))
+    # at most 30 items a user
+    users = each.groupBy("user_id").agg(F.max(F.col("first") > F.col("cut")).alias("asked"), F.collect_list(F.when(F.col("last") > F.col("cut") - 30, F.col("item"))).alias("items"))
+    return users.filter("asked").select("user_id", F.explode("items").alias("item"))
 
 
 @query()
 def all_unicity_k(spark, d):
     """How often k random shown items are one user's only: all asked users, all items and those of 20 or more users."""
     e = src.events(spark, d)
-    pairs, shown, out = stored(e.select("user_id", "item").distinct()), stored(_shown(e)), None
-    for pool, least in (("all", 1), ("20 or more users", 20)):
-        often = pairs.groupBy("item").agg(n_rows().alias("n")).filter(F.col("n") >= least)
-        mine = shown.select("user_id").distinct().join(shown.join(often, "item", "left_semi"), "user_id", "left")
-        one = privacy.unicity_of_all(mine.filter("item is not null"), pairs, "item")
-        # users without any item of the pool are skipped too
-        none = mine.filter("item is null").select("user_id").distinct().count()
-        one = one.withColumn("users_skipped", F.col("users_skipped") + none).select(F.lit(pool).alias("pool"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return privacy.unicity_of_pools(_shown(e), e.select("user_id", "item"), "item", {"all": 1, "20 or more users": 20}).select("pool", "k", "n_sets", "users_skipped", "unique_share", "median_support")
 
 
 @query()
