@@ -81,7 +81,8 @@ def _hot_support(sets: DataFrame, lists: DataFrame, holders: int = HOLDERS) -> D
     size = lists.select(F.explode("_own").alias("_v")).groupBy("_v").agg(F.ceil(F.count(F.lit(1)) / holders).alias("_parts"))
     size = F.broadcast(stored(size))  # HOT_VALUES rows at most
     one = F.lit(1).cast("bigint")
-    theirs = lists.select("_u", F.explode("_own").alias("_v"), "_own").join(size, "_v").select("_v", F.pmod(F.xxhash64("_u"), "_parts").alias("_part"), F.lit(0).alias("_is_set"), F.col("_own").alias("_set"), F.lit(0).alias("_tag"), F.lit(0).cast("bigint").alias("_at"), one.alias("_c"))
+    # a set's other values come after its first
+    theirs = lists.select("_u", F.explode("_own").alias("_v"), "_own").join(size, "_v").select("_v", F.pmod(F.xxhash64("_u"), "_parts").alias("_part"), F.lit(0).alias("_is_set"), F.expr("filter(_own, x -> x >= _v)").alias("_set"), F.lit(0).alias("_tag"), F.lit(0).cast("bigint").alias("_at"), one.alias("_c"))
     mine = sets.withColumn("_v", F.coalesce(F.get("_set", F.lit(0)), F.lit(-1).cast("smallint"))).join(size, "_v", "left")
     mine = mine.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", one) - 1))).select("_v", "_part", F.lit(1).alias("_is_set"), "_set", "_tag", "_at", "_c")
     both = theirs.unionByName(mine).repartition("_v", "_part").sortWithinPartitions("_v", "_part", "_is_set")

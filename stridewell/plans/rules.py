@@ -327,7 +327,7 @@ def all_unicity_k(spark, d):
 def all_category_unicity(spark, d):
     """The same for 3, 6 and 10 shown categories, or all where a user has fewer."""
     e = src.events(spark, d)
-    cats = items.metadata(e).filter("cat is not null").select("item", "cat")
+    cats = stored(items.metadata(e).filter("cat is not null").select("item", "cat"))
     shown = _shown(e).join(cats, "item").select("user_id", "cat")
     held = e.select("user_id", "item").distinct().join(cats, "item").select("user_id", "cat")
     return privacy.unicity_of_all(shown, held, "cat", ks=(3, 6, 10), fill=True)

@@ -6,6 +6,7 @@ from statistics import median
 
 import pytest
 
+import __spark_entry__ as entry
 from stridewell.operators import privacy
 
 
@@ -53,3 +54,14 @@ def test_unicity_makes_no_rows_of_sets_and_holders(spark, fill):
     rows = privacy.unicity_of_all(same, same, "item", ks=(2, 3), fill=fill).collect()
     assert [(r.k, r.n_sets, r.median_support) for r in rows] == [(2, 6000, 300.0), (3, 6000, 300.0)]
     assert shuffled_mb(spark) - before < 1
+
+
+def test_all_category_unicity_shuffles_little(spark, tmp_path):
+    """Categories that everybody has, in the registered query."""
+    rows = [(k * 100 + n, f"u{k}", 1_480_000_000 + n * 86_400, f"i{n}", f"c{n % 12}", f"n{n}", 1.0, 1.0) for k in range(200) for n in range(30)]
+    df = spark.createDataFrame(rows, "seq bigint, user_id string, s bigint, item string, cat string, venue_name string, lat double, lon double")
+    df.selectExpr("seq", "user_id", "timestamp_seconds(s) ts", "item", "cat", "lat", "lon", "venue_name").write.parquet(f"{tmp_path}/checkins.parquet")
+    before = shuffled_mb(spark)
+    got = entry.queries()["all_category_unicity"](spark, str(tmp_path)).collect()
+    assert [(r.k, r.n_sets, r.users_skipped, r.unique_share, r.median_support) for r in got] == [(k, 4000, 0, 0.0, 200.0) for k in (3, 6, 10)]
+    assert shuffled_mb(spark) - before < 3
