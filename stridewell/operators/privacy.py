@@ -138,6 +138,36 @@ def _count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array(is_set == 1))
 
 
+def set_support(sets: DataFrame, pairs: DataFrame, value: str, hot_users: int = HOT_USERS, holders: int = HOLDERS) -> DataFrame:
+    """set_id, n_users: users whose values include the whole set, for sets (set_id, value) of any sizes; the ones with none are left out.
+
+    One value: its users. Hot values alone: bits of holders, once for equal sets. Others: the users of the rarest value, which the
+    other values thin out.
+    """
+    held = stored(pairs.select(F.col("user_id").alias("_u"), value).distinct())
+    freq = stored(held.groupBy(value).agg(F.count(F.lit(1)).alias("_f")))
+    hot = _hot_values(freq, value, hot_users)
+    known = sets.select("set_id", value).distinct().join(freq, value, "left").join(F.broadcast(hot), value, "left")
+    # a value that nobody holds comes first, and its set has no user
+    each = F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col(value).alias("v"), F.col("_hot").alias("h"))
+    ranked = stored(known.groupBy("set_id").agg(F.sort_array(F.collect_list(each)).alias("x")))
+    one = ranked.filter("size(x) = 1").select("set_id", F.col("x")[0]["f"].alias("n_users"))
+    more = ranked.filter("size(x) > 1")
+    all_hot = more.filter("x[0].h is not null").select("set_id", F.array_sort("x.h").alias("_set"))
+    distinct = all_hot.select("_set").distinct().select("_set", F.lit(0).alias("_tag"), F.lit(0).cast("bigint").alias("_at"), F.lit(1).cast("bigint").alias("_c"))
+    counted = all_hot.join(_hot_support(distinct, _hot_lists(held, hot, value), holders), "_set").select("set_id", "n_users")
+    cold = more.filter("x[0].h is null")
+    most = cold.agg(F.max(F.size("x"))).first()[0] or 0
+    nth = lambda r: cold.filter(F.size("x") > r).select("set_id", F.col("x")[r]["v"].alias(value), (F.size("x") > r + 1).alias("_more"))
+    found, done = nth(0).join(held, value).select("set_id", "_u", "_more"), None
+    for r in range(1, most):
+        found = found.filter("_more").drop("_more").join(nth(r), "set_id").join(held, ["_u", value], "left_semi").select("set_id", "_u", "_more")
+        whole = found.filter("not _more").groupBy("set_id").agg(F.count(F.lit(1)).alias("n_users"))
+        done = whole if done is None else done.unionByName(whole)
+    out = one.unionByName(counted)
+    return (out if done is None else out.unionByName(done)).filter("n_users > 0")
+
+
 def unicity_of_all(shown: DataFrame, held: DataFrame, value: str, ks=(1, 2, 3, 4), draws: int = 20, seed: int = 0, fill: bool = False, hot_users: int = HOT_USERS, holders: int = HOLDERS) -> DataFrame:
     """k, n_sets, users_skipped, unique_share, median_support over `draws` sets of k values of every user in `shown`.
 

@@ -342,14 +342,8 @@ def posting_support(spark, d):
     """Number of users whose events include the last three items of a decision's history."""
     last = F.filter(F.slice("history", F.greatest(F.lit(1), F.size("history") - 2), F.lit(3)), lambda x: x.isNotNull())
     want = src.decisions(spark, d).filter("user_id is not null and size(history) > 0").select("decision_id", F.array_distinct(last).alias("vs")).filter("size(vs) > 0")
-    sets = want.select(F.col("decision_id").alias("user_id"), F.lit(0).alias("draw"), F.explode("vs").alias("item"))
-    held = src.events(spark, d).select("user_id", "item")
-    # sets of one, two or three items, each by its rarest item first
-    out = None
-    for k in (1, 2, 3):
-        one = privacy.support(sets.join(want.filter(F.size("vs") == k).select(F.col("decision_id").alias("user_id")), "user_id", "left_semi"), held, "item", k)
-        out = one if out is None else out.unionByName(one)
-    return want.join(out.select(F.col("user_id").alias("decision_id"), "n_users"), "decision_id", "left").select("decision_id", F.coalesce("n_users", F.lit(0)).alias("n_users"))
+    n = privacy.set_support(want.select(F.col("decision_id").alias("set_id"), F.explode("vs").alias("item")), src.events(spark, d).select("user_id", "item"), "item")
+    return want.select("decision_id").join(n.withColumnRenamed("set_id", "decision_id"), "decision_id", "left").select("decision_id", F.coalesce("n_users", F.lit(0)).alias("n_users"))
 
 
 @query(

@@ -65,3 +65,29 @@ def test_all_category_unicity_shuffles_little(spark, tmp_path):
     got = entry.queries()["all_category_unicity"](spark, str(tmp_path)).collect()
     assert [(r.k, r.n_sets, r.users_skipped, r.unique_share, r.median_support) for r in got] == [(k, 4000, 0, 0.0, 200.0) for k in (3, 6, 10)]
     assert shuffled_mb(spark) - before < 3
+
+
+def test_set_support(spark):
+    """Sets of one to five values, some equal, some of values that nobody holds; against a loop."""
+    rng = random.Random(6)
+    held = {f"u{k:03d}": set(rng.sample("abcdefghij", rng.randrange(1, 9))) for k in range(60)}
+    sets = {k: set(rng.sample("abcdefghijx", rng.randrange(1, 6))) for k in range(120)} | {200: {"x"}, 201: {"a", "b"}, 202: {"b", "a"}}
+    want = {k: n for k, s in sets.items() if (n := sum(s <= v for v in held.values()))}
+    pairs = spark.createDataFrame([(u, i) for u, v in held.items() for i in v] * 2, "user_id string, item string")
+    wanted = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "set_id bigint, item string")
+    for hot_users, holders in ((privacy.HOT_USERS, privacy.HOLDERS), (28, 7), (0, 1000)):
+        got = privacy.set_support(wanted, pairs, "item", hot_users=hot_users, holders=holders).collect()
+        assert {r.set_id: r.n_users for r in got} == want and len(got) == len(want)
+    assert privacy.set_support(wanted, pairs.limit(0), "item").isEmpty() and privacy.set_support(wanted.limit(0), pairs, "item").isEmpty()
+
+
+def test_posting_support_makes_no_rows_of_decisions_and_users(spark, tmp_path):
+    """Decisions about places where everybody has been."""
+    seen = spark.range(400).selectExpr("id user", "explode(array('a', 'b', 'c')) item")
+    seen.selectExpr("user * 10 + ascii(item) seq", "concat('u', user) user_id", "timestamp_seconds(1480000000 + user) ts", "item", "'k' cat", "1.0D lat", "1.0D lon", "'n' venue_name").write.parquet(f"{tmp_path}/checkins.parquet")
+    history = "if(id % 4 = 0, array('a', 'b', 'c'), if(id % 4 = 1, array('c', 'z', 'a', 'b', 'a'), if(id % 4 = 2, array('a', 'zz'), array('b'))))"
+    spark.range(1200).selectExpr("id decision_id", "concat('u', id % 400) user_id", "timestamp_seconds(1490000000) ts", "5 k", "'a' true_item", "array('a') candidates", "0 answer_idx", f"{history} history").write.parquet(f"{tmp_path}/decisions.parquet")
+    before = shuffled_mb(spark)
+    got = {r.decision_id: r.n_users for r in entry.queries()["posting_support"](spark, str(tmp_path)).collect()}
+    assert got == {k: 0 if k % 4 == 2 else 400 for k in range(1200)}
+    assert shuffled_mb(spark) - before < 1
